@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -218,7 +219,7 @@ def vocabulary(name: str) -> Vocabulary:
 def blocks(batches: Iterator[pa.RecordBatch], column: str, chars: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
     """Batches cut so that none but a single long text has many more characters than asked for."""
     for b in batches:
-        size = np.cumsum([0 if x is None else x for x in pa.compute.utf8_length(b[column]).to_pylist()])
+        size = np.cumsum([0 if x is None else x for x in pc.utf8_length(b[column]).to_pylist()])
         start = 0
         while start < len(size):
             stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + chars, "right")))

@@ -1,10 +1,14 @@
 """The corpus operators' queries and their SQL, by registered name."""
 
-from tokenledger.llm import line_dedup, minhash, pieces, url_filter
+from tokenledger.llm import crf_language, decontaminate, line_dedup, minhash, pieces, site_style, url_filter, weak_quality
 
 _MODULES = {
+    "op1_crf_language": crf_language,
+    "op2_decontaminate": decontaminate,
     "op3_url_filter": url_filter,
     "op4_minhash": minhash,
+    "op5_weak_quality": weak_quality,
+    "op6_site_style": site_style,
     "op7_sentencepiece": pieces,
     "op10_line_dedup": line_dedup,
 }
