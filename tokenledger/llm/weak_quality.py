@@ -28,7 +28,7 @@ LABELLERS = ("symbols", "tables", "shouting", "stutter", "repeated_lines", "excl
 WORDS = re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()|\-]")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
-SAMPLE, TABLE, ROUNDS = 4000, 1 << 16, 60
+SAMPLE, TABLE, ROUNDS, FALSE_ALARM = 4000, 1 << 16, 60, 0.01
 
 
 def votes(text: str | None) -> tuple[int, ...]:
@@ -68,6 +68,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         prior = (w[1].sum() + 1) / (w.sum() + 2)
         table_ = np.einsum("yp,pmv->myv", w, onehot) + 0.5
         table_ /= table_.sum(2, keepdims=True)
+        table_[:, 1, 0] = np.minimum(table_[:, 1, 0], FALSE_ALARM)  # the labellers are made to accuse few good documents
+        table_[:, 1] /= table_[:, 1].sum(1, keepdims=True)
         log = np.einsum("pmv,myv->py", onehot, np.log(table_)) + np.log([1 - prior, prior])
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
         done = np.abs(new - post).max() < 1e-6
