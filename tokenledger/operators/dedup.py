@@ -7,9 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Load order: retired records first, then live ones, then an uncommitted tail.
-ORIGIN = F.when(F.col("origin") == "retired", 0).when(F.col("origin") == "live", 1).otherwise(2)
-
 
 def in_window(df: DataFrame, since: datetime | None, until: datetime | None, ts: str = "ts") -> DataFrame:
     """Half-open [since, until); with any bound, undated rows go."""
@@ -26,7 +23,9 @@ def has_key() -> Column:
 
 
 def load_order() -> list[Column]:
-    return [ORIGIN, F.col("source"), F.col("load_seq")]
+    """Retired records first, then live ones, then an uncommitted tail."""
+    origin = F.when(F.col("origin") == "retired", 0).when(F.col("origin") == "live", 1).otherwise(2)
+    return [origin, F.col("source"), F.col("load_seq")]
 
 
 def keep_last(df: DataFrame, *within: str) -> DataFrame:

@@ -602,7 +602,7 @@ def stream_daily_spend(s, d):
     from tokenledger.streaming.ingest import daily_spend
 
     path = f"{shared_dir(s)}/turns-{id(d)}-{datetime.now(UTC).timestamp()}"
-    priced(s, d).select("ts", "usd").write.parquet(path)
+    priced(s, d).select("ts", F.col("usd").cast("decimal(38,12)").alias("usd")).write.parquet(path)
     live = daily_spend(s.readStream.schema("ts timestamp, usd decimal(38,12)").parquet(path))
     out = f"{path}-days"
     live.writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
