@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL, by registered name."""
 
-from tokenledger.llm import crf_language, decontaminate, line_dedup, minhash, pieces, site_style, url_filter, weak_quality
+from tokenledger.llm import crf_language, decontaminate, line_dedup, minhash, nn_descent, pieces, site_style, suffix_dedup, url_filter, weak_quality
 
 _MODULES = {
     "op1_crf_language": crf_language,
@@ -10,6 +10,8 @@ _MODULES = {
     "op5_weak_quality": weak_quality,
     "op6_site_style": site_style,
     "op7_sentencepiece": pieces,
+    "op8_suffix_dedup": suffix_dedup,
+    "op9_nn_descent": nn_descent,
     "op10_line_dedup": line_dedup,
 }
 
