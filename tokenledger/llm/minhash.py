@@ -7,13 +7,15 @@ into posting lists, one for each coordinate and value.
 
 * prefix: a pair that agrees on at least ``least`` of the posted coordinates meets in one of the first
   ``posted - least + 1`` of them, so only those are posted;
-* merging: in each list every class first meets the list's smallest class only, the pair's
-  collisions are counted over the whole signature, and pairs above the match threshold are confirmed
-  on full sets.  Lists whose members are then in one component are done;
-* skip: lists with several components give all pairs between different components if they are short.
-  Long ones are posted again under one coordinate more (a pair that agrees on ``least`` agrees on the
-  next one too), up to ``least`` coordinates; so a passage that many different documents share
-  costs no pair for each two of them.
+* merging: in each list every class first meets the list's pivot only, the member whose coordinates are
+  most popular, so the text that the others were copied from; the pair's collisions are counted over the whole
+  signature, and pairs above the match threshold are confirmed on full sets.  Lists whose members are then in one
+  component are done;
+* skip: lists with several components give all pairs between different components if they have up to ``short``
+  members.  The members of longer ones meet through their rarest shingles instead: two sets at the wanted
+  similarity share one among their first few by rising frequency, and places further on are skipped if what is
+  left of either set can't reach the overlap.  That is exact, and neither a passage that many documents share nor
+  a crowd of loose copies of one text costs a pair for each two of them.
 
 Links are exact above the confirmation; a pair at similarity 0.85 goes unseen only if under 6 of 16
 coordinates or under 88 of 128 agree, with odds of about one in a million.  Null texts have empty
@@ -136,39 +138,49 @@ def _labelled(lists: DataFrame, comp: DataFrame) -> DataFrame:
     return lists.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
+def _rarest_first(docs: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of docs in different components that may reach the similarity: all there are, by rare shingles.
+
+    A set of n with n * percent / 100 <= m <= n * 100 / percent members in the other needs an overlap of
+    percent * (n + m) / (100 + percent); sorted by frequency, both have their first common shingle where at least that much is left."""
+    tokens = stage(sets(docs, full=True).select("doc_id", F.size("members").alias("n"), F.explode("members").alias("token")), "tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    by_doc = tokens.join(counts, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))  # bounded by the document
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    posts = by_doc.select("doc_id", "n", F.posexplode(F.slice("ts", F.lit(1), first.cast("int"))).alias("at", "t")).where("t.df > 1").select("doc_id", "n", "at", "t.token")
+    posts = stage(_labelled(posts, comp), "posts")
+    unstage(tokens)
+    other = posts.select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("component").alias("component_b"))
+    mine = posts.select("token", F.col("doc_id").alias("a"), "n", "at", "component")
+    left = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    reach = left * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
+    return mine.join(other, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & reach).select("a", "b").distinct()
+
+
 def links(docs: DataFrame, reps: DataFrame, percent: int = 85, posted: int = POSTED, least: int = LEAST, matches: int = MATCHES, short: int = SHORT) -> DataFrame:
-    """Confirmed links (a < b) between class representatives that join all components there are.
+    """Confirmed links (a, b) between class representatives that join all components there are.
 
     docs: (doc_id, text) of the representatives; reps: (doc_id, sig)."""
     prefix = posted - least + 1
-    posts = reps.select("doc_id", F.slice("sig", 1, posted).alias("s"))
-    coordinate = F.transform(F.sequence(F.lit(0), F.lit(prefix - 1)), lambda c: F.struct(c.alias("last"), F.xxhash64(c, F.element_at(F.col("s"), c + 1)).alias("key")))
-    lists = posts.select("doc_id", "s", F.explode(coordinate).alias("p")).select("doc_id", "s", "p.last", "p.key")
-    heads = lists.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    coordinate = F.transform(F.sequence(F.lit(1), F.lit(prefix)), lambda c: F.xxhash64(c, F.element_at(F.col("sig"), c)))
+    lists = reps.select("doc_id", F.explode(coordinate).alias("key"))
+    sizes = lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    lists = stage(lists.join(sizes, "key"), "lists")  # a list of one links nothing
+    popular = lists.groupBy("doc_id").agg(F.sum(F.log2("n")).alias("popular"))
+    heads = lists.join(popular, "doc_id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("doc_id")).alias("i"))).alias("x")).select("key", (-F.col("x.i")).alias("a"))
     pairs = lists.select("key", F.col("doc_id").alias("b")).join(heads, "key").where("a <> b").select("a", "b").distinct()
-    found = stage(confirm(docs, stage(_collisions(pairs, reps, matches), "pairs"), percent), "confirmed")
+    found = stage(confirm(docs, _collisions(pairs, reps, matches), percent), "confirmed")
     comp = components(found)
-    for depth in range(1, least + 1):
-        marked = _labelled(lists, comp)
-        mixed = marked.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key", "n")
-        open_lists = stage(marked.join(mixed, "key"), "open")
-        if open_lists.isEmpty():
-            unstage(open_lists)
-            break
-        close = open_lists.where((F.col("n") <= short) | F.lit(depth == least)).select("key", "doc_id", "component")
-        other = close.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-        pairs = close.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and component <> component_b").select("a", "b").distinct()
-        more = stage(confirm(docs, stage(_collisions(pairs, reps, matches), "pairs"), percent), "confirmed")
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            comp = components(found)
-        far = open_lists.where(f"n > {short}") if depth < least else None
-        if far is None or far.isEmpty():
-            break
-        reach = posted - least + depth  # the (depth + 1)th agreement of a pair comes no later than here
-        longer = F.transform(F.sequence(F.col("last") + 1, F.lit(reach)), lambda c: F.struct(c.alias("last"), F.xxhash64(F.col("key"), c, F.element_at(F.col("s"), c + 1)).alias("key")))
-        lists = stage(far.where(F.col("last") < reach).select("doc_id", "s", F.explode(longer).alias("p")).select("doc_id", "s", "p.last", "p.key"), "lists")
-    return found
+    marked = _labelled(lists, comp)
+    mixed = marked.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
+    still = stage(marked.join(mixed, "key"), "mixed")
+    close = still.where(F.col("n") <= short).select("key", "doc_id", "component")
+    other = close.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
+    near = close.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and component <> component_b").select("a", "b").distinct()
+    found = found.unionByName(stage(confirm(docs, _collisions(near, reps, matches), percent), "confirmed"))
+    crowd = still.where(F.col("n") > short).select("doc_id").distinct()
+    rare = _rarest_first(docs.join(crowd, "doc_id", "left_semi"), comp, percent)
+    return found.unionByName(stage(confirm(docs, rare, percent), "confirmed"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, **how) -> DataFrame:

@@ -245,9 +245,9 @@ def encode_decode(docs: DataFrame, text: str = "text", model: str | None = None)
     return docs.mapInArrow(run, schema)
 
 
-def query(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    name = model_file(spark, model)
+def digests(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) a row of docs (doc_id, text)."""
+    name = model_file(docs.sparkSession, model)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(name)
@@ -257,4 +257,8 @@ def query(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFra
                 [b["doc_id"], pa.array([len(i) for i in ids], pa.int64()), pa.array([hashlib.sha256(" ".join(map(str, i.tolist())).encode()).hexdigest() for i in ids]), pa.array([hashlib.sha256(vocab.decode(i).encode()).hexdigest() for i in ids])],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def query(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"), model)
