@@ -74,7 +74,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     """(doc_id, row, pos) of each line to drop."""
     spark = docs.sparkSession
     n = partitions(spark)
-    lines = line_hashes(docs, min_chars)
+    lines = stage(line_hashes(docs, min_chars), "hashes")  # read twice: range partitioning samples its input first
     order = ["h1", "h2", F.desc("doc_id")]
     ordered = lines.repartitionByRange(n, *order).sortWithinPartitions(*order, "row", "pos")
     told = stage(ordered.mapInPandas(_stream(min_docs), "doc_id long, row long, pos int, h1 long, h2 long, part int, open boolean"), "lines")
