@@ -55,7 +55,7 @@ FLOW = frozenset("article main p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
 P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 SPACES = re.compile(r"[\x20\x09-\x0D\xa0\s]+")
-GAMMA, LOW, LEAST_PAGES = 0.9, 0.3, 5
+GAMMA, LOW, LEAST_PAGES, SALTS = 0.9, 0.3, 5, 32
 
 
 def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
@@ -186,14 +186,15 @@ def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES)
     pages = with_host_and_path(pages.select("page_id", "url", "html")).drop("path")
     styles = site_styles(pages).where((F.col("importance") < low) & (F.col("pages") >= least_pages))
     # Style paths come from a site's templates, so a host's list is small next to its pages.
-    removed = styles.groupBy("host").agg(F.collect_set("path").alias("low"))
+    removed = styles.groupBy("host").agg(F.collect_set("path").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))  # a host with a third of the pages goes to many tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [main_text(t, set(x or ())) for t, x in zip(b["html"].to_pylist(), b["low"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.join(removed, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.join(removed, ["host", "salt"], "left").select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
