@@ -42,8 +42,8 @@ WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 WIDTH, POSTED, LEAST, SIGNATURE, MATCHES, SHORT = 5, 16, 6, 128, 88, 24
 _LOW = str.maketrans(UPPER, LOWER)
 _SEEDS = np.random.default_rng(7)
-_MUL = _SEEDS.integers(1, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
-_XOR = _SEEDS.integers(0, 2**63, SIGNATURE, dtype=np.uint64)
+_MUL = _SEEDS.integers(1, 2**32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
+_XOR = _SEEDS.integers(0, 2**32, SIGNATURE, dtype=np.uint32)
 _ODD = _SEEDS.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
 
@@ -60,12 +60,9 @@ def shingles(text: str | None, width: int = WIDTH, known: dict[str, int] | None
     if not words:
         return np.empty(0, np.uint64)
     known = {} if known is None else known
-    h = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        x = known.get(w)
-        if x is None:
-            x = known[w] = xxhash.xxh3_64_intdigest(w)
-        h[i] = x
+    for w in set(words) - known.keys():
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(width, len(words))
     n = len(words) - k + 1
     out = np.full(n, k, np.uint64)
@@ -76,11 +73,11 @@ def shingles(text: str | None, width: int = WIDTH, known: dict[str, int] | None
 
 def signature(s: np.ndarray) -> np.ndarray:
     """Minimum of each of SIGNATURE hash functions, 32 bits each."""
-    best = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(s), 2048):
-        x = (s[at : at + 2048, None] ^ _XOR) * _MUL
-        best = np.minimum(best, (x ^ (x >> np.uint64(29))).min(axis=0))
-    return (best >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    low = (s >> np.uint64(32)).astype(np.uint32)
+    best = np.full(SIGNATURE, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(s), 4096):
+        best = np.minimum(best, ((low[None, at : at + 4096] ^ _XOR[:, None]) * _MUL[:, None]).min(axis=1))
+    return best.view(np.int32)
 
 
 def sets(docs: DataFrame, full: bool) -> DataFrame:
