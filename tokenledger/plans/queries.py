@@ -358,7 +358,7 @@ def finding_accel(s, d):
 
 def all_findings(s, d) -> DataFrame:
     p = P.but(model_share=0.4, context_usd=1.0, acceleration_pct=-0.9)
-    turns = priced(s, d, 20)
+    turns = priced(s, d, 20).persist()  # six rules read it
     total, models = report.total(turns), report.by_model(turns)
     top_s = report.top(report.by_session(turns), "source", p.session_limit)
     top_t = attribution.top_tools(attribution.tool_costs(turns), p.tool_limit)
