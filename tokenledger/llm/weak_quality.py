@@ -2,7 +2,7 @@
 
 Heuristic labellers vote good (1), bad (-1) or nothing (0) on each document.  Expectation-maximisation over
 the counts of vote patterns, which sum up all documents and number 3 to the power of the labellers at most, estimates the share of good documents and
-each labeller's votes given the truth.  The patterns' posteriors are the labels of a hashed linear
+each labeller's votes given the truth; not voting says nothing.  The patterns' posteriors are the labels of a hashed linear
 scorer, trained by logistic regression on at most ``sample`` documents or so (chosen by a hash of the id), which
 then scores every document.
 
@@ -28,7 +28,9 @@ LABELLERS = ("symbols", "tables", "shouting", "stutter", "repeated_lines", "excl
 WORDS = re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()|\-]")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
-SAMPLE, TABLE, ROUNDS, FALSE_ALARM = 4000, 1 << 16, 60, 0.01
+SAMPLE, TABLE, ROUNDS = 4000, 1 << 16, 150
+#: At most this share of a labeller's accusations is taken to hit good documents.
+DOUBT = 0.1
 
 
 def votes(text: str | None) -> tuple[int, ...]:
@@ -46,29 +48,33 @@ def votes(text: str | None) -> tuple[int, ...]:
     repeated = 1 - len(set(lines)) / len(lines)
     top = max(Counter(w.lower() for w in words).values()) / n
     digits = sum(c.isdigit() for c in text) / chars
+    shouts = text.count("!") / n
     return (
         -1 if symbols > 0.03 else 1 if symbols < 0.01 else 0,
         -1 if bars > 0.2 else 1 if bars < 0.02 else 0,
         -1 if upper > 0.3 else 1 if upper < 0.05 else 0,
         -1 if stutter > 0.1 else 1 if stutter < 0.03 else 0,
-        -1 if len(lines) > 3 and repeated > 0.3 else 0,
-        -1 if text.count("!") / n > 0.2 else 0,
-        -1 if digits > 0.15 else 1 if digits < 0.05 else 0,
+        -1 if len(lines) > 3 and repeated > 0.3 else 1 if repeated < 0.05 else 0,
+        -1 if shouts > 0.2 else 1 if shouts < 0.02 else 0,
+        0 if n < 20 else -1 if digits > 0.15 else 1 if digits < 0.05 else 0,
         -1 if n >= 20 and top > 0.25 else 1 if n >= 20 and top < 0.15 else 0,
     )
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
-    """(posterior of good for each pattern, prior, P(vote | truth) as labeller x truth x vote + 1)."""
+    """(posterior of good for each pattern, prior, P(vote | truth, a vote) as labeller x truth x (bad, good))."""
     start = np.where((patterns < 0).any(1), 0.1, 0.9)
     post, m = start, patterns.shape[1]
-    onehot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(float)
+    onehot = np.stack([patterns == v for v in (-1, 1)], 2).astype(float)  # no vote, no evidence
+    accused = onehot[:, :, 0].T @ counts / np.maximum(1, onehot.sum(2).T @ counts)
     for _ in range(rounds):
         w = np.stack([(1 - post) * counts, post * counts])
         prior = (w[1].sum() + 1) / (w.sum() + 2)
         table_ = np.einsum("yp,pmv->myv", w, onehot) + 0.5
         table_ /= table_.sum(2, keepdims=True)
-        table_[:, 1, 0] = np.minimum(table_[:, 1, 0], FALSE_ALARM)  # the labellers are made to accuse few good documents
+        # Labellers are made to accuse few good documents.  Without a bound two that always agree (capitals and
+        # exclamation marks) make up the bad class by themselves, and those of rarer faults count as noise.
+        table_[:, 1, 0] = np.minimum(table_[:, 1, 0], DOUBT * accused + 1e-9)
         table_[:, 1] /= table_[:, 1].sum(1, keepdims=True)
         log = np.einsum("pmv,myv->py", onehot, np.log(table_)) + np.log([1 - prior, prior])
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
@@ -77,13 +83,18 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
         if done:
             break
     # Which of the two classes is good is told by the votes: good has the larger mean vote.
-    mean = (table_[:, :, 2] - table_[:, :, 0]).sum(0)
+    mean = (table_[:, :, 1] - table_[:, :, 0]).sum(0)
     return (post, prior, table_) if mean[1] >= mean[0] else (1 - post, 1 - prior, table_[:, ::-1])
 
 
 def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Slots and weights (unit length) of a text's tokens."""
-    c = Counter(TOKEN.findall((text or "").lower()))
+    tokens = TOKEN.findall(text or "")
+    low = [t.lower() for t in tokens]
+    c = Counter(low)
+    # What a bag of words does not show: capitals, and words said twice
+    shape = {" upper": sum(len(t) > 1 and t.isupper() for t in tokens), " twice": sum(a == b for a, b in zip(low, low[1:], strict=False))}
+    c.update({k: n for k, n in shape.items() if n})
     slots = np.fromiter((xxhash.xxh32_intdigest(t) % TABLE for t in c), np.int64, len(c))
     w = np.sqrt(np.fromiter(c.values(), float, len(c)))
     return slots, w / max(1e-9, np.sqrt((w**2).sum()))
