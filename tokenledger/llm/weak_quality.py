@@ -1,8 +1,9 @@
 """Quality classifier from weak labels.
 
 Heuristic labellers vote good (1), bad (-1) or nothing (0) on each document.  Expectation-maximisation over
-the counts of vote patterns, which sum up all documents and number 3 to the power of the labellers at most, estimates the share of good documents and
-each labeller's votes given the truth; not voting says nothing.  The patterns' posteriors are the labels of a hashed linear
+the counts of vote patterns, which sum up all documents and number 3 to the power of the labellers at most,
+estimates each labeller's votes given the truth; not voting says nothing, labellers that accuse the same documents share
+a weight, and the share of good documents is that of documents nobody accuses.  The patterns' posteriors are the labels of a hashed linear
 scorer, trained by logistic regression on at most ``sample`` documents or so (chosen by a hash of the id), which
 then scores every document.
 
@@ -63,20 +64,24 @@ def votes(text: str | None) -> tuple[int, ...]:
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
     """(posterior of good for each pattern, prior, P(vote | truth, a vote) as labeller x truth x (bad, good))."""
-    start = np.where((patterns < 0).any(1), 0.1, 0.9)
-    post, m = start, patterns.shape[1]
+    accusing = (patterns < 0).any(1)
+    post = np.where(accusing, 0.1, 0.9)
+    prior = (counts[~accusing].sum() + 1) / (counts.sum() + 2)  # held, as weak votes don't tell the balance of the classes
     onehot = np.stack([patterns == v for v in (-1, 1)], 2).astype(float)  # no vote, no evidence
     accused = onehot[:, :, 0].T @ counts / np.maximum(1, onehot.sum(2).T @ counts)
+    # Labellers that accuse the same documents share the weight of one: else they make up the bad class by themselves
+    bad = onehot[:, :, 0]
+    both = bad.T @ (bad * counts[:, None])
+    either = both.diagonal()[:, None] + both.diagonal() - both
+    own = 1 / np.maximum(1, np.where(either > 0, both / np.maximum(1e-9, either), 0).sum(1))
     for _ in range(rounds):
         w = np.stack([(1 - post) * counts, post * counts])
-        prior = (w[1].sum() + 1) / (w.sum() + 2)
         table_ = np.einsum("yp,pmv->myv", w, onehot) + 0.5
         table_ /= table_.sum(2, keepdims=True)
-        # Labellers are made to accuse few good documents.  Without a bound two that always agree (capitals and
-        # exclamation marks) make up the bad class by themselves, and those of rarer faults count as noise.
+        # Labellers are made to accuse few good documents, or those of rarer faults would count as noise
         table_[:, 1, 0] = np.minimum(table_[:, 1, 0], DOUBT * accused + 1e-9)
         table_[:, 1] /= table_[:, 1].sum(1, keepdims=True)
-        log = np.einsum("pmv,myv->py", onehot, np.log(table_)) + np.log([1 - prior, prior])
+        log = np.einsum("pmv,myv,m->py", onehot, np.log(table_), own) + np.log([1 - prior, prior])
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
         done = np.abs(new - post).max() < 1e-6
         post = new
