@@ -14,16 +14,15 @@ and text are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tokenledger.llm.common import BLANKS, lower_ascii, partitions, stage, table
 
@@ -38,7 +37,9 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _stream(min_docs: int):
-    """Over rows sorted by hash and falling document: decided drops, and the rows of keys at the ends."""
+    """Over rows sorted by hash and falling document: decided drops, and the rows of keys at the ends.
+
+    Only the first and last key of a batch may go on elsewhere and are carried along; those between are judged in one go."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
@@ -51,19 +52,27 @@ def _stream(min_docs: int):
         for rows in batches:
             if not len(rows):
                 continue
-            h1, h2 = rows.h1.values, rows.h2.values
-            starts = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            for a, b in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
-                docs = rows.doc_id.values[a:b]
+            h1, h2, docs = rows.h1.values, rows.h2.values, rows.doc_id.values
+            new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+            starts = np.flatnonzero(new)
+            other = new | np.r_[True, docs[1:] != docs[:-1]]  # another document of the same key, or another key
+            if len(starts) > 2:
+                a, b = starts[1], starts[-1]
+                of = np.cumsum(new[a:b]) - 1
+                many = np.bincount(of[other[a:b]]) >= min_docs
+                drop = many[of] & (docs[a:b] != docs[starts[1:-1]][of])
+                if drop.any():
+                    yield told(rows.iloc[a:b][drop], False)
+            for a, b in [(starts[0], starts[1] if len(starts) > 1 else len(rows)), *([(starts[-1], len(rows))] if len(starts) > 1 else [])]:
                 if (h1[a], h2[a]) != key:
                     if n_docs >= min_docs:
                         yield from (told(h[h.doc_id != top], False) for h in held)
-                    first, key, held, n_docs, top, last = key is None, (h1[a], h2[a]), [], 0, docs[0], None
-                n_docs += int((docs[1:] != docs[:-1]).sum()) + (last != docs[0])
-                last = docs[-1]
+                    first, key, held, n_docs, top, last = key is None, (h1[a], h2[a]), [], 0, docs[a], None
+                n_docs += int(other[a + 1 : b].sum()) + (last != docs[a])
+                last = docs[b - 1]
                 if first:
                     yield told(rows.iloc[a:b], True)
-                elif b - a > 1 or n_docs > 1 or b == len(rows):
+                else:
                     held.append(rows.iloc[a:b])
         yield from (told(h, True) for h in held)
 
@@ -133,17 +142,21 @@ def kept_text(text: str | None, keep: bytes | None) -> tuple[int, int, str]:
     return len(lines), int((~bits).sum()), "\n".join(x for x, stays in zip(lines, bits, strict=True) if stays)
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
+@F.pandas_udf(T.StringType())
+def _kept(text: pd.Series, keep: pd.Series) -> pd.Series:
+    return pd.Series([None if k is None else kept_text(t, k)[2] for t, k in zip(text, keep, strict=True)], dtype=object)
+
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [kept_text(t, k) for t, k in zip(b["text"].to_pylist(), b["keep"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(g[2].encode()).hexdigest() for g in got], pa.string())],
-                names=["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+def remaining() -> Column:
+    """Text without its dropped lines, of rows with text and keep; only texts that lose lines go to Python."""
+    return F.when(F.col("keep").isNotNull(), _kept(F.when(F.col("keep").isNotNull(), F.col("text")), F.col("keep"))).otherwise(F.col("text"))
 
-    return docs.select("doc_id", "text", "keep").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return docs.select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce("n_drops", F.lit(0)).cast("long").alias("n_dropped"), F.sha2(F.coalesce(remaining(), F.lit("")), 256).alias("kept_sha256"))
 
 
 SQL = r"""
