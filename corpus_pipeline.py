@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tokenledger.llm import crf_language, decontaminate, line_dedup, minhash, pieces
 from tokenledger.llm.common import stage, table
@@ -28,12 +27,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines; documents stay, with n_chars of what is left."""
     marked = line_dedup.with_bitmaps(docs.select(*COLUMNS))
 
-    @F.udf(T.StringType())
-    def kept(text, keep):
-        return line_dedup.kept_text(text, keep)[2]
-
-    text = F.when(F.col("keep").isNotNull(), kept("text", "keep")).otherwise(F.col("text"))
-    return marked.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return marked.withColumn("text", line_dedup.remaining()).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
