@@ -158,6 +158,14 @@ def test_hot_item_is_not_called_common(spark):
     assert decontaminate.contaminated(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"), rare_docs=5).count() == 400
 
 
+def test_edited_copies_in_many_documents(spark):
+    item = [f"unusual{i}" for i in range(39)]
+    edited = " ".join("other" if i % 7 == 6 else w for i, w in enumerate(item))  # 0.859; a third of the seeds stay
+    rows = [(i, f"own{i} {edited} end") for i in range(300)] + [(i, " ".join(item)) for i in range(300, 320)] + [(999, "a " + " ".join(item[:20]))]
+    got = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: round(r.score, 3) for r in got} == {i: 0.859 if i < 300 else 1.0 for i in range(320)}
+
+
 def test_quality(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     labels = df.select("doc_id", "quality").distinct()

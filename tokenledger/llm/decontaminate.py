@@ -1,12 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits in lower case.  The 5-word grams of the test items (an item of fewer words: all of
 it) are the seeds.  One scan of the documents finds every place where seeds of an item stand; the places of one
-alignment diagonal, give or take ``slack``, form a window a little longer than the item.  Seeds much more common than their
-item's others (over ``rare_docs`` documents and over 4 times the item's median) are left out as phrases of the language;
-document frequencies count all documents.  The remaining windows are aligned with the item word by word (match 1, each
-substituted, missing or added word -0.1); score is the best local sum over the item's words.  A
-document is contaminated if an item scores ``threshold`` or more.
+alignment diagonal, give or take ``slack``, form a window a little longer than the item.  Windows are aligned with the item
+word by word (match 1, each substituted, missing or added word -0.1); score is the best local sum over the item's words.  A
+document is contaminated if an item scores ``threshold`` or more.  However common a seed is, its windows count; only
+those that hold too few of the item's words, in any order, to reach the threshold are not aligned, as most places of a mere phrase.
 
 The seed table is broadcast; items come in blocks of at most ``block_items`` items of at most ``item_words`` words, which
 bounds it (a longer item is cut into pieces of that length, each judged as an item of its own).  Null or empty texts and items match nothing; of equal scores the
@@ -28,7 +27,7 @@ from tokenledger.llm.common import stage, table
 from tokenledger.llm.minhash import mix
 
 WORDS = re.compile(r"[^\W_]+")
-WIDTH, THRESHOLD, RARE_DOCS, EDIT = 5, 0.8, 100, 0.1
+WIDTH, THRESHOLD, EDIT = 5, 0.8, 0.1
 BLOCK_ITEMS, ITEM_WORDS = 50_000, 400
 _ODD = np.random.default_rng(11).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 
@@ -61,6 +60,7 @@ class Seeds:
                 h = grams(ids, k)
                 found.setdefault(k, []).append(np.stack([h.view(np.int64), np.full(len(h), len(self.items)), np.arange(len(h))], 1))
                 self.items.append((item, ids))
+        self.bags = [np.unique(ids, return_counts=True) for _, ids in self.items]
         self.by_width = {}
         for k, rows in found.items():
             r = np.concatenate(rows)
@@ -85,9 +85,16 @@ class Seeds:
                 out.append(np.column_stack([seeds[rows], np.repeat(at, n)]))
         return np.concatenate(out) if out else np.empty((0, 4), np.int64)
 
+    def most(self, i: int, span: np.ndarray) -> float:
+        """What item i can score in a span at most: the share of its words that are there."""
+        words, n = self.bags[i]
+        there, m = np.unique(span, return_counts=True)
+        at = np.minimum(np.searchsorted(there, words), len(there) - 1)
+        return np.minimum(n, np.where(there[at] == words, m[at], 0)).sum() / len(self.items[i][1])
 
-def windows(seeds: Seeds, ids: np.ndarray) -> Iterator[tuple[int, list[int], list[int]]]:
-    """(item number, seed hashes, word numbers of the window), one for each place where an item may stand."""
+
+def windows(seeds: Seeds, ids: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[int, list[int]]]:
+    """(item number, word numbers of the window), one for each place where an item may reach the threshold."""
     hits = seeds.hits(ids)
     if not len(hits):
         return
@@ -100,7 +107,8 @@ def windows(seeds: Seeds, ids: np.ndarray) -> Iterator[tuple[int, list[int], lis
     for part in np.split(np.arange(len(hits)), cuts):
         a, b = part[0], part[-1]
         lo, hi = max(0, diagonal[a] - slack[a]), diagonal[b] + n[a] + slack[a]
-        yield int(hits[a, 1]), np.unique(hits[part, 0]).tolist(), ids[lo:hi].tolist()
+        if seeds.most(hits[a, 1], ids[lo:hi]) >= threshold - 1e-9:
+            yield int(hits[a, 1]), ids[lo:hi].tolist()
 
 
 def align(item: np.ndarray, spans: list[np.ndarray], edit: float = EDIT) -> np.ndarray:
@@ -119,10 +127,9 @@ def align(item: np.ndarray, spans: list[np.ndarray], edit: float = EDIT) -> np.n
     return best / len(item)
 
 
-def _block(docs: DataFrame, items: list[tuple[int, str]], rare_docs: int) -> DataFrame:
+def _block(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
     """(doc_id, item_id, score) of every window of these items."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(Seeds(items))
+    shared = docs.sparkSession.sparkContext.broadcast(Seeds(items))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = shared.value
@@ -131,28 +138,16 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], rare_docs: int) -> Dat
             rows = []
             for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
                 ids = np.array([find(w, -1) for w in words_of(text)], np.int64)
-                rows += [(doc, *w) for w in windows(seeds, ids)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item", "seeds", "span"])
-
-    found = stage(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, item int, seeds array<long>, span array<int>"), "windows")
-    # Seeds are at most those of the block, so their counts may be sent to the driver.
-    counts = dict(found.select("doc_id", F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("n")).collect())
-    block = shared.value
-    common: set[tuple[int, int]] = set()
-    for rows in block.by_width.values():
-        for i in np.unique(rows[:, 1]):
-            own = rows[rows[:, 1] == i, 0]
-            n = np.array([counts.get(int(s), 0) for s in own])
-            common |= {(int(i), int(s)) for s, c in zip(own, n, strict=True) if c > max(rare_docs, 4 * np.median(n))}
-    left_out = spark.sparkContext.broadcast(common)
+                rows += [(doc, *w) for w in windows(seeds, ids, threshold)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item", "span"])
+
+    found = stage(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, item int, span array<int>"), "windows")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seeds, skip = shared.value, left_out.value
+        seeds = shared.value
         for b in batches:
-            if skip:
-                b = b[[any((i, s) not in skip for s in ss) for i, ss in zip(b.item, b.seeds, strict=True)]]
             for i, part in b.groupby("item"):
                 item, ids = seeds.items[i]
                 for at in range(0, len(part), 500):
@@ -162,21 +157,23 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], rare_docs: int) -> Dat
     return found.mapInPandas(score, "doc_id long, item_id long, score double")
 
 
-def alignments(docs: DataFrame, items: DataFrame, rare_docs: int = RARE_DOCS, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """(doc_id, item_id, score) of all places aligned; docs: doc_id, text; items: item_id, text."""
+def alignments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, rare_docs: int | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """(doc_id, item_id, score) of all places aligned, those that may reach the threshold; docs: doc_id, text; items: item_id, text.
+
+    rare_docs is taken for older callers and has no effect: no window is left out for how common its seeds are."""
     items = items.where("text is not null and item_id is not null").select("item_id", "text")
     n_blocks = max(1, -(-items.count() // block_items))
     out = None
     for k in range(n_blocks):  # the items of a block are bounded, however many there are
         mine = sorted(map(tuple, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()))
-        one = _block(docs, mine, rare_docs)
+        one = _block(docs, mine, threshold)
         out = one if out is None else out.unionByName(one)
     return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
     """(doc_id, item_id, score, n_items) of each contaminated doc_id: its best item and how many reach the threshold."""
-    best = alignments(docs, items, **how).where(F.col("score") >= threshold - 1e-9).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    best = alignments(docs, items, threshold, **how).where(F.col("score") >= threshold - 1e-9).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
     return best.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("i"))).alias("x"), F.count("*").alias("n_items")).select(
         "doc_id", (-F.col("x.i")).alias("item_id"), F.col("x.score").alias("score"), "n_items")
 
