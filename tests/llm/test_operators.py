@@ -166,6 +166,18 @@ def test_edited_copies_in_many_documents(spark):
     assert {r.doc_id: round(r.score, 3) for r in got} == {i: 0.859 if i < 300 else 1.0 for i in range(320)}
 
 
+def test_copies_with_long_insertions(spark):
+    item = [f"w{i}" for i in range(39)]
+    rows, want = [], {}
+    for d, (at, n) in enumerate([(20, 20), (20, 30), (19, 77), (20, 79), (8, 60), (33, 40)]):
+        copy = [*item[:at], *(f"x{i}" for i in range(n)), *item[at:]]
+        full = decontaminate.align(np.arange(39), [np.array([int(w[1:]) if w[0] == "w" else -1 for w in copy])])[0]
+        rows += [(d, "so " * 300 + " ".join(copy) + " end" * 300), (100 + d, " ".join(copy))]
+        want |= {d: round(full, 3), 100 + d: round(full, 3)} if full >= 0.8 else {}
+    got = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: round(r.score, 3) for r in got} == want and len(want) == 10 and want[1] == 0.923
+
+
 def test_quality(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     labels = df.select("doc_id", "quality").distinct()

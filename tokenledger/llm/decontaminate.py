@@ -1,8 +1,9 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits in lower case.  The 5-word grams of the test items (an item of fewer words: all of
-it) are the seeds.  One scan of the documents finds every place where seeds of an item stand; the places of one
-alignment diagonal, give or take ``slack``, form a window a little longer than the item.  Windows are aligned with the item
+it) are the seeds.  One scan of the documents finds every place where seeds of an item stand; a window
+reaches from there as far as an alignment of ``threshold`` can, (1 - threshold) / edit words an item word beyond the item's two ends, and
+windows of an item that overlap are one.  Windows are aligned with the item
 word by word (match 1, each substituted, missing or added word -0.1); score is the best local sum over the item's words.  A
 document is contaminated if an item scores ``threshold`` or more.  However common a seed is, its windows count; only
 those that hold too few of the item's words, in any order, to reach the threshold are not aligned, as most places of a mere phrase.
@@ -29,6 +30,8 @@ from tokenledger.llm.minhash import mix
 WORDS = re.compile(r"[^\W_]+")
 WIDTH, THRESHOLD, EDIT = 5, 0.8, 0.1
 BLOCK_ITEMS, ITEM_WORDS = 50_000, 400
+#: Cells of one row of spans aligned at a time.
+GRID = 200_000
 _ODD = np.random.default_rng(11).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
 
 
@@ -98,17 +101,19 @@ def windows(seeds: Seeds, ids: np.ndarray, threshold: float = THRESHOLD) -> Iter
     hits = seeds.hits(ids)
     if not len(hits):
         return
-    diagonal = hits[:, 3] - hits[:, 2]
-    order = np.lexsort((diagonal, hits[:, 1]))
-    hits, diagonal = hits[order], diagonal[order]
-    n = np.array([len(seeds.items[i][1]) for i in hits[:, 1]])
-    slack = n // 4 + 5
-    cuts = np.flatnonzero((np.diff(hits[:, 1]) != 0) | (np.diff(diagonal) > slack[1:])) + 1
-    for part in np.split(np.arange(len(hits)), cuts):
-        a, b = part[0], part[-1]
-        lo, hi = max(0, diagonal[a] - slack[a]), diagonal[b] + n[a] + slack[a]
-        if seeds.most(hits[a, 1], ids[lo:hi]) >= threshold - 1e-9:
-            yield int(hits[a, 1]), ids[lo:hi].tolist()
+    item, diagonal = hits[:, 1], hits[:, 3] - hits[:, 2]
+    n = np.array([len(seeds.items[i][1]) for i in item])
+    reach = np.maximum(0, (1 - threshold) * n / EDIT + 1e-6).astype(np.int64)  # so many added words cost all the score there is to lose
+    lo, hi = np.maximum(0, diagonal - reach), np.minimum(len(ids), diagonal + n + reach)
+    order = np.lexsort((lo, item))
+    item, lo, hi = item[order], lo[order], hi[order]
+    apart = item * (len(ids) + 1)  # items one after another, so that one running maximum serves all
+    far = np.maximum.accumulate(hi + apart)
+    starts = np.r_[0, np.flatnonzero((lo + apart)[1:] > far[:-1]) + 1]
+    ends = np.r_[starts[1:], len(item)] - 1
+    for i, a, b in zip(item[starts].tolist(), lo[starts].tolist(), (far - apart)[ends].tolist(), strict=True):
+        if seeds.most(i, ids[a:b]) >= threshold - 1e-9:
+            yield i, ids[a:b].tolist()
 
 
 def align(item: np.ndarray, spans: list[np.ndarray], edit: float = EDIT) -> np.ndarray:
@@ -150,8 +155,14 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> D
         for b in batches:
             for i, part in b.groupby("item"):
                 item, ids = seeds.items[i]
-                for at in range(0, len(part), 500):
-                    some = part.iloc[at : at + 500]
+                part = part.iloc[np.argsort(part.span.map(len), kind="stable")]  # spans of about one length share a grid
+                width = part.span.map(len).to_numpy()
+                at = 0
+                while at < len(part):
+                    end = at + 1
+                    while end < min(len(part), at + 500) and (end + 1 - at) * width[end] <= GRID:
+                        end += 1
+                    some, at = part.iloc[at:end], end
                     yield pd.DataFrame({"doc_id": some.doc_id, "item_id": item, "score": align(ids, some.span.tolist())})
 
     return found.mapInPandas(score, "doc_id long, item_id long, score double")
