@@ -178,6 +178,19 @@ def test_copies_with_long_insertions(spark):
     assert {r.doc_id: round(r.score, 3) for r in got} == want and len(want) == 10 and want[1] == 0.923
 
 
+def test_long_items_are_whole(spark):
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(9999)}" for _ in range(n)]
+    one, two = [*text(400), "the"], text(2000)
+    near = [w for i, w in enumerate(two) if i % 9]  # (1777 - 22.3) / 2000
+    rows = [(1, "all the others"), (2, " ".join(one)), (3, " ".join(two[400:800])), (4, " ".join(near)), (5, " ".join(two[:1500])), (6, " ".join(["some", *one[:390]]))]
+    items = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "item_id long, text string")
+    want = {2: (1, 1.0), 4: (2, 0.877), 6: (1, 0.973)}
+    for words in (decontaminate.BLOCK_WORDS, 500):
+        got = decontaminate.contaminated(docs(spark, rows), items, block_words=words).collect()
+        assert {r.doc_id: (r.item_id, round(r.score, 3)) for r in got} == want
+
+
 def test_quality(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     labels = df.select("doc_id", "quality").distinct()

@@ -8,8 +8,8 @@ word by word (match 1, each substituted, missing or added word -0.1); score is t
 document is contaminated if an item scores ``threshold`` or more.  However common a seed is, its windows count; only
 those that hold too few of the item's words, in any order, to reach the threshold are not aligned, as most places of a mere phrase.
 
-The seed table is broadcast; items come in blocks of at most ``block_items`` items of at most ``item_words`` words, which
-bounds it (a longer item is cut into pieces of that length, each judged as an item of its own).  Null or empty texts and items match nothing; of equal scores the
+The seed table is broadcast; items come in blocks of about ``block_items`` items and ``block_words`` words at most, which
+bounds it (a longer item is a block's bulk by itself: items are never cut).  Null or empty texts and items match nothing; of equal scores the
 smallest item_id is reported; repeated rows are judged each by itself; extra columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from tokenledger.llm.minhash import mix
 
 WORDS = re.compile(r"[^\W_]+")
 WIDTH, THRESHOLD, EDIT = 5, 0.8, 0.1
-BLOCK_ITEMS, ITEM_WORDS = 50_000, 400
+BLOCK_ITEMS, BLOCK_WORDS = 50_000, 5_000_000
 #: Cells of one row of spans aligned at a time.
 GRID = 200_000
 _ODD = np.random.default_rng(11).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
@@ -49,7 +49,7 @@ def grams(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 class Seeds:
-    """The items of a block: word numbers, and the sorted seeds with item and position."""
+    """The items of a block: word numbers, and the sorted seeds with item, first and last position."""
 
     def __init__(self, items: list[tuple[int, str]], width: int = WIDTH):
         self.vocab: dict[str, int] = {}
@@ -57,12 +57,15 @@ class Seeds:
         found: dict[int, list[np.ndarray]] = {}
         for item, text in items:
             ws = words_of(text)
-            for at in range(0, len(ws), ITEM_WORDS):
-                ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in ws[at : at + ITEM_WORDS]], np.int64)
-                k = min(width, len(ids))
-                h = grams(ids, k)
-                found.setdefault(k, []).append(np.stack([h.view(np.int64), np.full(len(h), len(self.items)), np.arange(len(h))], 1))
-                self.items.append((item, ids))
+            if not ws:
+                continue
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in ws], np.int64)
+            k = min(width, len(ids))
+            h = grams(ids, k)
+            seed, first = np.unique(h, return_index=True)
+            last = len(h) - 1 - np.unique(h[::-1], return_index=True)[1]
+            found.setdefault(k, []).append(np.stack([seed.view(np.int64), np.full(len(seed), len(self.items)), first, last], 1))
+            self.items.append((item, ids))
         self.bags = [np.unique(ids, return_counts=True) for _, ids in self.items]
         self.by_width = {}
         for k, rows in found.items():
@@ -70,7 +73,7 @@ class Seeds:
             self.by_width[k] = r[np.argsort(r[:, 0].view(np.uint64), kind="stable")]
 
     def hits(self, ids: np.ndarray) -> np.ndarray:
-        """(seed hash, item number, place in item, place in ids) of each seed in a document; unknown words are -1."""
+        """(seed hash, item number, first and last place in item, place in ids) of each seed in a document; unknown words are -1."""
         out = []
         for k, seeds in self.by_width.items():
             if len(ids) < k:
@@ -86,7 +89,7 @@ class Seeds:
             if n.any():
                 rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
                 out.append(np.column_stack([seeds[rows], np.repeat(at, n)]))
-        return np.concatenate(out) if out else np.empty((0, 4), np.int64)
+        return np.concatenate(out) if out else np.empty((0, 5), np.int64)
 
     def most(self, i: int, span: np.ndarray) -> float:
         """What item i can score in a span at most: the share of its words that are there."""
@@ -101,10 +104,10 @@ def windows(seeds: Seeds, ids: np.ndarray, threshold: float = THRESHOLD) -> Iter
     hits = seeds.hits(ids)
     if not len(hits):
         return
-    item, diagonal = hits[:, 1], hits[:, 3] - hits[:, 2]
+    item, first, last, at = hits[:, 1:].T
     n = np.array([len(seeds.items[i][1]) for i in item])
     reach = np.maximum(0, (1 - threshold) * n / EDIT + 1e-6).astype(np.int64)  # so many added words cost all the score there is to lose
-    lo, hi = np.maximum(0, diagonal - reach), np.minimum(len(ids), diagonal + n + reach)
+    lo, hi = np.maximum(0, at - last - reach), np.minimum(len(ids), at - first + n + reach)
     order = np.lexsort((lo, item))
     item, lo, hi = item[order], lo[order], hi[order]
     apart = item * (len(ids) + 1)  # items one after another, so that one running maximum serves all
@@ -168,12 +171,13 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> D
     return found.mapInPandas(score, "doc_id long, item_id long, score double")
 
 
-def alignments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, rare_docs: int | None = None, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def alignments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, rare_docs: int | None = None, block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, item_id, score) of all places aligned, those that may reach the threshold; docs: doc_id, text; items: item_id, text.
 
     rare_docs is taken for older callers and has no effect: no window is left out for how common its seeds are."""
     items = items.where("text is not null and item_id is not null").select("item_id", "text")
-    n_blocks = max(1, -(-items.count() // block_items))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+"))), F.lit(0)).alias("words")).first()
+    n_blocks = max(1, -(-size["n"] // block_items), -(-size["words"] // block_words))
     out = None
     for k in range(n_blocks):  # the items of a block are bounded, however many there are
         mine = sorted(map(tuple, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()))
