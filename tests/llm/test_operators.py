@@ -270,6 +270,29 @@ def test_nn_descent(spark):
     assert nn_descent.near_vectors(df.limit(0)).count() == 0
 
 
+def crowd_around(rng, degrees, n):
+    """n vectors within some 2 degrees of the direction at degrees in the first plane."""
+    a = np.radians(degrees)
+    x = rng.normal(size=(n, 16)) * 0.006
+    x[:, :2] += np.cos(a), np.sin(a)
+    return x
+
+
+def test_two_crowds_and_one_bridge(spark):
+    rng = np.random.default_rng(6)
+    at = lambda d: crowd_around(rng, d, 1) * 1.0
+    m = np.concatenate([crowd_around(rng, 0, 700), at(6), crowd_around(rng, 36, 700), at(30), crowd_around(rng, 150, 60), rng.normal(size=(100, 16))])
+    x = np.float32(m).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    assert near[:701, 701:1402].sum() == near[700, 1401] == 1  # one link joins the first crowd with the second
+    ids = 7 + 50 * np.arange(len(m))  # none is audited, so the audit can't tell
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, np.float32(m), strict=True)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in nn_descent.near_vectors(df).collect()}
+    assert {got[int(i)].component_id for i in ids[:1402]} == {7} and {got[int(i)].component_id for i in ids[1402:1462]} == {int(ids[1402])}
+    assert [got[int(i)].n_links for i in ids] == (near.sum(1) - 1).tolist()
+
+
 def test_whole_module_registers():
     from tokenledger.llm import queries
 

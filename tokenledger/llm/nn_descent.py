@@ -4,7 +4,9 @@ Equal vectors are one node from the start, weighted by their copies.  A first ne
 buckets (large buckets dealt out by hash).  Each round joins every node's neighbours, in both directions,
 with one another, so that neighbours of neighbours meet, and keeps the best ``k`` of each node; rounds end when
 few lists change.  Nodes whose whole list is above the threshold are saturated: their links may
-go on, so components of the threshold graph are then compared block by block, all members against all, which gives exact link
+go on.  Links to a node that is not saturated are in that node's list; those between two saturated nodes of different
+components are found by comparing them all, in blocks, but for blocks whose balls are too far apart to hold a link.  Longer
+lists would find no more.  Components are then compared block by block, all members against all, which gives exact link
 counts inside each component.  Recall is audited by brute force over the vectors whose id is divisible by ``audit``, in
 blocks; below ``recall`` the lists are doubled and the descent goes on.
 
@@ -133,6 +135,60 @@ def descend(nodes: DataFrame, graph: DataFrame, k: int, n: int, rounds: int = RO
     return graph
 
 
+def _balls(crowd: DataFrame) -> DataFrame:
+    """(component, block, centre, radius): the mean direction of each block of crowd, and the largest angle with it."""
+
+    def ball(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = units(matrix(pdf.vec))
+        m = x.mean(0)
+        m = m / np.linalg.norm(m) if np.linalg.norm(m) > 1e-9 else x[0]
+        return pd.DataFrame({"component": pdf.component.iloc[:1], "block": pdf.block.iloc[:1], "centre": [m], "radius": [float(np.arccos(np.clip(x @ m, -1, 1)).max())]})
+
+    return crowd.groupBy("component", "block").applyInPandas(ball, "component long, block int, centre array<double>, radius double")
+
+
+def bridges(nodes: DataFrame, graph: DataFrame, labels: DataFrame, k: int, threshold: float, chunk: int = 2048) -> DataFrame | None:
+    """(a, b): a link for each two blocks of saturated nodes of different components that have one; None if there are none to compare."""
+    full = graph.groupBy("u").agg(F.count("*").alias("n"), F.min("sim").alias("sim")).where((F.col("n") >= k) & (F.col("sim") >= threshold - 1e-12))
+    placed = full.select(F.col("u").alias("id")).join(labels, "id")
+    sizes = stage(placed.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "crowds")
+    if len(sizes.limit(2).collect()) < 2:
+        return None
+    crowd = stage(placed.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(nodes, "id").select("component", "block", "id", "vec"), "crowd")
+    balls = stage(_balls(crowd), "balls")
+    n_chunks = max(1, -(-balls.count() // chunk))
+    spark, meet = nodes.sparkSession, None
+    for i in range(n_chunks):  # a chunk of balls at a time goes to all tasks
+        some = balls.where(F.pmod(F.xxhash64("component", "block"), F.lit(n_chunks)) == i).toPandas()
+        if not len(some):
+            continue
+        sent = spark.sparkContext.broadcast((some.component.to_numpy(), some.block.to_numpy(), np.stack(some.centre.to_list()), some.radius.to_numpy()))
+
+        def near(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            component, block, centre, radius = sent.value
+            for b in batches:
+                for at in range(0, len(b), 1024):
+                    part = b.iloc[at : at + 1024]
+                    angle = np.arccos(np.clip(np.stack(part.centre.to_list()) @ centre.T, -1, 1))
+                    r, c = np.nonzero(angle <= part.radius.to_numpy()[:, None] + radius + np.arccos(threshold) + 1e-6)
+                    out = pd.DataFrame({"component": part.component.to_numpy()[r], "block": part.block.to_numpy()[r], "c2": component[c], "b2": block[c]})
+                    yield out[out.component < out.c2]
+
+        one = stage(balls.mapInPandas(near, "component long, block int, c2 long, b2 int"), "balls_near")
+        meet = one if meet is None else meet.unionByName(one)
+    left = meet.join(crowd, ["component", "block"]).withColumn("asks", F.lit(True))
+    right = meet.join(crowd.select(F.col("component").alias("c2"), F.col("block").alias("b2"), "id", "vec"), ["c2", "b2"]).withColumn("asks", F.lit(False))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf.asks], pdf[~pdf.asks]
+        s = units(matrix(a.vec)) @ units(matrix(b.vec)).T
+        r, c = np.unravel_index(s.argmax(), s.shape)
+        return pd.DataFrame({"a": a.id.iloc[[r]].to_numpy(), "b": b.id.iloc[[c]].to_numpy()})[: int(s[r, c] >= threshold)]
+
+    # Both blocks lie within one component each, so one link joins all there is to join.
+    return stage(left.unionByName(right).groupBy("component", "block", "c2", "b2").applyInPandas(best, "a long, b long"), "bridges")
+
+
 def _link_counts(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """(id, n_links) within components: blocks of each component against blocks of it, counts instead of pairs."""
     sized = labels.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -189,6 +245,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, a
             graph = descend(nodes, graph, k, n)
             found = graph.where(F.col("sim") >= threshold - 1e-12).select(F.col("u").alias("a"), F.col("v").alias("b"))
             labels = components(found)
+            more = bridges(nodes, graph, labels, k, threshold)
+            if more is not None and not more.isEmpty():
+                found = found.unionByName(more)
+                labels = components(found)
             total = seen = 0
             for truth in true_links(nodes, queries, threshold):
                 side = labels.select("id", "component")
