@@ -293,6 +293,29 @@ def test_two_crowds_and_one_bridge(spark):
     assert [got[int(i)].n_links for i in ids] == (near.sum(1) - 1).tolist()
 
 
+def test_audit_sees_pairs_beside_a_crowd(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    lone = rng.normal(size=(20, 16)) * 5
+    m = np.concatenate([crowd_around(rng, 40, 400), np.repeat(lone, 2, 0) + rng.normal(size=(40, 16)) * 0.01])
+    x = np.float32(m).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sims = x @ x.T
+    ids = np.r_[50 * np.arange(1000, 1400), 7 + np.arange(40)]
+    again = np.r_[ids, 50 * np.arange(1, 41)]  # each of the pairs' vectors has a copy with an id that is audited
+    asked = []
+
+    def descend(nodes, graph, k, n, rounds=4):  # loses all lone pairs until lists are longer
+        asked.append(k)
+        some = [(int(ids[i]), int(ids[j]), float(sims[i, j])) for i, j in zip(*np.nonzero(sims >= 0.9), strict=True) if i != j and (i < 400 or k > 10)]
+        return nn_descent.stage(spark.createDataFrame(some, "u long, v long, sim double"), "fake")
+
+    monkeypatch.setattr(nn_descent, "descend", descend)
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(again, np.float32(np.r_[m, m[400:]]), strict=True)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in nn_descent.near_vectors(df).collect()}
+    assert asked == [10, 20]
+    assert all(got[7 + i].component_id == 7 + i // 2 * 2 and got[7 + i].n_links == 3 for i in range(40))
+
+
 def test_whole_module_registers():
     from tokenledger.llm import queries
 

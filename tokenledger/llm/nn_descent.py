@@ -7,8 +7,9 @@ few lists change.  Nodes whose whole list is above the threshold are saturated:
 go on.  Links to a node that is not saturated are in that node's list; those between two saturated nodes of different
 components are found by comparing them all, in blocks, but for blocks whose balls are too far apart to hold a link.  Longer
 lists would find no more.  Components are then compared block by block, all members against all, which gives exact link
-counts inside each component.  Recall is audited by brute force over the vectors whose id is divisible by ``audit``, in
-blocks; below ``recall`` the lists are doubled and the descent goes on.
+counts inside each component.  Recall is audited by brute force over the vectors whose id is divisible by ``audit``, copies of
+others included, in blocks: each has its own, and both their mean and the mean over components must reach ``recall``, so that a crowd
+can't outvote the pairs elsewhere.  Below it the lists are doubled, new buckets drawn, and the descent goes on; links the audit saw are kept.
 
 Null vectors, zero vectors and vectors with null or non-finite parts link with nothing, as do vectors of a length other
 than the first one's by count.  Repeated rows of one vec_id are one vector (the smallest); null ids are left out of the result; extra columns, labels
@@ -36,14 +37,14 @@ def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(np.float64)
 
 
-def nodes_of(vectors: DataFrame) -> DataFrame:
-    """(id, vec, copies): distinct unit vectors that may link, with the smallest vec_id as id."""
+def nodes_of(vectors: DataFrame, audit: int = AUDIT) -> DataFrame:
+    """(id, vec, copies, asked): distinct unit vectors that may link, with the smallest vec_id as id; asked: any copy's id is divisible by audit."""
     usable = vectors.where("vec_id is not null and embedding is not null").where(F.size("embedding") > 0)
     usable = usable.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
     one = usable.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     sizes = one.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
     one = one.join(F.broadcast(sizes.select("d")), F.size("embedding") == F.col("d"), "left_semi")
-    return one.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).select("id", F.col("embedding").alias("vec"), "copies")
+    return one.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.bool_or(F.col("vec_id") % audit == 0).alias("asked")).select("id", F.col("embedding").alias("vec"), "copies", "asked")
 
 
 def units(m: np.ndarray) -> np.ndarray:
@@ -113,7 +114,7 @@ def first_graph(nodes: DataFrame, n: int, dim: int, k: int, tables: int = TABLES
 
     placed = nodes.select("id", "vec").mapInPandas(keys, "t int, key long, id long, vec array<float>")
     sizes = placed.groupBy("t", "key").agg(F.count("*").alias("n")).select("t", "key", F.ceil(F.col("n") / bucket).alias("parts"))
-    dealt = placed.join(sizes, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id", "t"), F.col("parts")))
+    dealt = placed.join(sizes, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id", "t", F.lit(seed)), F.col("parts")))
     return best_lists(_grouped(dealt, ["t", "key", "part"], max(2, k // 3)), k)
 
 
@@ -229,10 +230,26 @@ def true_links(nodes: DataFrame, queries: DataFrame, threshold: float = THRESHOL
         yield nodes.select("id", "vec").mapInPandas(meet, "id long, other long")
 
 
+def audited(nodes: DataFrame, labels: DataFrame, threshold: float) -> tuple[float, DataFrame | None]:
+    """(recall, missing (a, b)): the asked nodes' own recall, as the lesser of its mean over them and over components, and their links between components."""
+    rates = missing = None
+    side = labels.select("id", "component")
+    for truth in true_links(nodes, nodes.where("asked"), threshold):
+        got = truth.join(side, "id", "left").join(side.select(F.col("id").alias("other"), F.col("component").alias("c2")), "other", "left")
+        got = got.select(F.col("id").alias("a"), F.col("other").alias("b"), F.coalesce("component", "id").alias("component"), F.coalesce(F.col("component") == F.col("c2"), F.lit(False)).alias("seen"))
+        one = stage(got.groupBy("a", "component").agg(F.avg(F.col("seen").cast("int")).alias("own"), F.collect_list(F.when(~F.col("seen"), F.col("b"))).alias("unseen")), "audit")
+        lost = one.select("a", F.explode("unseen").alias("b"))
+        rates, missing = (one, lost) if rates is None else (rates.unionByName(one), missing.unionByName(lost))
+    if rates is None:
+        return 1.0, None
+    means = rates.groupBy("component").agg(F.sum("own").alias("own"), F.count("*").alias("n")).agg(F.sum("own") / F.sum("n"), F.avg(F.col("own") / F.col("n"))).first()
+    return min(1.0 if x is None else x for x in means), missing
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, audit: int = AUDIT, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) a distinct vec_id."""
     vectors = vectors.select("vec_id", "embedding")
-    nodes = stage(nodes_of(vectors), "nodes")
+    nodes = stage(nodes_of(vectors, audit), "nodes")
     n = nodes.count()
     if n < 2:
         labels = nodes.select("id", F.col("id").alias("component"))
@@ -240,7 +257,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, a
     else:
         dim = nodes.select(F.size("vec").alias("d")).first()["d"]
         graph = stage(first_graph(nodes, n, dim, k), "graph")
-        queries = nodes.where(F.col("id") % audit == 0)
+        seed = 3
         while True:
             graph = descend(nodes, graph, k, n)
             found = graph.where(F.col("sim") >= threshold - 1e-12).select(F.col("u").alias("a"), F.col("v").alias("b"))
@@ -249,15 +266,13 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, a
             if more is not None and not more.isEmpty():
                 found = found.unionByName(more)
                 labels = components(found)
-            total = seen = 0
-            for truth in true_links(nodes, queries, threshold):
-                side = labels.select("id", "component")
-                got = truth.join(side, "id", "left").join(side.select(F.col("id").alias("other"), F.col("component").alias("c2")), "other", "left")
-                row = got.agg(F.count("*").alias("total"), F.count_if(F.col("component") == F.col("c2")).alias("seen")).first()
-                total, seen = total + row["total"], seen + row["seen"]
-            if seen >= recall * total or k >= n:
+            seen, missing = audited(nodes, labels, threshold)
+            if seen >= recall or k >= n:
+                if missing is not None and not missing.isEmpty():
+                    labels = components(found.unionByName(missing))
                 break
-            k *= 2
+            k, seed = 2 * k, seed + 1
+            graph = stage(best_lists(graph.unionByName(first_graph(nodes, n, dim, k, seed=seed)), k), "graph")
         counts = _link_counts(nodes, labels, threshold)
     near = nodes.join(labels, "id", "left").join(counts, "id", "left").select(
         F.col("vec").alias("embedding"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
