@@ -212,6 +212,12 @@ def test_extraction():
     assert site_style.main_text("<div>" * 5000 + "deep") == "deep"
 
 
+def test_extraction_of_very_deep_pages():
+    deep = "<div>" * 300 + "inner" + "<div class='ads'>buy</div>" + "</div>" * 300
+    assert site_style.main_text(f"<div><article><p>first</p>{deep}<p>last</p></article><p>outside</p></div>") == "first\ninner\nlast"
+    assert site_style.main_text("<div>" * 100_000 + "deep" + "</section>" * 100_000) == "deep"
+
+
 def test_style_tree_removes_template_branches(spark):
     page = lambda i: f"<body><div class='top'>Welcome to our site</div><div class='txt'><p>story {i} of the day</p></div></body>"
     rows = [(i, f"http://host.com/{i}", page(i)) for i in range(12)] + [(50, "http://one.com/", page(50)), (51, None, page(51)), (52, "http://host.com/x", None), (3, "http://host.com/3", page(3))]

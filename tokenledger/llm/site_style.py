@@ -83,6 +83,7 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     # (tag, label path, inside noise, inside main, only flow elements since main)
     stack = [("", "", False, False, True)]
+    opened: dict[str, int] = {}  # elements of a tag on the stack, so that an end tag without one costs nothing
     words: list[str] = []
 
     def flush():
@@ -111,18 +112,21 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         if m["end"]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while opened.get(tag):
+                gone = stack.pop()[0]
+                opened[gone] -= 1
+                if gone == tag:
                     break
             continue
         closes = CLOSES.get(tag) or (("p",) if tag in P_ENDERS else ())
         while len(stack) > 1 and stack[-1][0] in closes:
-            stack.pop()
+            opened[stack.pop()[0]] -= 1
         label, noise, main = _label(tag, m["attrs"])
         _, path, in_noise, in_main, flow = stack[-1]
-        if len(stack) < 200:  # deeper elements are taken as part of the element at that depth
-            stack.append((tag, f"{path}/{label}", in_noise or noise, in_main or main, (flow or not in_main) and tag in FLOW))
+        if len(stack) >= 200:  # a hash stands for the path down to a very deep element, so that paths stay short
+            path = f"~{xxhash.xxh3_64_hexdigest(path)}"
+        stack.append((tag, f"{path}/{label}", in_noise or noise, in_main or main, (flow or not in_main) and tag in FLOW))
+        opened[tag] = opened.get(tag, 0) + 1
     words.append(page[at:])
     flush()
     return out
