@@ -60,8 +60,9 @@ def shingles(text: str | None, width: int = WIDTH, known: dict[str, int] | None
     if not words:
         return np.empty(0, np.uint64)
     known = {} if known is None else known
-    for w in set(words) - known.keys():
-        known[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words):
+        if w not in known:
+            known[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     k = min(width, len(words))
     n = len(words) - k + 1
