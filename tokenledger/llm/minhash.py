@@ -12,15 +12,15 @@ into posting lists, one for each coordinate and value.
   signature, and pairs above the match threshold are confirmed on full sets.  Lists whose members are then in one
   component are done;
 * skip: lists with several components give all pairs between different components if they have up to ``short``
-  members.  The members of longer ones meet through their rarest shingles instead: two sets at the wanted
-  similarity share one among their first few by rising frequency, and places further on are skipped if what is
+  members.  The members of longer ones, and of no others, meet through a prefix of their shingles: in one order of all shingles, those
+  that many hold last, two sets at the wanted similarity share one of their first few, and places further on are skipped if what is
   left of either set can't reach the overlap.  That is exact, and neither a passage that many documents share nor
   a crowd of loose copies of one text costs a pair for each two of them.
 
 Links are exact above the confirmation; a pair at similarity 0.85 goes unseen only if under 6 of 16
 coordinates or under 88 of 128 agree, with odds of about one in a million.  Null texts have empty
-sets; repeated rows of one doc_id are one document whose first set (by text) counts; null doc_ids come back
-unlinked with themselves as component.
+sets; repeated rows of one doc_id are one document whose smallest set (by size, then hash) counts; rows without doc_id, which no
+result could name, are left out; an empty table gives no rows; texts may be of any length; ties between pivots go to the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ from tokenledger.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 WIDTH, POSTED, LEAST, SIGNATURE, MATCHES, SHORT = 5, 16, 6, 128, 88, 24
+#: Hash slots, and common shingles, that may be broadcast.
+SLOTS, MOST_COMMON = 1 << 20, 1_000_000
 _LOW = str.maketrans(UPPER, LOWER)
 _SEEDS = np.random.default_rng(7)
 _MUL = _SEEDS.integers(1, 2**32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
@@ -105,21 +107,31 @@ def sets(docs: DataFrame, full: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, kind)
 
 
+def narrowed(rows: DataFrame, ids: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The rows whose doc_id may be among ids (doc_id): at most ``slots`` hash slots of ids are broadcast, so that
+    texts and signatures that nobody asks for stay out of the shuffle.  An exact join follows wherever this is used."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("_slot")
+    return rows.withColumn("_slot", slot).join(F.broadcast(ids.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets S, T have 100 * |S and T| >= percent * |S or T|.
+    """The pairs (a, b) of a staged table whose full sets S, T have 100 * |S and T| >= percent * |S or T|.
 
     Smaller-id sides are shared by many pairs, so each set is made once and travels to its pairs."""
-    pairs = pairs.select("a", "b")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    members = sets(docs.join(wanted, "doc_id", "left_semi"), full=True)
+    wanted = _ends(pairs)
+    members = sets(narrowed(docs, wanted).join(wanted, "doc_id", "left_semi"), full=True)
     left = members.select(F.col("doc_id").alias("a"), F.col("members").alias("m_a"))
     right = members.select(F.col("doc_id").alias("b"), F.col("members").alias("m_b"))
     both = F.size(F.array_intersect("m_a", "m_b"))
-    return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("m_a") + F.size("m_b") - both)).select("a", "b")
+    return stage(pairs.join(right, "b").join(left, "a").where(100 * both >= percent * (F.size("m_a") + F.size("m_b") - both)).select("a", "b"), "confirmed")
 
 
 def _collisions(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
-    """Pairs (a, b) whose signatures agree on enough of all coordinates."""
+    """Pairs (a, b) whose signatures agree on enough of all coordinates, staged."""
 
     @F.pandas_udf("int")
     def agree(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -127,32 +139,70 @@ def _collisions(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
             return pd.Series([], dtype="int32")
         return pd.Series((np.stack(x.to_list()) == np.stack(y.to_list())).sum(1))
 
+    pairs = stage(pairs, "pairs")
+    sigs = narrowed(sigs, _ends(pairs))
     left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
     right = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(right, "b").join(left, "a").where(agree("sig_a", "sig_b") >= matches).select("a", "b")
+    out = stage(pairs.join(right, "b").join(left, "a").where(agree("sig_a", "sig_b") >= matches).select("a", "b"), "collided")
+    unstage(pairs)
+    return out
 
 
 def _labelled(lists: DataFrame, comp: DataFrame) -> DataFrame:
     return lists.join(comp.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def _rarest_first(docs: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of docs in different components that may reach the similarity: all there are, by rare shingles.
+def _common(docs: DataFrame, over: int) -> DataFrame:
+    """(token) of the shingles that more than ``over`` of docs hold."""
+    return sets(docs, full=True).select(F.explode("members").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > over).select("token")
+
+
+def _prefixes(docs: DataFrame, percent: int, common: DataFrame, most: int = MOST_COMMON) -> DataFrame:
+    """(doc_id, n, at, token): the first n - ceil(n * percent / 100) + 1 shingles of each set, those that are not common first, then by value."""
+    how_many = lambda n: n - -(-n * percent // 100) + 1
+    schema = "doc_id long, n long, at int, token long"
+    if common.count() > most:  # the list is too long to broadcast: it is joined
+        tokens = sets(docs, full=True).select("doc_id", F.size("members").cast("long").alias("n"), F.explode("members").alias("token"))
+        told = tokens.join(common.withColumn("often", F.lit(1)), "token", "left")
+        first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        in_order = told.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "token"))).alias("ts"))  # bounded by the document
+        return in_order.select("doc_id", "n", F.posexplode(F.slice("ts", F.lit(1), first.cast("int"))).alias("at", "t")).select("doc_id", "n", "at", "t.token")
+    often = docs.sparkSession.sparkContext.broadcast(np.sort(common.toArrow()["token"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[], [], [], []]
+            for doc, members in zip(b["doc_id"].to_pylist(), b["members"], strict=True):
+                s = members.values.to_numpy()
+                n, k = len(s), how_many(len(s))
+                at = np.minimum(np.searchsorted(often.value, s), max(0, len(often.value) - 1))
+                first = s[np.lexsort((s, often.value[at] == s))[:k]] if len(often.value) else np.sort(s)[:k]
+                for column, x in zip(out, (np.full(k, doc), np.full(k, n), np.arange(k, dtype=np.int32), first), strict=True):
+                    column.append(x)
+            kinds = (np.int64, np.int64, np.int32, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0), from_pandas=False).cast(pa.from_numpy_dtype(k)) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n", "at", "token"])
+
+    return sets(docs, full=True).mapInArrow(run, schema)
+
+
+def _rarest_first(docs: DataFrame, comp: DataFrame, percent: int, short: int) -> DataFrame:
+    """Pairs (a, b) of docs in different components that may reach the similarity, staged: all there are, by rare shingles.
 
     A set of n with n * percent / 100 <= m <= n * 100 / percent members in the other needs an overlap of
-    percent * (n + m) / (100 + percent); sorted by frequency, both have their first common shingle where at least that much is left."""
-    tokens = stage(sets(docs, full=True).select("doc_id", F.size("members").alias("n"), F.explode("members").alias("token")), "tokens")
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    by_doc = tokens.join(counts, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ts"))  # bounded by the document
-    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    posts = by_doc.select("doc_id", "n", F.posexplode(F.slice("ts", F.lit(1), first.cast("int"))).alias("at", "t")).where("t.df > 1").select("doc_id", "n", "at", "t.token")
-    posts = stage(_labelled(posts, comp), "posts")
-    unstage(tokens)
+    percent * (n + m) / (100 + percent); in one order of all shingles, both have their first common one where at least that much is left."""
+    common = stage(_common(docs, short), "common")
+    every = stage(_prefixes(docs, percent, common), "prefixes")
+    shared = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+    posts = stage(_labelled(every.join(shared, "token"), comp), "posts")
+    unstage(common)
+    unstage(every)
     other = posts.select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("component").alias("component_b"))
     mine = posts.select("token", F.col("doc_id").alias("a"), "n", "at", "component")
     left = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
     reach = left * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
-    return mine.join(other, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & reach).select("a", "b").distinct()
+    out = stage(mine.join(other, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & reach).select("a", "b").distinct(), "pairs")
+    unstage(posts)
+    return out
 
 
 def links(docs: DataFrame, reps: DataFrame, percent: int = 85, posted: int = POSTED, least: int = LEAST, matches: int = MATCHES, short: int = SHORT) -> DataFrame:
@@ -167,28 +217,30 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = 85, posted: int = POS
     popular = lists.groupBy("doc_id").agg(F.sum(F.log2("n")).alias("popular"))
     heads = lists.join(popular, "doc_id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("doc_id")).alias("i"))).alias("x")).select("key", (-F.col("x.i")).alias("a"))
     pairs = lists.select("key", F.col("doc_id").alias("b")).join(heads, "key").where("a <> b").select("a", "b").distinct()
-    found = stage(confirm(docs, _collisions(pairs, reps, matches), percent), "confirmed")
+    found = confirm(docs, _collisions(pairs, reps, matches), percent)
     comp = components(found)
     marked = _labelled(lists, comp)
     mixed = marked.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("key")
     still = stage(marked.join(mixed, "key"), "mixed")
+    unstage(lists)
     close = still.where(F.col("n") <= short).select("key", "doc_id", "component")
     other = close.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
     near = close.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and component <> component_b").select("a", "b").distinct()
-    found = found.unionByName(stage(confirm(docs, _collisions(near, reps, matches), percent), "confirmed"))
-    crowd = still.where(F.col("n") > short).select("doc_id").distinct()
-    rare = _rarest_first(docs.join(crowd, "doc_id", "left_semi"), comp, percent)
-    return found.unionByName(stage(confirm(docs, rare, percent), "confirmed"))
+    found = found.unionByName(confirm(docs, _collisions(near, reps, matches), percent))
+    crowd = stage(still.where(F.col("n") > short).select("doc_id").distinct(), "crowd")
+    rare = _rarest_first(stage(narrowed(docs, crowd).join(crowd, "doc_id", "left_semi"), "crowded"), comp, percent, short)
+    return found.unionByName(confirm(docs, rare, percent))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, **how) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) a distinct doc_id; docs: doc_id, text, other columns are ignored."""
     docs = docs.select("doc_id", "text")
-    signed = stage(sets(docs, full=False), "sets")
-    one = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("x")).select("doc_id", "x.*")
+    signed = stage(sets(docs.where("doc_id is not null"), full=False), "sets")
+    one = stage(signed.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("x")).select("doc_id", "x.*"), "one")
     classes = one.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # A class's representative by set, then its signature
-    reps = stage(signed.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id"]).select("doc_id", "sig"), "signatures")
+    reps = stage(signed.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).groupBy("doc_id").agg(F.first("sig").alias("sig")), "signatures")
+    unstage(signed)
     found = links(docs, reps, percent, **how)
     comp = components(found).select(F.col("id").alias("rep"), "component")
     of_class = classes.join(comp, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
