@@ -128,7 +128,7 @@ class Vocabulary:
             close = np.full(len(sym), self.NONE)
             if len(follow):
                 close[follow] = self._ranks(piece[follow], sym[follow + 2])[0]
-                close[follow][word[follow] != word[follow + 2]] = self.NONE
+                close[follow[word[follow] != word[follow + 2]]] = self.NONE
             unsafe_words = np.union1d(w[beside <= best[keep]], word[close <= best])
             if len(unsafe_words):
                 risky = np.isin(word[at], unsafe_words)
