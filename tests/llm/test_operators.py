@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tokenledger.llm import crf_language, decontaminate, line_dedup, minhash, nn_descent, pieces, site_style, suffix_dedup, url_filter, weak_quality
+from tokenledger.llm import crf_language, decontaminate, line_dedup, minhash, nn_descent, pieces, suffix_dedup, url_filter, weak_quality
 from tokenledger.llm.components import components
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -201,31 +201,6 @@ def test_quality(spark):
     assert len(odd) == len(ODD) and weak_quality.classify(docs(spark, [])).count() == 0
 
 
-PAGE = """<html><head><title>t</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><li>menu</li></nav><div class="ad x">buy</div>
-<article><h1>Head &amp; line</h1><p><b>First  bold<br><p>Two\n words&nbsp;here</p><ul><li>a<li>b</ul><div class="comments"><p>nice!</p></div></article><footer>&copy; x</footer></body>"""
-
-
-def test_extraction():
-    assert site_style.main_text(PAGE) == "Head & line\nFirst bold\nTwo words here\na\nb"
-    assert site_style.main_text(None) == "" and site_style.main_text("<p") == "<p" and site_style.main_text("a < b <p>c") == "a < b\nc"
-    assert site_style.main_text('<p title="a>b">x</p><p class=\'open>y') != ""
-    assert site_style.main_text("<div>" * 5000 + "deep") == "deep"
-
-
-def test_extraction_of_very_deep_pages():
-    deep = "<div>" * 300 + "inner" + "<div class='ads'>buy</div>" + "</div>" * 300
-    assert site_style.main_text(f"<div><article><p>first</p>{deep}<p>last</p></article><p>outside</p></div>") == "first\ninner\nlast"
-    assert site_style.main_text("<div>" * 100_000 + "deep" + "</section>" * 100_000) == "deep"
-
-
-def test_style_tree_removes_template_branches(spark):
-    page = lambda i: f"<body><div class='top'>Welcome to our site</div><div class='txt'><p>story {i} of the day</p></div></body>"
-    rows = [(i, f"http://host.com/{i}", page(i)) for i in range(12)] + [(50, "http://one.com/", page(50)), (51, None, page(51)), (52, "http://host.com/x", None), (3, "http://host.com/3", page(3))]
-    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[3] == "story 3 of the day" and got[50].startswith("Welcome") and got[51].startswith("Welcome") and got[52] == ""
-    assert site_style.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
 def brute_removal(rows, n):
     seen = collections.Counter(b[i : i + n] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - n + 1))
     out = {}

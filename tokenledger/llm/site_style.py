@@ -1,21 +1,27 @@
 """HTML extraction with site style trees.
 
-Every page becomes a list of blocks, each with its style path: the labels (tag, class, id, role) of
-the block elements it stands in.  The pages of one host, merged by style path, form the site style tree; it is held
-as a table (host, path) with an importance between 0 and 1:
-
-* content: one minus the mean, over the texts seen at the path, of the entropy (base: pages with the
-  path) of how a text spreads over pages.  A text on every page counts 0, one on a single page 1;
-* presentation: entropy of the sequences of child labels that the path's parent shows on those pages.
-
-Branches of low importance leave each page, as do elements whose tag, role or class says menu, header,
-footer, sidebar, notice, advert, form, script, style or comments.  Where a page marks its main
-content (article, main, role=main), only that is kept, and paragraphs, headings, lists, quotes and
-tables inside it are the content asked for, however often a site repeats them: importance removes only other branches there.
-
-Statistics are sums over (host, path, text, page), so a host with a third of all pages is aggregated
-before it meets in one task.  Null html gives an empty text; a page without host is judged by itself;
-repeated rows are separate pages to the result and one to the statistics; extra columns are ignored.
+Every page is parsed once into its elements and text blocks.  The elements of a host's pages that have the same labels (tag,
+classes, role) from the root down are one node of the site style tree, which is held as a table of nodes with
+
+* presentation: the entropy of the sequences of child labels that the node shows, over the pages that have it;
+* content: one minus the mean, over the texts seen at the node, of the entropy of how a text spreads over those pages.  A text
+  on every page counts 0, one on a single page 1.
+
+On a page, an element without elements in it has its node's content as importance; any other has
+(1 - gamma ** l) * presentation + gamma ** l * (mean over its children and own text), l being how many different sequences its node
+shows.  A branch all of whose elements have an importance below ``low`` leaves the page.  Tags and class words only settle
+ties: below ``high``, branches that they mark, or that lie outside the article a page marks (article, main, role=main), go as well.
+
+A clean-up of what the contract names follows, as it may be unique to each page: marked elements (class words that say nothing
+else than menu, advert, comments and the like) and, on pages with a marked article, what lies outside it.  Words that say more, such as
+share-price or article-header, never remove by themselves, and nothing on a heading does.  Inside the marked article, paragraphs, headings,
+lists, quotes and tables without a class of their own are the content asked for, however often a site repeats them.
+
+Statistics are sums over (node, text) and (node, sequence), made in each task before they meet, so a host with a third of all
+pages is no hot key.  The nodes seen on ``least_pages`` pages or more are broadcast if they number ``most_nodes`` at most, else
+joined.  Parsed pages are staged; html is never shuffled.  Null html, and an empty table, give empty texts and no rows; a page without a host or
+whose nodes were seen on too few pages is judged by the marks; where the tree would leave nothing of a page, the marks alone
+judge it; repeated rows are pages of their own; pages may be of any length and depth; columns but page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +30,14 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm.common import table
+from tokenledger.llm.common import stage, table
+from tokenledger.llm.pieces import blocks as cut
 from tokenledger.llm.url_filter import with_host_and_path
 
 RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|select|canvas|math|xmp"
@@ -49,156 +57,273 @@ NOISE_WORDS = frozenset(
     "menu menus breadcrumb breadcrumbs sidebar header footer masthead comment comments disqus reply replies respond share sharing social related newsletter "
     "subscribe signup login search popup modal overlay copyright contentinfo complementary alert dialog toolbar widget pagination pager".split()
 )
-MAIN = frozenset(("article", "main"))
+#: Words that say nothing about what an element holds.
+PLACES = frozenset("site page top bottom left right main list bar box block slot area section links buttons button icons wrapper wrap container inner outer row col unit form thread item".split())
+MAIN, HEADINGS = frozenset(("article", "main")), frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose text is content wherever the main part of a page holds them.
 FLOW = frozenset("article main p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption section body html".split())
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
 P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 SPACES = re.compile(r"[\x20\x09-\x0D\xa0\s]+")
-GAMMA, LOW, LEAST_PAGES, SALTS = 0.9, 0.3, 5, 32
+GAMMA, LOW, HIGH, LEAST_PAGES, MOST_NODES = 0.9, 0.5, 0.9, 5, 1_000_000
+#: Marks of an element: by a word or tag that says noise, by one that may, main content, a flow element without a class.
+STRONG, WEAK, IS_MAIN, BARE_FLOW = 1, 2, 4, 8
+DOM = "row long, page_id long, url string, sited boolean, node array<long>, parent array<int>, mark array<int>, at array<int>, text array<string>"
 
 
-def _label(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """(style label, whether it is noise, whether it is main content) of an element."""
-    noise, main, names = tag in NOISE_TAGS, tag in MAIN, []
+def judged(tag: str, attrs: str, in_main: bool) -> tuple[str, int]:
+    """(label, marks) of an element."""
+    mark = IS_MAIN * (tag in MAIN) | (WEAK if tag == "header" and in_main else STRONG) * (tag in NOISE_TAGS)
+    names = []
     if attrs and not attrs.isspace():
         for m in ATTR.finditer(attrs):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            names.append(value)
-            words = re.split(r"[^a-z]+", value)
-            noise = noise or not NOISE_WORDS.isdisjoint(words)
-            main = main or (m[1].lower() == "role" and value.strip() == "main")
-    return (tag + "." + ".".join(names) if names else tag), noise, main
-
-
-class Block:
-    __slots__ = ("flow", "main", "noise", "path", "text")
-
-    def __init__(self, text, path, noise, main, flow):
-        self.text, self.path, self.noise, self.main, self.flow = text, path, noise, main, flow
-
-
-def blocks(page: str | None) -> list[Block]:
-    """The text blocks of a page in order."""
-    out: list[Block] = []
-    # (tag, label path, inside noise, inside main, only flow elements since main)
-    stack = [("", "", False, False, True)]
-    opened: dict[str, int] = {}  # elements of a tag on the stack, so that an end tag without one costs nothing
-    words: list[str] = []
-
-    def flush():
-        if words:
-            text = SPACES.sub(" ", entities.unescape("".join(words))).strip()
-            words.clear()
-            if text:
-                _, path, noise, main, flow = stack[-1]
-                out.append(Block(text, path, noise, main, flow))
-
-    at = 0
-    page = page or ""
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            words.append(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["raw"] is not None and m["raw"].lower() == "title":
-                flush()
-            continue
-        tag = tag.lower()
-        if tag in INLINE:
-            continue
-        flush()
-        if tag in VOID:
-            continue
-        if m["end"]:
-            while opened.get(tag):
-                gone = stack.pop()[0]
+            tokens = (m[2] or m[3] or m[4] or "").lower().split()
+            if m[1].lower() != "id":
+                names += tokens
+            mark |= IS_MAIN * (m[1].lower() == "role" and "main" in tokens)
+            for t in tokens if tag not in HEADINGS else ():
+                words = {w for w in re.split(r"[^a-z]+", t) if w}
+                if not words.isdisjoint(NOISE_WORDS):
+                    mark |= STRONG if words <= NOISE_WORDS | PLACES else WEAK
+    if not names:
+        return tag, mark | BARE_FLOW * (tag in FLOW)
+    return f"{tag}.{'.'.join(re.sub('[0-9]+', '#', n) for n in sorted(set(names)))}", mark
+
+
+class Dom:
+    """Elements in page order (the root is number 0) with node, parent and marks; text blocks with their element."""
+
+    def __init__(self, page: str | None, host: str = ""):
+        self.node, self.parent, self.mark, self.at, self.text = [xxhash.xxh3_64_intdigest(host)], [-1], [BARE_FLOW], [], []
+        stack, open_main = [("", 0)], 0
+        opened: dict[str, int] = {}  # elements of a tag on the stack, so that an end tag without one costs nothing
+        words: list[str] = []
+        muted, depth = "", 0  # a marked element within a line: its text goes, the line stays whole
+
+        def flush():
+            if words:
+                text = SPACES.sub(" ", entities.unescape("".join(words))).strip()
+                words.clear()
+                if text:
+                    self.at.append(stack[-1][1])
+                    self.text.append(text)
+
+        at, page = 0, page or ""
+        for m in TOKEN.finditer(page):
+            if m.start() > at and not muted:
+                words.append(page[at : m.start()])
+            at = m.end()
+            tag = m["tag"]
+            if tag is None:
+                if m["raw"] is not None and m["raw"].lower() == "title":
+                    flush()
+                continue
+            tag = tag.lower()
+            if tag in INLINE:
+                if muted:
+                    depth += 0 if tag != muted else -1 if m["end"] else 1
+                    muted = muted if depth > 0 else ""
+                elif not m["end"] and tag not in VOID and ("=" in m["attrs"]) and judged(tag, m["attrs"], False)[1] & STRONG:
+                    muted, depth = tag, 1
+                continue
+            muted = ""
+            flush()
+            if tag in VOID:
+                continue
+            if m["end"]:
+                while opened.get(tag):
+                    gone, i = stack.pop()
+                    opened[gone] -= 1
+                    open_main -= self.mark[i] & IS_MAIN > 0
+                    if gone == tag:
+                        break
+                continue
+            closes = CLOSES.get(tag) or (("p",) if tag in P_ENDERS else ())
+            while len(stack) > 1 and stack[-1][0] in closes:
+                gone, i = stack.pop()
                 opened[gone] -= 1
-                if gone == tag:
-                    break
-            continue
-        closes = CLOSES.get(tag) or (("p",) if tag in P_ENDERS else ())
-        while len(stack) > 1 and stack[-1][0] in closes:
-            opened[stack.pop()[0]] -= 1
-        label, noise, main = _label(tag, m["attrs"])
-        _, path, in_noise, in_main, flow = stack[-1]
-        if len(stack) >= 200:  # a hash stands for the path down to a very deep element, so that paths stay short
-            path = f"~{xxhash.xxh3_64_hexdigest(path)}"
-        stack.append((tag, f"{path}/{label}", in_noise or noise, in_main or main, (flow or not in_main) and tag in FLOW))
-        opened[tag] = opened.get(tag, 0) + 1
-    words.append(page[at:])
-    flush()
-    return out
-
-
-def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """Main text of a page; low: style paths of low importance on its site."""
-    found = [b for b in blocks(page) if not b.noise]
-    if any(b.main for b in found):
-        found = [b for b in found if b.main and (b.flow or b.path not in low)]
-    else:
-        found = [b for b in found if b.path not in low]
-    return "\n".join(b.text for b in found)
+                open_main -= self.mark[i] & IS_MAIN > 0
+            label, mark = judged(tag, m["attrs"], open_main > 0)
+            open_main += mark & IS_MAIN > 0
+            above = stack[-1][1]
+            stack.append((tag, len(self.node)))
+            self.node.append(xxhash.xxh3_64_intdigest(label, seed=self.node[above]))
+            self.parent.append(above)
+            self.mark.append(mark)
+            opened[tag] = opened.get(tag, 0) + 1
+        if not muted:
+            words.append(page[at:])
+        flush()
+
+
+def kept(parent: list[int], mark: list[int], at: list[int], tree=None, low: float = LOW, high: float = HIGH, clean: bool = True) -> tuple[list[bool], int]:
+    """(whether each block stays, how many the tree removed).  tree: (presentation, gamma ** l, content) of each element's node, nan where it is not known; None: no tree."""
+    n = len(parent)
+    strong, main, flow = [False] * n, [False] * n, [False] * n
+    weak = [False] * n
+    above_main = [False] * n
+    for i in range(n):  # parents come first
+        p = parent[i]
+        m, in_main = mark[i], p >= 0 and main[p]
+        strong[i] = bool(m & STRONG) or (p >= 0 and strong[p])
+        weak[i] = bool(m & WEAK) or (p >= 0 and weak[p])
+        main[i] = in_main or bool(m & IS_MAIN)
+        flow[i] = bool(m & BARE_FLOW) and (flow[p] if in_main else True) if p >= 0 else True
+    has_main = any(main[e] and not strong[e] for e in at)
+    for i in range(n - 1, 0, -1):
+        if main[i] or above_main[i]:
+            above_main[parent[i]] = True
+    marked = [strong[e] or (has_main and not main[e]) for e in range(n)]
+    by_marks = [not (clean and marked[e]) for e in at]
+    if tree is None:
+        return by_marks, 0
+    pres, weight, content = tree
+    texts, sums, count, gone = [0] * n, [0.0] * n, [0] * n, [True] * n
+    for e in at:
+        texts[e] += 1
+    for i in range(n - 1, -1, -1):
+        if pres[i] != pres[i]:  # nothing known about the node
+            own = 1.0
+        elif not count[i]:
+            own = content[i] if texts[i] else 0.0
+        else:
+            s, c = (sums[i] + content[i], count[i] + 1) if texts[i] else (sums[i], count[i])
+            own = (1 - weight[i]) * pres[i] + weight[i] * s / c
+        bound = high if strong[i] or weak[i] or (has_main and not main[i] and not above_main[i]) else low
+        gone[i] = gone[i] and own < bound and not (main[i] and flow[i] and not strong[i] and not weak[i])
+        if i:
+            p = parent[i]
+            sums[p] += own
+            count[p] += 1
+            gone[p] = gone[p] and gone[i]
+    stay = [ok and not gone[e] for ok, e in zip(by_marks, at, strict=True)]
+    if any(by_marks) and not any(stay):
+        return by_marks, 0
+    return stay, sum(gone[e] for e in at)
+
+
+def main_text(page: str | None) -> str:
+    """Main text of a page by itself, without its site's tree."""
+    d = Dom(page)
+    return "\n".join(t for t, ok in zip(d.text, kept(d.parent, d.mark, d.at)[0], strict=True) if ok)
+
 
+def lists(values: list[list], kind: pa.DataType) -> pa.ListArray:
+    flat = [x for v in values for x in v]
+    if kind == pa.int64():
+        flat = np.array(flat, np.uint64).view(np.int64)
+    return pa.ListArray.from_arrays(np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int32), pa.array(flat, kind))
 
-def site_styles(pages: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """The site style trees: (host, path, pages, content, presentation, importance).  pages: page_id, url, html."""
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """The pages (page_id, url, html) as rows of DOM, staged."""
+    pages = with_host_and_path(pages.select("page_id", "url", "html")).select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "host", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in cut(batches, "html", 1_000_000):
+            doms = [Dom(t, h) for t, h in zip(b["html"].to_pylist(), b["host"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [b["row"], b["page_id"], b["url"], pa.array([h != "" for h in b["host"].to_pylist()]), lists([d.node for d in doms], pa.int64()), lists([d.parent for d in doms], pa.int32()),
+                 lists([d.mark for d in doms], pa.int32()), lists([d.at for d in doms], pa.int32()), lists([d.text for d in doms], pa.string())],
+                names=["row", "page_id", "url", "sited", "node", "parent", "mark", "at", "text"])
+
+    return stage(pages.mapInArrow(run, DOM), "dom")
+
+
+def seen_on(node: list[int], parent: list[int], at: list[int], text: list[str]) -> tuple[dict[int, int], dict[tuple[int, int], int]]:
+    """A page's (sequence of child nodes by node, count by node and text), as 64-bit values."""
+    kids: dict[int, list[int]] = {}
+    for i in range(1, len(node)):
+        some = kids.setdefault(parent[i], [])
+        if not some or some[-1] != node[i]:
+            some.append(node[i])
+    shapes: dict[int, int] = {}
+    for i, x in enumerate(node):
+        shapes[x] = hash((shapes.get(x, 0), *kids.get(i, ())))
+    counts: dict[tuple[int, int], int] = {}
+    for e, t in zip(at, text, strict=True):
+        key = (node[e], xxhash.xxh3_64_intdigest(t) - 2**63)
+        counts[key] = counts.get(key, 0) + 1
+    return shapes, counts
+
+
+def site_styles(dom: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """The site style trees of staged pages: (node, pages, styles, presentation, content) of the nodes on enough pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, bool, int], int] = {}
+        logs: dict[tuple[int, bool, int], float] = {}
+
+        def out() -> pa.RecordBatch:
+            node, is_text, value = zip(*total, strict=True) if total else ((), (), ())
+            made = pa.RecordBatch.from_arrays(
+                [pa.array(node, pa.int64()), pa.array(is_text, pa.bool_()), pa.array(value, pa.int64()), pa.array(total.values(), pa.int64()), pa.array([logs.get(k, 0.0) for k in total], pa.float64())],
+                names=["node", "is_text", "value", "total", "clogc"])
+            total.clear()
+            logs.clear()
+            return made
+
         for b in batches:
-            rows = []
-            for page, host, text in zip(b["page_id"].to_pylist(), b["host"].to_pylist(), b["html"].to_pylist(), strict=True):
-                counts: dict[tuple[str, int], int] = {}
-                children: dict[str, list[str]] = {}
-                for x in blocks(text):
-                    key = (x.path, xxhash.xxh3_64_intdigest(x.text) - 2**63)
-                    counts[key] = counts.get(key, 0) + 1
-                    parent, _, leaf = x.path.rpartition("/")
-                    seen = children.setdefault(parent, [])
-                    if not seen or seen[-1] != leaf:
-                        seen.append(leaf)
-                shapes = {p: xxhash.xxh3_64_intdigest("/".join(c)) - 2**63 for p, c in children.items()}
-                rows += [(host, p, t, page, n, shapes[p.rpartition("/")[0]]) for (p, t), n in counts.items()]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "text", "page", "n", "shape"])
-
-    seen = (
-        with_host_and_path(pages.select("page_id", "url", "html")).where("host <> ''").select("page_id", "host", "html")
-        .mapInArrow(run, "host string, path string, text long, page long, n long, shape long")
-    )
-    # Entropy of a text over pages: (log N - sum c log c / N) / log m
-    by_page = seen.groupBy("host", "path", "text", "page").agg(F.sum("n").alias("c"), F.min("shape").alias("shape"))
-    by_text = by_page.groupBy("host", "path", "text").agg(F.sum("c").alias("total"), F.sum(F.col("c") * F.ln("c")).alias("clogc"))
-    spread = F.ln("total") - F.col("clogc") / F.col("total")
-    content = by_text.groupBy("host", "path").agg(F.avg(spread).alias("spread"))
-    # As a page has one shape a path, these sums count pages
-    by_shape = by_page.groupBy("host", "path", "page").agg(F.min("shape").alias("shape")).groupBy("host", "path", "shape").agg(F.count("*").alias("p"))
-    shown = by_shape.groupBy("host", "path").agg(F.sum("p").alias("pages"), F.sum(F.col("p") * F.ln("p")).alias("plogp"))
+            for row in zip(*(b[c] for c in ("node", "parent", "at", "text")), strict=True):
+                shapes, counts = seen_on(*(x.as_py() for x in row))
+                for n, s in shapes.items():
+                    total[n, False, s] = total.get((n, False, s), 0) + 1
+                for (n, t), c in counts.items():
+                    total[n, True, t] = total.get((n, True, t), 0) + c
+                    if c > 1:
+                        logs[n, True, t] = logs.get((n, True, t), 0.0) + c * np.log(c)
+                if len(total) > 200_000:
+                    yield out()
+        yield out()
+
+    seen = dom.where("sited").select("node", "parent", "at", "text").mapInArrow(run, "node long, is_text boolean, value long, total long, clogc double")
+    by_value = seen.groupBy("node", "is_text", "value").agg(F.sum("total").alias("n"), F.sum("clogc").alias("clogc"))
+    shape, n = ~F.col("is_text"), F.col("n")
+    # Entropy of a text over pages: log N - sum c log c / N; a node's sequences count its pages
+    by_node = by_value.groupBy("node").agg(
+        F.sum(F.when(shape, n)).alias("pages"), F.count_if(shape).alias("styles"), F.sum(F.when(shape, n * F.ln(n))).alias("plogp"), F.avg(F.when(~shape, F.ln(n) - F.col("clogc") / n)).alias("spread"))
     base = F.ln("pages")
-    joined = content.join(shown, ["host", "path"])
-    return joined.select(
-        "host", "path", "pages",
-        F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("spread") / base)).otherwise(1.0).alias("content"),
-        F.when(F.col("pages") > 1, (base - F.col("plogp") / F.col("pages")) / base).otherwise(1.0).alias("presentation"),
-    ).withColumn("importance", gamma * F.col("content") + (1 - gamma) * F.col("presentation"))
-
-
-def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(page_id, url, text, n_chars) a row of pages (page_id, url, html)."""
-    pages = with_host_and_path(pages.select("page_id", "url", "html")).drop("path")
-    styles = site_styles(pages).where((F.col("importance") < low) & (F.col("pages") >= least_pages))
-    # Style paths come from a site's templates, so a host's list is small next to its pages.
-    removed = styles.groupBy("host").agg(F.collect_set("path").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))  # a host with a third of the pages goes to many tasks
+    return by_node.where(F.col("pages") >= max(2, least_pages)).select(
+        "node", "pages", "styles", (1 - F.col("plogp") / F.col("pages") / base).alias("presentation"), F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("spread") / base), F.lit(0.0)).alias("content"))
+
+
+def extract(pages: DataFrame, low: float = LOW, high: float = HIGH, least_pages: int = LEAST_PAGES, most_nodes: int = MOST_NODES, gamma: float = GAMMA, clean: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars, n_blocks, n_by_tree) a row of pages (page_id, url, html); n_by_tree of n_blocks blocks left through the tree."""
+    dom = parsed(pages)
+    styles = stage(site_styles(dom, least_pages).select("node", F.col("presentation").alias("pres"), F.pow(F.lit(gamma), F.col("styles")).alias("weight"), "content"), "styles")
+    if styles.count() <= most_nodes:
+        found = styles.toArrow().sort_by("node")
+        known = dom.sparkSession.sparkContext.broadcast([found[c].to_numpy() for c in ("node", "pres", "weight", "content")])
+        dom = dom.withColumn("known", F.lit(None).cast("array<struct<node:long,pres:double,weight:double,content:double>>"))
+    else:
+        known = None
+        parts = dom.where("sited").select("row", F.explode(F.array_distinct("node")).alias("node")).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(32)))
+        salted = styles.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))))
+        of_row = parts.join(salted, ["node", "salt"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("node", "pres", "weight", "content"))).alias("known"))  # bounded by the page
+        dom = dom.join(of_row, "row", "left")
+
+    def looked_up(nodes: np.ndarray, table_: list[np.ndarray]) -> list[list[float]]:
+        if not len(table_[0]):
+            return [np.full(len(nodes), np.nan).tolist()] * 3
+        i = np.minimum(np.searchsorted(table_[0], nodes), len(table_[0]) - 1)
+        there = table_[0][i] == nodes
+        return [np.where(there, c[i], np.nan).tolist() for c in table_[1:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [main_text(t, set(x or ())) for t, x in zip(b["html"].to_pylist(), b["low"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            rows = []
+            for node, parent, mark, at, text, sited, own in zip(*(b[c] for c in ("node", "parent", "mark", "at", "text", "sited", "known")), strict=True):
+                table_ = known.value if known is not None else [own.values.field(i).to_numpy() for i in range(4)] if own.is_valid else [np.empty(0)] * 4
+                tree = looked_up(node.values.to_numpy(), table_) if sited.as_py() else None
+                at, text = at.as_py(), text.as_py()
+                stay, n = kept(parent.as_py(), mark.as_py(), at, tree, low, high, clean)
+                rows.append(("\n".join(t for t, ok in zip(text, stay, strict=True) if ok), len(at), n))
+            got, n_blocks, by_tree = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [b["page_id"], b["url"], pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64()), pa.array(n_blocks, pa.int64()), pa.array(by_tree, pa.int64())],
+                names=["page_id", "url", "text", "n_chars", "n_blocks", "n_by_tree"])
 
-    return pages.join(removed, ["host", "salt"], "left").select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return dom.select("page_id", "url", "node", "parent", "mark", "at", "text", "sited", "known").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_by_tree long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
