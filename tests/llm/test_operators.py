@@ -64,7 +64,7 @@ def test_pieces_equal_the_library(spark):
     assert len(out) == len(ODD) and all(r.ids == sp.encode(r.text or "", add_eos=True) and r.decoded == (r.text or "") for r in out)
 
 
-def test_minhash_equals_brute_force(spark):
+def test_minhash_equals_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(300)]
     passage = " ".join(rng.choice(words) for _ in range(60))
@@ -90,9 +90,12 @@ def test_minhash_equals_brute_force(spark):
             if a < b and both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
-    got = minhash.near_duplicates(docs(spark, [*rows, rows[0], (None, "no id")]), short=6).collect()
-    assert {r.doc_id: r.component_id for r in got} == {d: find(d) for d in sets} and len(got) == len(sets)
-    assert {r.doc_id: r.n_shingles for r in got} == {d: len(s) for d, s in sets.items()}
+    prefixes = minhash._prefixes
+    for most in (1000, 0):  # common shingles by broadcast, and by join
+        monkeypatch.setattr(minhash, "_prefixes", lambda d, p, c, most=most: prefixes(d, p, c, most))
+        got = minhash.near_duplicates(docs(spark, [*rows, rows[0], (None, "no id")]), short=6).collect()
+        assert {r.doc_id: r.component_id for r in got} == {d: find(d) for d in sets} and len(got) == len(sets)
+        assert {r.doc_id: r.n_shingles for r in got} == {d: len(s) for d, s in sets.items()}
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
 
 
@@ -104,7 +107,7 @@ def test_components(spark):
 
 def test_crf_posteriors_and_rows(spark):
     rng = np.random.default_rng(0)
-    model = crf_language.Crf(["a", "b", "c"], np.zeros((crf_language.TABLE + 1, 3), np.float32), rng.normal(size=(3, 3)))
+    model = crf_language.Crf(["a", "b", "c"], np.zeros((crf_language.TABLE, 3), np.float32), rng.normal(size=(3, 3)))
     lengths = np.array([1, 64, 65, 300, 2])
     scores = rng.normal(size=(lengths.sum(), 3)) * 3
     q, at = model.posteriors(scores, lengths), 0
@@ -132,6 +135,32 @@ def test_crf_posteriors_and_rows(spark):
     assert crf_language.train(df.limit(0)) is None and crf_language.identify(df, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_crf_sees_whole_words_and_letters_only(spark):
+    assert crf_language.words_of("a½b ²x Ⅷ c3d é_ö 漢字") == ["a", "b", "x", "c", "d", "é", "ö", "漢字"] and crf_language.words_of("½ ² Ⅷ 3 _") == []
+    one, two = "x" * 30 + "middle" + "y" * 30, "x" * 30 + "muddle" + "y" * 30
+    slots = lambda w: set(crf_language.features([w])[1].tolist())
+    assert slots(one) != slots(two) and slots(one) == set(crf_language.features(["a", one, "b" * 3000])[1][crf_language.features(["a", one, "b" * 3000])[0] == 1].tolist())
+    for w in ("a", "ab", "abcd"):
+        word, slot = crf_language.features([w])
+        n = len(w)
+        assert len(slot) == n + (n + 1) + n + 2 * sum(n + 2 > k + 1 for k in (1, 2, 3)) + 1  # 1-, 2-, 3-grams with ends, affixes, word
+    rows = [(i, ("the house and the garden " if i % 2 else "das haus und der garten ") * 9, "en" if i % 2 else "de") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = crf_language.train(df)
+    odd = spark.createDataFrame([(1, "the house and the garden das haus und der garten", "x"), (2, None, "x"), (3, "½ 12", "x")], "doc_id long, text string, stretches string")
+    got = {r.doc_id: [(s.lang, s.words) for s in r.stretches] for r in crf_language.switches(odd, crf).collect()}
+    assert got == {1: [("en", "the house and the garden"), ("de", "das haus und der garten")], 2: [], 3: []}
+    assert {r.lang_pred for r in crf_language.identify(odd, crf).where("doc_id > 1").collect()} == {"und"}
+
+
+def test_all_of_a_sample_text_teaches(spark):
+    late = " ".join(["filler"] * 5000 + ["zebra"] * 50)
+    rows = [(i, late if i % 2 else "filler " * 5050 + "quagga " * 50, "en" if i % 2 else "de") for i in range(40)]
+    crf = crf_language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = crf.posteriors(crf.emissions(["zebra", "quagga"]), np.array([1, 1]))
+    assert crf.labels == ["de", "en"] and got[0, 1] > 0.5 > got[1, 1]
+
+
 def test_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = crf_language.identify(df, crf_language.train(df)).where(crf_language.held_out(F.col("doc_id")))
