@@ -149,10 +149,103 @@ def test_findings_rank(spark):
 
 
 def test_streamed_upsert(spark, tmp_path):
-    from tokenledger.streaming.ingest import upsert
-
-    write = upsert(None, str(tmp_path / "t"))
-    write(spark.createDataFrame([turn(1, mid="a"), turn(2, mid="b", origin="tail")], TURN), 0)
-    write(spark.createDataFrame([turn(2, mid="b", usage=(5, 0, 0, 0, 0, 0)), turn(3, mid="a")], TURN), 1)
-    rows = {r.message_id: r for r in spark.read.parquet(str(tmp_path / "t")).collect()}
-    assert rows["a"].load_seq == 3 and rows["b"].origin == "live" and len(rows) == 2
+    from tokenledger.streaming.ingest import current, upsert
+
+    write = upsert(str(tmp_path / "t"))
+    a, b = spark.createDataFrame([turn(1, mid="a"), turn(2, mid="b", origin="tail"), turn(9, mid=None)], TURN), spark.createDataFrame([turn(2, mid="b", usage=(5, 0, 0, 0, 0, 0)), turn(3, mid="a"), turn(10, mid=None)], TURN)
+    write(a, 0)
+    assert sorted(r.load_seq for r in current(spark, str(tmp_path / "t")).collect()) == [1, 2, 9]
+    for _ in range(2):  # a batch run again replaces itself
+        write(b, 1)
+        rows = current(spark, str(tmp_path / "t")).collect()
+        assert sorted(r.load_seq for r in rows) == [2, 3, 9, 10] and {r.origin for r in rows} == {"live"}
+    # one key from many sources is one row, and a tail that goes leaves the settled row behind it
+    many = [turn(i, mid="k", source=f"s{i}") for i in range(7)] + [turn(1, mid="k", source="z", origin="tail")]
+    write(spark.createDataFrame(many, TURN), 2)
+    assert [r.source for r in current(spark, str(tmp_path / "t")).where("message_id = 'k'").collect()] == ["z"]
+    write(spark.createDataFrame([turn(1, mid="other", source="z")], TURN), 3)
+    assert [r.source for r in current(spark, str(tmp_path / "t")).where("message_id = 'k'").collect()] == ["s6"]
+
+
+def test_load_order_is_by_mtime_then_source(spark):
+    rows = [(*turn(1, source="b"), 5), (*turn(9, source="c"), 4), (*turn(2, source="a"), 5)]
+    got = dedup.keep_last(spark.createDataFrame(rows, f"{TURN}, modified bigint")).collect()
+    assert [r.source for r in got] == ["b"]
+
+
+def test_rebuild_keeps_what_cannot_be_read_again(spark):
+    live, retired, fresh = (spark.createDataFrame([(x, v)], "source string, version bigint") for x, v in (("a", 1), ("gone", 1), ("a", 2)))
+    snapshots = spark.createDataFrame([("tag",)], "name string")
+    same = lifecycle.rebuild(2, 2, live, retired, snapshots, lambda: fresh)
+    new = lifecycle.rebuild(1, 2, live, retired, snapshots, lambda: fresh)
+    assert same[0].first().version == 1 and new[0].first().version == 2 and new[1].first().source == "gone" and new[2].count() == 1
+    back = lifecycle.rebuild(1, 2, live, live, snapshots, lambda: fresh)
+    assert back[1].count() == 0
+
+
+def test_compare_totals(spark):
+    side = lambda usd, pricing: spark.createDataFrame([(u, pricing) for u in usd], "usd double, pricing bigint")
+    r = trend.compare_totals(side([1.0, 3.0], 1), side([5.0], 2)).first()
+    assert (r.delta_usd, r.delta_pct, r.pricing_mismatch) == (1.0, 0.25, True)
+    r = trend.compare_totals(side([], 1), side([5.0], None)).first()
+    assert (r.delta_usd, r.delta_pct, r.pricing_mismatch) == (5.0, None, False) and not trend.compare_totals(side([1.0], 2), side([1.0], 2)).first().pricing_mismatch
+
+
+def test_sources_and_sinks(spark, tmp_path):
+    from tokenledger.plans import marts
+    from tokenledger.sources import logs
+
+    path = str(tmp_path / "records")
+    rec = lambda rows: spark.createDataFrame(rows, "source string, n bigint")
+    logs.write_records(rec([("a", 1), ("b", 1)]), path, 64)
+    logs.write_records(rec([("a", 2)]), path, 64)
+    assert {(r.source, r.n) for r in spark.read.parquet(path).collect()} == {("a", 2), ("b", 1)}
+    logs.write_report({"total": rec([("x", 1)])}, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report/total")).first().n == 1
+    with pytest.raises(ValueError):
+        logs.write_report({"bad": rec([("x", 1)]).withColumnRenamed("n", "message_id")}, str(tmp_path / "report"))
+    (tmp_path / "card.csv").write_text("model,input_rate,output_rate,valid_from,valid_to,is_list\nfx-large-1,0.000005,0.000025,,2024-01-16T00:00:00Z,true\n")
+    card = logs.read_rate_card(spark, str(tmp_path / "card.csv")).first()
+    assert float(card.write_1h_rate) == 0.00001 and card.valid_from is None and card.is_list
+    labels = str(tmp_path / "labels")
+    lab = lambda i, t, day: spark.createDataFrame([(i, t, T(2024, 1, day))], "id string, label string, updated timestamp")
+    logs.upsert_labels(lab("aaaaaaaaaaaa", " one\n", 1), labels)
+    logs.upsert_labels(lab("aaaaaaaaaaaa", "two", 2), labels)
+    assert lifecycle.valid_labels(logs.read_labels(spark, labels)).first().label == "two"
+    for bad in (("short", "x"), ("aaaaaaaaaaaa", " "), ("aaaaaaaaaaaa", "x" * 81), ("aaaaaaaaaaaa", "a\nb"), (None, "x")):
+        with pytest.raises(ValueError):
+            logs.upsert_labels(lab(*bad, 3), labels)
+    (tmp_path / "ledger").mkdir()
+    (tmp_path / "ledger/a.json").write_text('{"timestamp":"2024-01-01T00:00:00Z","rawChars":10,"sentChars":2}\n{"timestamp":"never","rawChars":5,"sentChars":9}\n{"timestamp":"2024-01-0')
+    got = logs.read_ledger(spark, str(tmp_path / "ledger"))
+    assert findings.ledger_totals(got).first()[:4] == (2, 15, 11, 4) and findings.ledger_totals(got, T(2023, 1, 1)).first()[:4] == (1, 10, 2, 8)
+    marts.write({"one": rec([("x", 1)])}, str(tmp_path / "marts"))
+    assert spark.read.parquet(str(tmp_path / "marts/one")).count() == 1
+
+
+def test_unterminated_last_line_is_no_error(spark, tmp_path):
+    from tokenledger.sources import logs
+
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/a.jsonl").write_text('{"type":"user","message":{}}\r\n{"broken\n\n{"half')
+    (tmp_path / "p/b.jsonl").write_text('{"type":"user","message":{}}\n{"broken\n')
+    lines = logs.ordered_lines(logs.read_lines(spark, str(tmp_path)))
+    got = ingest.parse(lines).groupBy("file_path").agg(F.count("*").alias("n"), F.count_if("parse_error").alias("bad")).collect()
+    assert {r.file_path[-7]: (r.n, r.bad) for r in got} == {"a": (3, 1), "b": (2, 1)}
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from tokenledger.sources import staging
+
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError):
+        staging.shared_dir(Session)

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The shapes of identifiers and times, and the names of what is unknown.
 MESSAGE_ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"
 TOOL_NAME = r"^[A-Za-z][A-Za-z0-9_.-]{0,127}$"
 MODEL_ID = r"^[A-Za-z0-9][A-Za-z0-9._:\[\]-]{0,127}$"
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
 UNKNOWN_MODEL, UNKNOWN_PROJECT, UNKNOWN_DATE = "<unknown>", "<unknown-project>", "<unknown-date>"
 
+#: Fixed values, in the order they are taken off: context marker, region, vendor, revision, date.
+MODEL_DECORATION = (r"\[1m\]$", r"^(us|eu|apac|us-gov)\.", r"^anthropic\.", r"-v\d+:\d+$", r"-\d{8}$")
+
 
 def canonical_model(model: Column) -> Column:
     """Lower case without context marker, region and vendor prefix, revision and date suffix; '' for null."""
     m = F.lower(F.coalesce(model, F.lit("")))
-    for pattern in (r"\[1m\]$", r"^(us|eu|apac|us-gov)\.", r"^anthropic\.", r"-v\d+:\d+$", r"-\d{8}$"):
+    for pattern in MODEL_DECORATION:
         m = F.regexp_replace(m, pattern, "")
     return m
 

@@ -22,10 +22,10 @@ def has_key() -> Column:
     return filled("message_id") & filled("request_id")
 
 
-def load_order() -> list[Column]:
-    """Retired records first, then live ones, then an uncommitted tail."""
+def load_order(df: DataFrame) -> list[Column]:
+    """Retired records first, then live ones, then an uncommitted tail; files by when they were modified, if df has it, then by source."""
     origin = F.when(F.col("origin") == "retired", 0).when(F.col("origin") == "live", 1).otherwise(2)
-    return [origin, F.col("source"), F.col("load_seq")]
+    return [origin, *([F.col("modified")] if "modified" in df.columns else []), F.col("source"), F.col("load_seq")]
 
 
 def keep_last(df: DataFrame, *within: str) -> DataFrame:
@@ -33,7 +33,7 @@ def keep_last(df: DataFrame, *within: str) -> DataFrame:
 
     Rows without ids need no comparison, so they take no part in the shuffle and cannot pile up on a null key.
     """
-    last = Window.partitionBy("message_id", "request_id", *within).orderBy(*[c.desc() for c in load_order()])
+    last = Window.partitionBy("message_id", "request_id", *within).orderBy(*[c.desc() for c in load_order(df)])
     keyed = df.where(has_key()).withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
     return keyed.unionByName(df.where(~has_key()))
 

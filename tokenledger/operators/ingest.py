@@ -24,12 +24,14 @@ def parse(raw: DataFrame) -> DataFrame:
     """raw (source, line_no, value, ...) with kind, message_id, request_id, model, ts, tools, usage and parse_error.
 
     kind: B billed assistant line, T assistant line with tools but no usage, R tool result, H anything
-    else, null for blank and malformed lines.  Only the line's own top-level type counts."""
+    else, null for blank and malformed lines.  Only the line's own top-level type counts.  A malformed line whose
+    complete is false is a half-written append: no error, and the next scan reads it again."""
     df = raw.withColumn("value", F.regexp_replace("value", "\r$", ""))
     df = df.withColumn("j", F.from_json("value", LINE, {"columnNameOfCorruptRecord": "_corrupt"}))
     j = F.col("j")
     blank = F.trim("value") == ""
     bad = ~blank & (j["_corrupt"].isNotNull() | j.isNull() | j["type"].isNull())
+    error = bad & F.col("complete") if "complete" in raw.columns else bad
     df = df.withColumn("b", _blocks(j))
     assistant = (j["type"] == "assistant") | ((j["type"] == "message") & (j["message"]["role"] == "assistant"))
     names = F.filter(F.transform(F.filter("b", lambda x: x["type"] == "tool_use"), lambda x: x["name"]), lambda n: n.rlike(TOOL_NAME))
@@ -45,7 +47,7 @@ def parse(raw: DataFrame) -> DataFrame:
     out = df.withColumns({
         "kind": kind, "message_id": if_matches(j["message"]["id"], MESSAGE_ID), "request_id": if_matches(j["requestId"], MESSAGE_ID),
         "model": F.when(assistant, F.coalesce(if_matches(j["message"]["model"], MODEL_ID), F.lit("<unknown>"))),
-        "ts": iso_timestamp(j["timestamp"]), "tools": tools, "usage": usage, "parse_error": F.coalesce(bad, F.lit(False))})
+        "ts": iso_timestamp(j["timestamp"]), "tools": tools, "usage": usage, "parse_error": F.coalesce(error, F.lit(False))})
     return out.select(*[c for c in ALLOWED if c in out.columns])
 
 

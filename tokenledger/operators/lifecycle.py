@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Fixed value: the shape of a project id.
+LABEL_ID = "^[a-fA-F0-9]{12}$"
+
 
 def all_records(retired: DataFrame, live: DataFrame, tail: DataFrame) -> DataFrame:
     mark = lambda df, name: df.withColumn("origin", F.lit(name))
@@ -47,20 +51,33 @@ def prune_counts(retired: DataFrame, as_of: datetime, older_than: timedelta) ->
     return by_source.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("records"), F.count_if(F.col("kept") == 0).alias("sources"), F.coalesce(F.sum("kept"), F.lit(0)).alias("kept"))
 
 
-def needs_rebuild(stored_version: int, version: int) -> bool:
-    """Live rows are recomputed when the schema version differs; retired rows and snapshots survive."""
-    return stored_version != version
+def rebuild(stored_version: int, version: int, live: DataFrame, retired: DataFrame, snapshots: DataFrame, reparse: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(live, retired, snapshots) for this schema version.
+
+    Stored live rows of another version are computed anew from the logs; retired rows, whose logs are gone, and snapshots, which were
+    taken on purpose, stay with the pricing they had.  A source that the new live rows hold loses its retired copy."""
+    if stored_version == version:
+        return live, retired, snapshots
+    fresh = reparse()
+    return fresh, retired.join(fresh.select("source").distinct(), "source", "left_anti"), snapshots
 
 
 def is_stale(manifest: DataFrame, as_of: datetime, after: timedelta = timedelta(hours=1)) -> DataFrame:
+    """One row: whether the last ingest is older than after; without a time it is."""
     return manifest.agg(F.coalesce(F.max("ingested_at") < F.lit(as_of - after), F.lit(True)).alias("stale"))
 
 
 def valid_labels(labels: DataFrame) -> DataFrame:
     """(id, label) of well-formed rows: 12 hex digits, 1 to 80 characters on one line; the latest of an id wins."""
-    text = F.trim("label")
-    ok = labels.where(F.col("id").rlike("^[a-f0-9]{12}$") & F.length(text).between(1, 80) & ~F.col("label").rlike("[\r\n]"))
-    return ok.groupBy("id").agg(F.max_by(text, F.struct("updated", "label")).alias("label"))
+    return labels.where(well_formed()).groupBy("id").agg(F.max_by(trimmed(), F.struct("updated", "label")).alias("label"))
+
+
+def trimmed() -> Column:
+    return F.btrim("label", F.lit(" \t\n\x0b\x0c\r"))
+
+
+def well_formed() -> Column:
+    return F.coalesce(F.col("id").rlike(LABEL_ID) & F.length(trimmed()).between(1, 80) & ~trimmed().rlike("[\r\n]"), F.lit(False))
 
 
 def labelled_projects(projects: DataFrame, labels: DataFrame, live_names: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenledger.functions.scalars import UNKNOWN_DATE, day_key, half_up, model_key, project_key, ratio
+from tokenledger.sources.staging import stage
 
 TOKENS = ("input", "cache_create", "cache_create_1h", "cache_create_5m", "cache_read", "output")
 DOLLARS = ("usd", "usd_input", "usd_write", "usd_write_1h", "usd_write_5m", "usd_read", "usd_output")
@@ -34,10 +35,14 @@ def by_model(priced: DataFrame) -> DataFrame:
     return keyed(priced).groupBy(F.col("model_key").alias("model")).agg(*bucket())
 
 
+def avg_prompt_tokens() -> Column:
+    return half_up((F.col("input") + F.col("cache_create") + F.col("cache_read")) / F.col("requests"))
+
+
 def by_session(priced: DataFrame) -> DataFrame:
     """Adds the project first seen by load order and the rounded mean prompt."""
     rows = priced.groupBy("source").agg(*bucket(), F.min_by("project", "load_seq").alias("project"))
-    return rows.withColumn("avg_prompt_tokens", half_up((F.col("input") + F.col("cache_create") + F.col("cache_read")) / F.col("requests")))
+    return rows.withColumn("avg_prompt_tokens", avg_prompt_tokens())
 
 
 def by_project(priced: DataFrame) -> DataFrame:
@@ -75,9 +80,18 @@ def shares(total_row: DataFrame) -> DataFrame:
 
 
 def turn_distribution(priced: DataFrame) -> DataFrame:
-    """Mean, and nearest-rank p50 and p90, of priced turns.  percentile_disc keeps a count for each distinct cost."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by cast(usd as double))")
-    return priced.where("priced").agg(F.count("*").alias("turns"), F.avg(F.col("usd").cast("double")).alias("mean"), rank(0.5).alias("p50"), rank(0.9).alias("p90"))
+    """Mean, and nearest-rank p50 and p90, of priced turns.
+
+    Costs are counted, dealt out by range and numbered from the sums of the ranges before, so no task sees them all."""
+    counts = priced.where("priced").groupBy(F.col("usd").cast("double").alias("usd")).agg(F.count("*").alias("n"))
+    ranged = stage(counts.repartitionByRange("usd").withColumn("part", F.spark_partition_id()), "costs")
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("size"))  # a row for each range
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("part", before.alias("before"), F.sum("size").over(Window.partitionBy(F.lit(0))).alias("turns"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("usd"))
+    ranked = ranged.join(offsets, "part").withColumn("upto", upto)
+    rank = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("turns") * tenths, F.col("usd")))
+    return ranked.agg(F.coalesce(F.max("turns"), F.lit(0)).alias("turns"), (F.sum(F.col("usd") * F.col("n")) / F.sum("n")).alias("mean"), rank(5).alias("p50"), rank(9).alias("p90"))
 
 
 def run_rate(days: DataFrame, projection_days: int, anomaly_ratio: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from tokenledger.functions.scalars import ratio
 from tokenledger.operators.dedup import keep_last
 
+#: Fixed value: what a snapshot may be called.
+SNAPSHOT_NAME = r"[a-z0-9][a-z0-9._-]{0,63}"
+
 
 def periods(df: DataFrame, as_of: datetime, days: int) -> DataFrame:
     """Rows of the last days complete UTC days (current), those before (previous) and today so far (today).
@@ -67,14 +71,16 @@ def compare(left: DataFrame, right: DataFrame, key: str = "model") -> DataFrame:
     return both.withColumn("delta_usd", F.col("right_usd") - F.col("left_usd")).orderBy(F.abs(F.col("delta_usd")).desc(), key)
 
 
+def compare_totals(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row for two snapshots (pricing, usd by model): their totals, the change, its share of the left one, and whether they were priced alike."""
+    side = lambda df, name: df.agg(F.coalesce(F.sum("usd"), F.lit(0)).alias(f"{name}_usd"), F.max("pricing").alias(f"{name}_pricing"))
+    row = side(left, "left").crossJoin(side(right, "right"))  # of one row each
+    delta = F.col("right_usd") - F.col("left_usd")
+    return row.select("left_usd", "right_usd", delta.alias("delta_usd"), ratio(delta, F.col("left_usd")).alias("delta_pct"), (~F.col("left_pricing").eqNullSafe(F.col("right_pricing"))).alias("pricing_mismatch"))
+
+
 def snapshot(by_model: DataFrame, name: str, pricing_version: int) -> DataFrame:
     """Rows of one snapshot for the append-only table: name, pricing, model, usd, total, requests."""
-    import re
-
-    if not re.fullmatch(r"[a-z0-9][a-z0-9._-]{0,63}", name, re.I):
+    if not re.fullmatch(SNAPSHOT_NAME, name, re.I):
         raise ValueError(f"bad snapshot name {name!r}")
     return by_model.select(F.lit(name).alias("name"), F.lit(pricing_version).alias("pricing"), "model", "usd", "total", "requests")
-
-
-def pricing_mismatch(snapshots: DataFrame, left: str, right: str) -> DataFrame:
-    return snapshots.where(F.col("name").isin(left, right)).agg((F.countDistinct("pricing") > 1).alias("pricing_mismatch"))

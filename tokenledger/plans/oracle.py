@@ -237,3 +237,27 @@ SQL = {
 SQL["mart_savings"] = f"SELECT count(*) AS findings, count(savings_usd) AS quantified, round(coalesce(sum(savings_usd), 0), 6) AS savings_usd FROM ({SQL['findings_ranked'].replace('round(savings_usd, 6) AS savings_usd, subject', 'savings_usd, subject')})"
 SQL["stream_tool_cohorts"] = with_(LINES.replace("lines AS (SELECT", "lines0 AS (SELECT").rstrip().rstrip(",") + ", lines AS (SELECT * FROM lines0 WHERE event_id % 97 <> 0)," + TURNS[len(LINES):], "SELECT source, line_no, array_to_string(list_sort(running), ',') AS tools, array_to_string(list_sort(prior), ',') AS prior_tools FROM pt WHERE kind = 'B'")
 SQL["stream_daily_spend"] = with_(grouped("day", "day"), f"SELECT day, requests, {r6('usd')} AS usd FROM g")
+
+MEMBERS = LINES + "md AS (SELECT source, max(ts) AS modified FROM lines GROUP BY source),"
+SHARED = TURNS.replace(LINES, MEMBERS) + """
+sk AS (SELECT t.source, line_no, modified, CASE WHEN message_id IS NOT NULL THEN 'x' || (event_id % 997) END AS message_id FROM turns t JOIN md ON t.source = md.source),
+tl AS (SELECT *, max(line_no) OVER (PARTITION BY source) > 3 AS goes_on, max(line_no) FILTER (WHERE line_no <= 3) OVER (PARTITION BY source) AS cut FROM sk),
+og AS (SELECT *, CASE WHEN line_no = cut AND NOT goes_on THEN 'tail' ELSE 'live' END AS origin FROM tl)
+"""
+SQL["keep_last_by_mtime"] = with_(SHARED, "SELECT source, line_no, message_id FROM sk QUALIFY message_id IS NULL OR row_number() OVER (PARTITION BY message_id ORDER BY modified DESC, source DESC, line_no DESC) = 1")
+SQL["stream_upsert"] = with_(SHARED, "SELECT source, line_no, origin FROM og QUALIFY message_id IS NULL OR row_number() OVER (PARTITION BY message_id ORDER BY origin DESC, source DESC, line_no DESC) = 1")
+SQL["compare_snapshots"] = "SELECT " + f"{r6('a')} AS left_usd, {r6('b')} AS right_usd, {r6('b - a')} AS delta_usd, round((b - a)::DOUBLE / nullif(a, 0)::DOUBLE, 6) AS delta_pct, true AS pricing_mismatch FROM (" + with_(priced(where="ts < TIMESTAMP '2024-01-08'"), "SELECT coalesce(sum(usd), 0) AS a FROM priced") + "), (" + with_(priced(where=WINDOW), "SELECT coalesce(sum(usd), 0) AS b FROM priced") + ")"
+SQL["tail_lines"] = with_(LINES + "l AS (SELECT *, line_no = max(line_no) OVER (PARTITION BY source) AS last FROM lines)", "SELECT source, count(*) AS lines, count(*) FILTER (WHERE event_id % 97 = 0 AND NOT last) AS parse_errors FROM l GROUP BY source")
+SQL["ledger_read"] = """WITH l AS (SELECT length(text) AS n FROM documents WHERE length(text) > 500 AND doc_id % 10 <> 0 AND doc_id % 7 >= 3)
+SELECT count(*) AS events, coalesce(sum(n), 0)::BIGINT AS raw_chars, (count(*) * 500)::BIGINT AS sent_chars, coalesce(sum(n), 0)::BIGINT - count(*) * 500 AS saved_chars, floor((coalesce(sum(n), 0) - count(*) * 500) / 4 + 0.5)::BIGINT AS saved_tokens FROM l"""
+SQL["schema_rebuild"] = with_(priced(where=WINDOW) + ", li AS (SELECT * FROM lines WHERE kind = 'B' AND event_id % 97 <> 0 AND ts >= TIMESTAMP '2024-01-08')",
+    "SELECT 'live' AS section, count(*) AS n FROM li UNION ALL SELECT 'retired', count(*) FROM turns WHERE ts < TIMESTAMP '2024-01-20' AND source NOT IN (SELECT source FROM li) UNION ALL SELECT 'snapshots', count(DISTINCT m) FROM priced")
+SQL["index_stale"] = "SELECT 'later' AS state, coalesce(max(ts) < TIMESTAMP '2024-01-31 23:00:00', true) AS stale FROM events UNION ALL SELECT 'then', coalesce(max(ts) < TIMESTAMP '2024-01-07 23:00:00', true) FROM events UNION ALL SELECT 'never', true"
+SQL["labels_upsert"] = with_(LINES + "ids AS (SELECT CASE WHEN i < 4 THEN substr(sha256('fixture:p:' || i), 1, 12) ELSE '0123456789ab' END AS id, CASE WHEN i < 2 THEN 'renamed ' ELSE 'team ' END || i AS label FROM range(5) t(i))", "SELECT id, label, (SELECT count(*) FROM lines WHERE project = id) AS lines FROM ids")
+NAMED = "lb AS (SELECT substr(sha256('fixture:p:' || i), 1, 12) AS id, 'team ' || i AS label FROM range(4) t(i))"
+FIRST = "ORDER BY usd DESC, total DESC, name LIMIT 12"
+SQL["mart_top"] = with_(priced() + TOOLS + f", {NAMED}, se AS (SELECT source, arg_min(project, line_no) AS project, sum(usd) AS usd, sum(total) AS total FROM priced GROUP BY source)",
+    "SELECT list, name, label, round(usd::DOUBLE, 4) AS usd, round(total::DOUBLE, 4) AS total FROM (" + " UNION ALL ".join(f"(SELECT * FROM ({q}) {FIRST})" for q in (
+        "SELECT 'models' AS list, m AS name, NULL::VARCHAR AS label, sum(usd)::DOUBLE AS usd, sum(total)::DOUBLE AS total FROM priced GROUP BY m", "SELECT 'tools', tool AS name, NULL, usd, total FROM tools",
+        "SELECT 'sessions', source AS name, label, usd::DOUBLE AS usd, total::DOUBLE AS total FROM se LEFT JOIN lb ON lb.id = se.project", "SELECT 'projects', project AS name, any_value(label), sum(usd)::DOUBLE AS usd, sum(total)::DOUBLE AS total FROM priced LEFT JOIN lb ON lb.id = project GROUP BY project")) + ")")
+SQL["mart_changed"] = f"SELECT 'models' AS list, model AS name, delta_usd FROM (SELECT * FROM ({SQL['trend_drivers_model']}) ORDER BY abs(delta_usd) DESC, model LIMIT 3) UNION ALL SELECT 'projects', coalesce(label, substr(project, 1, 6)), delta_usd FROM (SELECT * FROM ({SQL['trend_drivers_project']}) ORDER BY abs(delta_usd) DESC, project LIMIT 3) LEFT JOIN (WITH {NAMED} SELECT * FROM lb) ON id = project"

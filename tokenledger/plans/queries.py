@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenledger.functions.scalars import fingerprint, model_key, usd
@@ -12,9 +13,10 @@ from tokenledger.operators import attribution, dedup, findings, ingest, lifecycl
 from tokenledger.params import Params
 from tokenledger.plans import fixtures as fx
 from tokenledger.sources import logs
-from tokenledger.sources.staging import shared_dir
+from tokenledger.sources.staging import shared_dir, stage, unstage
 
 P = Params()
+CHANGE = fx.CHANGE
 SINCE, UNTIL = datetime(2024, 1, 8, tzinfo=UTC), datetime(2024, 1, 22, 12, tzinfo=UTC)
 LATE, EARLY = datetime(2024, 1, 20, tzinfo=UTC), datetime(2024, 1, 8, tzinfo=UTC)
 SMALL = reduce.Reduction(max_chars=500, head=3, tail=3, important=2, signal="(the|und|les|las)")
@@ -95,6 +97,18 @@ def keep_last(s, d):
     return dedup.keep_last(fx.turns(s, d)).select("source", "line_no", "message_id")
 
 
+def shared_keys(s, d) -> DataFrame:
+    """Turns whose keys stand in several sources, as those of resumed sessions do, with when their source was last modified."""
+    n = (F.col("event_id") % 997).cast("string")
+    t = fx.turns(s, d).withColumns({"message_id": F.when(F.col("message_id").isNotNull(), F.concat(F.lit("x"), n)), "request_id": F.when(F.col("request_id").isNotNull(), F.concat(F.lit("y"), n))})
+    return t.join(fx.lines(s, d).groupBy("source").agg(F.max("ts").alias("modified")), "source")
+
+
+@query
+def keep_last_by_mtime(s, d):
+    return dedup.keep_last(shared_keys(s, d)).select("source", "line_no", "message_id")
+
+
 @query
 def dedup_diagnostics(s, d):
     return dedup.diagnostics(fx.turns(s, d))
@@ -237,8 +251,8 @@ def mcp_tools(s, d):
 # trend and compare
 
 
-def period_turns(s, d, factor: int = 1) -> DataFrame:
-    return pricing.price(trend.periods(fx.turns(s, d), P.as_of, P.trend_days), fx.card(s, factor), fx.alias(s))
+def period_turns(s, d, factor: int = 1, turns: DataFrame | None = None) -> DataFrame:
+    return pricing.price(trend.periods(fx.turns(s, d) if turns is None else turns, P.as_of, P.trend_days), fx.card(s, factor), fx.alias(s))
 
 
 @query
@@ -294,12 +308,21 @@ def compare_sessions(s, d):
 
 @query
 def snapshot_save(s, d):
-    path = f"{shared_dir(s)}/snapshots"
+    path = f"{shared_dir(s)}/snapshots-{uuid.uuid4().hex}"
     rows = trend.snapshot(window_models(s, d, SINCE, UNTIL), "week-2", P.pricing_version)
     saved = logs.append_snapshot(rows, path)
     return money(saved.select("name", "pricing", "model", "usd", "total", "requests"))
 
 
+@query
+def compare_snapshots(s, d):
+    """Two saved snapshots of different pricing versions: totals, change and mismatch."""
+    path = f"{shared_dir(s)}/snapshots-{uuid.uuid4().hex}"
+    logs.append_snapshot(trend.snapshot(window_models(s, d, None, SINCE), "week-1", P.pricing_version - 1), path)
+    saved = logs.append_snapshot(trend.snapshot(window_models(s, d, SINCE, UNTIL), "week-2", P.pricing_version), path)
+    return money(trend.compare_totals(saved.where("name = 'week-1'"), saved.where("name = 'week-2'")))
+
+
 # findings, at 20 times the rates so that thresholds are reached
 
 
@@ -357,15 +380,23 @@ def finding_accel(s, d):
 
 
 def all_findings(s, d) -> DataFrame:
+    """The rules read a handful of staged rows: totals, models, first sessions and tools, trend and ledger of one pass each."""
     p = P.but(model_share=0.4, context_usd=1.0, acceleration_pct=-0.9)
-    turns = priced(s, d, 20).persist()  # six rules read it
-    total, models = report.total(turns), report.by_model(turns)
-    top_s = report.top(report.by_session(turns), "source", p.session_limit)
-    top_t = attribution.top_tools(attribution.tool_costs(turns), p.tool_limit)
+    turns = stage(fx.turns(s, d), "turns")
+    paid = stage(pricing.price(dedup.keep_last(turns), fx.card(s, 20), fx.alias(s)), "paid")
+    cube = stage(report.cube(paid), "cube")
+    level = lambda name, key: cube.where(F.col("level") == name).withColumnRenamed("key", key)
+    total, models = stage(level("total", "key"), "total"), stage(level("model", "model"), "models")
+    top_s = stage(report.top(level("session", "source").withColumn("avg_prompt_tokens", report.avg_prompt_tokens()), "source", p.session_limit), "sessions")
+    top_t = stage(attribution.top_tools(attribution.tool_costs(paid), p.tool_limit), "tools")
+    trend_row = stage(trend.totals(period_turns(s, d, turns=turns), p.trend_days), "trend")
+    saved = stage(findings.ledger_totals(ledger(s, d)), "ledger")
+    for big in (turns, paid, cube):
+        unstage(big)
+    rate = stage(fx.card(s, 20), "card")
     return findings.ranked([
         findings.model_concentration(models, total, what_if(s, models, 20), p), findings.output_cost(total, p), findings.cache(total, p), findings.session_outlier(top_s, p),
-        findings.context_bloat(top_s, total, p), findings.mcp_cost(top_t, total, p), findings.bash_filter(top_t, models, findings.ledger_totals(ledger(s, d)), fx.card(s, 20), p),
-        findings.acceleration(trend.totals(period_turns(s, d, 20), p.trend_days), p)])
+        findings.context_bloat(top_s, total, p), findings.mcp_cost(top_t, total, p), findings.bash_filter(top_t, models, saved, rate, p), findings.acceleration(trend_row, p)])
 
 
 @query
@@ -451,6 +482,32 @@ def ordered_lines(s, d):
     return ingest.parse(got).select("source", F.col("line_no").cast("bigint"), "kind", "message_id")
 
 
+@query
+def tail_lines(s, d):
+    """Files whose last line is half written: it is no error, the broken lines before it are."""
+    x = fx.raw_lines(s, d)
+    by_line = F.array_sort(F.collect_list(F.struct("line_no", "value")))
+    session = x.groupBy("project", F.col("source").alias("session")).agg(by_line.alias("ls"))  # bounded by the session
+    last = F.substring(F.element_at("ls", -1)["value"], 1, 30)
+    whole = F.array_join(F.concat(F.transform(F.slice("ls", F.lit(1), F.size("ls") - 1), lambda r: r["value"]), F.array(last)), "\n")
+    root = f"{shared_dir(s)}/logs-{uuid.uuid4().hex}"
+    session.select("project", "session", whole.alias("value")).repartition("session").write.partitionBy("project", "session").option("lineSep", "~").text(root)
+    got = logs.ordered_lines(logs.read_lines(s, root, "*.txt")).withColumn("source", F.regexp_extract("file_path", "session=([^/]+)", 1))
+    return ingest.parse(got).groupBy("source").agg(F.count("*").alias("lines"), F.count_if("parse_error").alias("parse_errors"))
+
+
+@query
+def ledger_read(s, d):
+    """A ledger written, with one line cut off and some times missing, and read back from a day on."""
+    path = f"{shared_dir(s)}/ledger-{uuid.uuid4().hex}"
+    docs = s.read.parquet(f"{d}/documents.parquet").where("length(text) > 500")
+    ts = F.when(F.col("doc_id") % 10 != 0, F.lit(CHANGE) + F.make_dt_interval((F.col("doc_id") % 7 - 3).cast("int")))
+    text = F.lit(None).cast("string")
+    logs.append_ledger(docs.select(ts.alias("ts"), F.col("source").alias("session"), text.alias("project"), F.col("doc_id").cast("string").alias("artifact_id"), F.length("text").alias("raw_chars"), F.lit(500).alias("sent_chars"), F.lit(1).alias("elided_lines")), path)
+    s.createDataFrame([('{"timestamp":"2024-01-20T00:00:00Z","rawChars":9',)], "value string").coalesce(1).write.mode("append").text(path)
+    return findings.ledger_totals(logs.read_ledger(s, path), CHANGE).select(*[F.col(c).cast("bigint").alias(c) for c in ("events", "raw_chars", "sent_chars", "saved_chars", "saved_tokens")])
+
+
 # text reduction
 
 
@@ -527,6 +584,36 @@ def prune_retired(s, d):
     return lifecycle.prune_counts(fx.turns(s, d), P.as_of, timedelta(days=10)).select(*[F.col(c).cast("bigint").alias(c) for c in ("records", "sources", "kept")])
 
 
+@query
+def schema_rebuild(s, d):
+    """Live rows of an older schema version computed anew from the logs; retired rows and snapshots stay."""
+    t = fx.turns(s, d).select("source", "line_no", "ts")
+    fresh = lambda: parsed(s, d).where((F.col("kind") == "B") & (F.col("ts") >= F.lit(EARLY))).select("source", "line_no", "ts")
+    snapshots = trend.snapshot(window_models(s, d, SINCE, UNTIL), "week-2", P.pricing_version)
+    live, retired, kept = lifecycle.rebuild(1, 2, t.limit(0), t.where(F.col("ts") < F.lit(LATE)), snapshots, fresh)
+    count = lambda df, name: df.agg(F.lit(name).alias("section"), F.count("*").alias("n"))
+    return count(live, "live").unionByName(count(retired, "retired")).unionByName(count(kept, "snapshots"))
+
+
+@query
+def index_stale(s, d):
+    m = fx.manifest(fx.lines(s, d)).withColumnRenamed("modified", "ingested_at")
+    case = lambda name, rows, at: lifecycle.is_stale(rows, at).select(F.lit(name).alias("state"), "stale")
+    return case("later", m, datetime(2024, 2, 1, tzinfo=UTC)).unionByName(case("then", m, EARLY)).unionByName(case("never", m.limit(0), EARLY))
+
+
+@query
+def labels_upsert(s, d):
+    """Labels written, two of them renamed later, and read back."""
+    path = f"{shared_dir(s)}/labels-{uuid.uuid4().hex}"
+    first = fx.labels(s).where(lifecycle.well_formed())
+    logs.upsert_labels(first, path)
+    again = s.range(2).select(fx._id("p", F.col("id").cast("string")).alias("id"), F.concat(F.lit("renamed "), F.col("id").cast("string")).alias("label"), F.lit(LATE).alias("updated"))
+    logs.upsert_labels(again, path)
+    n = fx.lines(s, d).groupBy(F.col("project").alias("id")).agg(F.count("*").alias("lines"))
+    return lifecycle.valid_labels(logs.read_labels(s, path)).join(n, "id", "left").withColumn("lines", F.coalesce("lines", F.lit(0)))
+
+
 @query
 def label_validate(s, d):
     ok = lifecycle.valid_labels(fx.labels(s))
@@ -562,12 +649,26 @@ def mart_savings(s, d):
     return money(savings(all_findings(s, d)))
 
 
+@query
+def mart_top(s, d):
+    from tokenledger.plans.marts import top_lists
+
+    paid = stage(priced(s, d), "paid")
+    lists = top_lists(report.by_model(paid), attribution.tool_costs(paid), report.by_session(paid), report.by_project(paid), lifecycle.valid_labels(fx.labels(s)))
+    return money(lists, 4)
+
+
+@query
+def mart_changed(s, d):
+    from tokenledger.plans.marts import changed
+
+    return money(changed(model_drivers(s, d), project_drivers(s, d), lifecycle.valid_labels(fx.labels(s))))
+
+
 # streaming: the raw lines as two increments of immutable chunks
 
 
 def chunks(s, d) -> str:
-    import uuid
-
     root = f"{shared_dir(s)}/chunks-{uuid.uuid4().hex}"
     raw = fx.raw_lines(s, d).select("source", "project", "line_no", "value")
     raw.withColumn("part", F.when(F.col("line_no") <= 3, "1").otherwise("2")).write.partitionBy("part").json(root)
@@ -592,8 +693,34 @@ def stream_tool_cohorts(s, d):
     """Cohorts carried across two increments; the same rows as one batch pass."""
     from tokenledger.streaming.ingest import ROCKSDB, stream_cohorts
 
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return money(s.read.parquet(increments(s, d, stream_cohorts, "cohorts")))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key)
+    s.conf.set(key, ROCKSDB)
+    try:
+        return money(s.read.parquet(increments(s, d, stream_cohorts, "cohorts")))
+    finally:
+        s.conf.set(key, before)
+
+
+@query
+def stream_upsert(s, d):
+    """Turns in two increments, the first with a provisional last line a source; the second is run twice, as after a crash."""
+    from tokenledger.streaming.ingest import current, upsert
+
+    t = shared_keys(s, d).drop("modified")
+    by_source = Window.partitionBy("source")
+    early = F.col("line_no") <= 3
+    t = t.withColumns({"goes_on": F.max("line_no").over(by_source) > 3, "cut": F.max(F.when(early, F.col("line_no"))).over(by_source)})
+    last = early & (F.col("line_no") == F.col("cut"))
+    parts = [t.where(early).withColumn("origin", F.when(last, "tail").otherwise("live")), t.where(~early | (last & F.col("goes_on")))]
+    root = f"{shared_dir(s)}/turns-{uuid.uuid4().hex}"
+    parts = [x.drop("goes_on", "cut") for x in parts]
+    for x in parts:
+        x.write.mode("append").parquet(f"{root}/inbox")
+        stream = s.readStream.schema(x.schema).parquet(f"{root}/inbox")
+        stream.writeStream.foreachBatch(upsert(f"{root}/table")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    upsert(f"{root}/table")(parts[1], 1)
+    return current(s, f"{root}/table").select("source", "line_no", "origin")
 
 
 @query
@@ -601,7 +728,7 @@ def stream_daily_spend(s, d):
     """Spend by day over a stream of turns, with a watermark; every update is written and the last of a day counts."""
     from tokenledger.streaming.ingest import daily_spend
 
-    path = f"{shared_dir(s)}/turns-{id(d)}-{datetime.now(UTC).timestamp()}"
+    path = f"{shared_dir(s)}/turns-{uuid.uuid4().hex}"
     priced(s, d).select("ts", F.col("usd").cast("decimal(38,12)").alias("usd")).write.parquet(path)
     live = daily_spend(s.readStream.schema("ts timestamp, usd decimal(38,12)").parquet(path))
     out = f"{path}-days"

@@ -16,18 +16,24 @@ def read_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFra
 
 
 def log_scan(lines: DataFrame, root: str, salt: str) -> DataFrame:
-    """(file_path, source, project, file_size, modified, lines) of each file; the first folder below root is the project."""
+    """(file_path, source, project, file_size, modified, lines) of each file; the first folder below root is the project.
+
+    In load order: by when a file was modified, then by path.  ``dedup.load_order`` takes the same from turns that carry modified."""
     rel = F.regexp_replace(F.regexp_replace("file_path", r"^\w+:/*", "/"), f"^{root.rstrip('/')}/", "")
     files = lines.groupBy("file_path").agg(F.first("file_size").alias("file_size"), F.first("modified").alias("modified"), F.count("*").alias("lines"))
-    return files.withColumn("rel", rel).select("file_path", fingerprint(F.col("rel"), salt).alias("source"), fingerprint(F.split("rel", "/")[0], salt).alias("project"), "file_size", "modified", "lines")
+    scan = files.withColumn("rel", rel).select("file_path", fingerprint(F.col("rel"), salt).alias("source"), fingerprint(F.split("rel", "/")[0], salt).alias("project"), "file_size", "modified", "lines")
+    return scan.orderBy("modified", "file_path")
 
 
 def ordered_lines(lines: DataFrame) -> DataFrame:
-    """Adds line_no within each file; carriage returns and blank lines go.  Rows of one split keep their
-    order, splits are ordered by where they start."""
+    """Adds line_no within each file and complete; carriage returns and blank lines go.  Rows of one split keep their
+    order, splits are ordered by where they start.  A file's last line is not complete if no line break ends it."""
     order = Window.partitionBy("file_path").orderBy("block_start", "_at")
-    text = lines.withColumn("_at", F.monotonically_increasing_id()).withColumn("value", F.regexp_replace("value", "\r$", "")).where(F.trim("value") != "")
-    return text.withColumn("line_no", F.row_number().over(order)).drop("_at")
+    text = lines.withColumn("_at", F.monotonically_increasing_id())
+    text = text.withColumn("_bytes", F.sum(F.octet_length("value") + 1).over(order))  # with the breaks up to and with the line
+    text = text.withColumn("complete", F.col("_bytes") <= F.col("file_size"))
+    text = text.withColumn("value", F.regexp_replace("value", "\r$", "")).where(F.trim("value") != "")
+    return text.withColumn("line_no", F.row_number().over(order)).drop("_at", "_bytes")
 
 
 def write_records(df: DataFrame, path: str, buckets: int = 64) -> None:
@@ -45,15 +51,33 @@ def write_report(sections: dict[str, DataFrame], path: str) -> None:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Reduction ledger; half-written lines are dropped."""
-    schema = "timestamp timestamp, session string, project string, artifactId string, rawChars bigint, sentChars bigint, elidedLines bigint"
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Reduction ledger (ts, session, project, artifact_id, raw_chars, sent_chars, elided_lines); half-written lines are dropped, odd times are null."""
+    schema = "timestamp string, session string, project string, artifactId string, rawChars bigint, sentChars bigint, elidedLines bigint"
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    n = lambda c: F.coalesce(c, F.lit(0)).alias
+    return rows.select(F.try_to_timestamp("timestamp").alias("ts"), "session", "project", F.col("artifactId").alias("artifact_id"), n("rawChars")("raw_chars"), n("sentChars")("sent_chars"), n("elidedLines")("elided_lines"))
+
+
+def append_ledger(rows: DataFrame, path: str) -> None:
+    """rows as read_ledger returns them."""
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    rows.select(stamp.alias("timestamp"), "session", "project", F.col("artifact_id").alias("artifactId"), F.col("raw_chars").alias("rawChars"), F.col("sent_chars").alias("sentChars"), F.col("elided_lines").alias("elidedLines")).write.mode("append").json(path)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id string, label string, updated timestamp").json(path)
 
 
+def upsert_labels(labels: DataFrame, path: str) -> None:
+    """Append labels (id, label, updated); a reader takes the last of an id.  Labels that are not well formed are refused as a whole."""
+    from tokenledger.operators.lifecycle import trimmed, well_formed
+
+    bad = labels.where(~well_formed()).limit(1).collect()
+    if bad:
+        raise ValueError(f"a label needs a 12-digit hex id and 1 to 80 characters on one line: {bad[0]}")
+    labels.select("id", trimmed().alias("label"), "updated").write.mode("append").json(path)
+
+
 def read_rate_card(spark: SparkSession, path: str) -> DataFrame:
     from tokenledger.operators.pricing import RATE, with_class_rates
 

@@ -1,18 +1,39 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables staged in it."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir; a folder of our own only where none is set and Spark runs in one process (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        found = context.getCheckpointDir()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: the lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that no later plan reads."""
+    path = getattr(df, "_staged_at", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tokenledger.functions.scalars import day_key
-from tokenledger.operators.dedup import keep_last
+from tokenledger.operators.dedup import has_key, keep_last
 from tokenledger.operators.ingest import parse
+from tokenledger.sources.staging import stage, unstage
 
 CHUNK = "source string, project string, line_no bigint, value string"
 STATE = "cohort array<string>, current array<string>, message string, has_message boolean"
@@ -64,33 +65,51 @@ def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert(records: DataFrame, table: str, buckets: int = 16):
-    """A foreachBatch function that keeps the last record of each key in a bucketed table.
+def upsert(table: str, buckets: int = 16):
+    """A foreachBatch function that keeps the last record of each key in a bucketed table; ``current`` reads it.
 
-    Only buckets with new rows are rewritten.  A provisional tail row gives way to the next increment's row of its source.
-    """
+    Rows lie in buckets of their key, those without one and provisional tail rows in buckets of their source.  A batch writes new versions
+    of the buckets it touches, and then one line for each into the list of commits, so a reader sees all of a batch or nothing, and a
+    batch that is run again replaces itself.  Tail rows give way to the next increment of their source, and never push out a settled row."""
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(buckets)))
-        new = new.persist()
-        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most buckets numbers
-        try:
-            old = spark.read.parquet(table).where(F.col("bucket").isin(touched))
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            old = new.limit(0)
-        settled = old.where("origin <> 'tail'").unionByName(old.where("origin = 'tail'").join(new.select("source").distinct(), "source", "left_anti").select(old.columns))
-        merged = keep_last(settled.select(new.columns).unionByName(new))
-        staged = f"{table}-next"
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(staged)
-        spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
-        new.unpersist()
+        by_key = F.when((F.col("origin") != "tail") & has_key(), F.xxhash64("message_id", "request_id")).otherwise(F.xxhash64("source"))
+        new = stage(batch.withColumns({"tail": F.col("origin") == "tail", "bucket": F.pmod(by_key, F.lit(buckets)).cast("int")}), "increment")
+        sources = new.select("source").distinct()
+        own = sources.select(F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int").alias("bucket"))
+        touched = [r["bucket"] for r in new.select("bucket").unionByName(own).distinct().collect()]  # at most buckets numbers
+        old = _versions(spark, table, number, new)
+        settled = old.where(F.col("bucket").isin(touched))
+        settled = settled.where("not tail").unionByName(settled.where("tail").join(sources, "source", "left_anti"))
+        merged = keep_last(settled.select(new.columns).unionByName(new), "tail")
+        merged.withColumn("version", F.lit(number)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(f"{table}/rows")
+        spark.createDataFrame([(b, number) for b in touched], "bucket int, version long").coalesce(1).write.mode("append").parquet(f"{table}/commits")
+        unstage(new)
 
     return write
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _versions(spark: SparkSession, table: str, before: int | None, like: DataFrame) -> DataFrame:
+    """The rows of each bucket's last committed version (before a batch number)."""
+    if not _there(spark, f"{table}/commits"):
+        return like.limit(0)
+    commits = spark.read.parquet(f"{table}/commits")
+    last = (commits if before is None else commits.where(F.col("version") < before)).groupBy("bucket").agg(F.max("version").alias("version"))  # a row a bucket
+    return spark.read.parquet(f"{table}/rows").join(F.broadcast(last), ["bucket", "version"], "left_semi").drop("version")
+
+
+def current(spark: SparkSession, table: str) -> DataFrame:
+    """The records of an upserted table."""
+    rows = spark.read.parquet(f"{table}/rows")
+    return keep_last(_versions(spark, table, None, rows)).drop("tail", "bucket")
+
+
 def daily_spend(priced: DataFrame, lateness: str = "2 days") -> DataFrame:
     """Live spend by UTC day over a stream of priced turns (ts, usd)."""
     windows = priced.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("requests"), F.sum("usd").alias("usd"))
