@@ -181,10 +181,55 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, []), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_short_items_count_only_where_they_are_the_text(spark):
+    items = spark.createDataFrame([(1, "the"), (2, "four words of text")], "item_id long, text string")
+    rows = [(i, f"the {i} other words of the text") for i in range(50)] + [(90, "The!"), (91, "four words of text"), (92, "so four words of text, and so on"), (93, "so long before four words of text come")]
+    got = {r.doc_id: r.item_id for r in decontaminate.contaminated(docs(spark, rows), items).collect()}
+    assert got == {90: 1, 91: 2, 92: 2, 93: 2}
+
+
+def plain_score(item, span):
+    """Smith-Waterman cell by cell."""
+    row, best = [0.0] * (len(span) + 1), 0.0
+    for w in item:
+        new = [0.0]
+        for j, v in enumerate(span, 1):
+            new.append(max(0.0, row[j - 1] + (1 if w == v else -0.1), row[j] - 0.1, new[-1] - 0.1))
+        row, best = new, max(best, *new)
+    return best / len(item)
+
+
+def test_decontamination_equals_brute_force(spark):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    given, items = read("documents").select("doc_id", "text"), read("benchmark").select("item_id", "text")
+    tests = [(r.item_id, decontaminate.words_of(r.text)) for r in items.collect()]
+    bags = [collections.Counter(w) for _, w in tests]
+    want = {}
+    for r in given.collect():
+        ws = decontaminate.words_of(r.text)
+        bag, seen = collections.Counter(ws), {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+        for (item, w), b in zip(tests, bags, strict=True):
+            # only such pairs can reach the threshold, or have a seed
+            if sum((b & bag).values()) >= 0.8 * len(w) - 1e-9 and any(tuple(w[i : i + 5]) in seen for i in range(len(w) - 4)):
+                score = plain_score(w, ws)
+                if score >= 0.8 - 1e-9:
+                    want.setdefault(r.doc_id, {})[item] = score
+    got = {r.doc_id: (r.item_id, round(r.score, 6), r.n_items) for r in decontaminate.contaminated(given, items).collect()}
+    best = {d: max(x.items(), key=lambda kv: (round(kv[1], 9), -kv[0])) for d, x in want.items()}
+    assert got == {d: (i, round(s, 6), len(want[d])) for d, (i, s) in best.items()} and len(got) >= 3
+
+
+def test_rows_of_one_id_or_none_are_judged_apart(spark):
+    item = " ".join(f"unusual{i}" for i in range(30))
+    df = docs(spark, [(1, item), (1, "all clean"), (None, item), (None, "clean too"), (2, None)])
+    left = decontaminate.clean(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.text or "" for r in left.collect()) == ["", "all clean", "clean too"] and left.columns == df.columns
+
+
 def test_hot_item_is_not_called_common(spark):
     item = " ".join(f"unusual{i}" for i in range(30))
     rows = [(i, f"own{i} {item} end") for i in range(400)]
-    assert decontaminate.contaminated(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string"), rare_docs=5).count() == 400
+    assert decontaminate.contaminated(docs(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 400
 
 
 def test_edited_copies_in_many_documents(spark):
@@ -251,7 +296,11 @@ def test_suffix_dedup(spark, n, core):
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(docs(spark, rows), n, core).collect()}
     assert got == brute_removal(rows, n)
     twice = suffix_dedup.digests(docs(spark, [(1, base[:500]), (1, base[:500]), (None, base[:500])]), 400).collect()
-    assert [r.n_removed for r in twice if r.doc_id] == [r.n_bytes for r in twice if r.doc_id]
+    assert [r.n_removed for r in twice] == [500] * 3
+    far = suffix_dedup.digests(docs(spark, [(None, base[:500]), (5, base[:500]), (None, "x" + base[600:1000]), (None, "y" + base[600:1000])]), 400).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in far) == [(0, 400), (0, 400), (0, 500), (5, 500)]
+    long = suffix_dedup.digests(docs(spark, [(1, base * 200), (2, "z" + base[100:700])]), 400).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in long} == {1: (len((base * 200).encode()), 1), 2: (len(base[100:700].encode()), 1)}
     assert suffix_dedup.digests(docs(spark, []), n, core).count() == 0
 
 

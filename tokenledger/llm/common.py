@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tokenledger.sources.staging import shared_dir, stage, unstage
+
+__all__ = ["BLANKS", "LOWER", "SLOTS", "UPPER", "lower_ascii", "narrowed", "partitions", "shared_dir", "stage", "table", "text_mark", "unstage", "without"]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The white space of the contracts: blank and the control characters 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
+#: Hash slots of ids that may be broadcast.
+SLOTS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,31 +28,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that no later plan reads."""
-    path = getattr(df, "_staged_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def narrowed(rows: DataFrame, ids: DataFrame, *keys: str, anti: bool = False) -> DataFrame:
+    """The rows whose keys may be among those of ids, or with anti those whose keys are surely not.
+
+    At most SLOTS hash slots of ids are broadcast, so that texts nobody asks for stay out of the shuffle of the exact join that follows."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).alias("_slot")
+    return rows.withColumn("_slot", slot).join(F.broadcast(ids.select(slot).distinct()), "_slot", "left_anti" if anti else "left_semi").drop("_slot")
+
+
+def text_mark() -> Column:
+    """A hash of the text, which tells rows of one doc_id, or of none, apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def without(rows: DataFrame, gone: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose keys, nulls among them, are not in the staged table gone; only rows that may be are shuffled."""
+    some = narrowed(rows, gone, *keys)
+    on = [some[k].eqNullSafe(gone[k]) for k in keys]
+    return narrowed(rows, gone, *keys, anti=True).unionByName(some.join(gone, on, "left_anti"))

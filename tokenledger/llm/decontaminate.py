@@ -8,9 +8,12 @@ word by word (match 1, each substituted, missing or added word -0.1); score is t
 document is contaminated if an item scores ``threshold`` or more.  However common a seed is, its windows count; only
 those that hold too few of the item's words, in any order, to reach the threshold are not aligned, as most places of a mere phrase.
 
+An item of fewer than 5 words stands in any prose, so it counts only in a document of which its words are half or more.
+
 The seed table is broadcast; items come in blocks of about ``block_items`` items and ``block_words`` words at most, which
-bounds it (a longer item is a block's bulk by itself: items are never cut).  Null or empty texts and items match nothing; of equal scores the
-smallest item_id is reported; repeated rows are judged each by itself; extra columns are ignored.
+bounds it to some 100 MB a task (a longer item is a block's bulk by itself: items are never cut).  Null or empty texts and items match nothing, an
+empty table of either gives no rows; texts may be of any length; of equal scores the smallest item_id is reported; repeated
+rows, and rows without doc_id, are judged each by itself, told apart by a hash of the text; extra columns are ignored, clashing ones replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm.common import stage, table
+from tokenledger.llm.common import stage, table, text_mark, without
 from tokenledger.llm.minhash import mix
 
 WORDS = re.compile(r"[^\W_]+")
 WIDTH, THRESHOLD, EDIT = 5, 0.8, 0.1
-BLOCK_ITEMS, BLOCK_WORDS = 50_000, 5_000_000
+BLOCK_ITEMS, BLOCK_WORDS = 50_000, 500_000
+#: Stands for a doc_id that is null.
+NO_ID = -(2**63)
 #: Cells of one row of spans aligned at a time.
 GRID = 200_000
 _ODD = np.random.default_rng(11).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
@@ -115,7 +120,8 @@ def windows(seeds: Seeds, ids: np.ndarray, threshold: float = THRESHOLD) -> Iter
     starts = np.r_[0, np.flatnonzero((lo + apart)[1:] > far[:-1]) + 1]
     ends = np.r_[starts[1:], len(item)] - 1
     for i, a, b in zip(item[starts].tolist(), lo[starts].tolist(), (far - apart)[ends].tolist(), strict=True):
-        if seeds.most(i, ids[a:b]) >= threshold - 1e-9:
+        short = len(seeds.items[i][1]) < WIDTH and 2 * len(seeds.items[i][1]) < len(ids)
+        if not short and seeds.most(i, ids[a:b]) >= threshold - 1e-9:
             yield i, ids[a:b].tolist()
 
 
@@ -136,7 +142,7 @@ def align(item: np.ndarray, spans: list[np.ndarray], edit: float = EDIT) -> np.n
 
 
 def _block(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
-    """(doc_id, item_id, score) of every window of these items."""
+    """(doc_id, mark, item_id, score) of every window of these items."""
     shared = docs.sparkSession.sparkContext.broadcast(Seeds(items))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +150,14 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> D
         find = seeds.vocab.get
         for b in batches:
             rows = []
-            for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+            for doc, mark, text in zip(b["doc_id"].to_pylist(), b["mark"].to_pylist(), b["text"].to_pylist(), strict=True):
                 ids = np.array([find(w, -1) for w in words_of(text)], np.int64)
-                rows += [(doc, *w) for w in windows(seeds, ids, threshold)]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item", "span"])
+                rows += [(doc, mark, *w) for w in windows(seeds, ids, threshold)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "mark", "item", "span"])
 
-    found = stage(docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, item int, span array<int>"), "windows")
+    found = stage(docs.select("doc_id", text_mark().alias("mark"), "text").mapInArrow(scan, "doc_id long, mark long, item int, span array<int>"), "windows")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = shared.value
@@ -166,15 +172,14 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> D
                     while end < min(len(part), at + 500) and (end + 1 - at) * width[end] <= GRID:
                         end += 1
                     some, at = part.iloc[at:end], end
-                    yield pd.DataFrame({"doc_id": some.doc_id, "item_id": item, "score": align(ids, some.span.tolist())})
-
-    return found.mapInPandas(score, "doc_id long, item_id long, score double")
+                    yield pd.DataFrame({"doc_id": some.doc_id, "mark": some.mark, "item_id": item, "score": align(ids, some.span.tolist())})
 
+    scored = found.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInPandas(score, "doc_id long, mark long, item_id long, score double")
+    return scored.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
-def alignments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, rare_docs: int | None = None, block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id, score) of all places aligned, those that may reach the threshold; docs: doc_id, text; items: item_id, text.
 
-    rare_docs is taken for older callers and has no effect: no window is left out for how common its seeds are."""
+def alignments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, mark, item_id, score) of all places aligned, those that may reach the threshold; docs: doc_id, text; items: item_id, text."""
     items = items.where("text is not null and item_id is not null").select("item_id", "text")
     size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+"))), F.lit(0)).alias("words")).first()
     n_blocks = max(1, -(-size["n"] // block_items), -(-size["words"] // block_words))
@@ -187,15 +192,22 @@ def alignments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
-    """(doc_id, item_id, score, n_items) of each contaminated doc_id: its best item and how many reach the threshold."""
-    best = alignments(docs, items, threshold, **how).where(F.col("score") >= threshold - 1e-9).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
-    return best.groupBy("doc_id").agg(F.max(F.struct("score", (-F.col("item_id")).alias("i"))).alias("x"), F.count("*").alias("n_items")).select(
-        "doc_id", (-F.col("x.i")).alias("item_id"), F.col("x.score").alias("score"), "n_items")
+    """(doc_id, mark, item_id, score, n_items) of each contaminated doc_id and text: its best item and how many reach the threshold."""
+    best = alignments(docs, items, threshold, **how).where(F.col("score") >= threshold - 1e-9).groupBy("doc_id", "mark", "item_id").agg(F.max("score").alias("score"))
+    return best.groupBy("doc_id", "mark").agg(F.max(F.struct("score", (-F.col("item_id")).alias("i"))).alias("x"), F.count("*").alias("n_items")).select(
+        "doc_id", "mark", (-F.col("x.i")).alias("item_id"), F.col("x.score").alias("score"), "n_items")
+
+
+def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """The rows of docs that are not contaminated."""
+    gone = stage(contaminated(docs, items, **how).select("doc_id", F.col("mark").alias("_mark")), "contaminated")
+    return without(docs.withColumn("_mark", text_mark()), gone, "doc_id", "_mark").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, contaminated, n_items, item_id and score of the best item (else null)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return docs.select("doc_id").join(hits, "doc_id", "left").select(
+    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("doc_id", "_doc").withColumnRenamed("mark", "_mark")
+    marked = docs.select("doc_id", text_mark().alias("mark"))
+    return marked.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("mark") == F.col("_mark")), "left").select(
         "doc_id", F.col("score").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).alias("n_items"), "item_id", "score")

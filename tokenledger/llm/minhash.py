@@ -35,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm.common import LOWER, UPPER, stage, table, unstage
+from tokenledger.llm.common import LOWER, UPPER, narrowed, stage, table, unstage
 from tokenledger.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 WIDTH, POSTED, LEAST, SIGNATURE, MATCHES, SHORT = 5, 16, 6, 128, 88, 24
-#: Hash slots, and common shingles, that may be broadcast.
-SLOTS, MOST_COMMON = 1 << 20, 1_000_000
+#: Common shingles that may be broadcast.
+MOST_COMMON = 1_000_000
 _LOW = str.maketrans(UPPER, LOWER)
 _SEEDS = np.random.default_rng(7)
 _MUL = _SEEDS.integers(1, 2**32, SIGNATURE, dtype=np.uint32) | np.uint32(1)
@@ -107,13 +107,6 @@ def sets(docs: DataFrame, full: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, kind)
 
 
-def narrowed(rows: DataFrame, ids: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """The rows whose doc_id may be among ids (doc_id): at most ``slots`` hash slots of ids are broadcast, so that
-    texts and signatures that nobody asks for stay out of the shuffle.  An exact join follows wherever this is used."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("_slot")
-    return rows.withColumn("_slot", slot).join(F.broadcast(ids.select(slot).distinct()), "_slot", "left_semi").drop("_slot")
-
-
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
@@ -123,7 +116,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     Smaller-id sides are shared by many pairs, so each set is made once and travels to its pairs."""
     wanted = _ends(pairs)
-    members = sets(narrowed(docs, wanted).join(wanted, "doc_id", "left_semi"), full=True)
+    members = sets(narrowed(docs, wanted, "doc_id").join(wanted, "doc_id", "left_semi"), full=True)
     left = members.select(F.col("doc_id").alias("a"), F.col("members").alias("m_a"))
     right = members.select(F.col("doc_id").alias("b"), F.col("members").alias("m_b"))
     both = F.size(F.array_intersect("m_a", "m_b"))
@@ -140,7 +133,7 @@ def _collisions(pairs: DataFrame, sigs: DataFrame, matches: int) -> DataFrame:
         return pd.Series((np.stack(x.to_list()) == np.stack(y.to_list())).sum(1))
 
     pairs = stage(pairs, "pairs")
-    sigs = narrowed(sigs, _ends(pairs))
+    sigs = narrowed(sigs, _ends(pairs), "doc_id")
     left = sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a"))
     right = sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b"))
     out = stage(pairs.join(right, "b").join(left, "a").where(agree("sig_a", "sig_b") >= matches).select("a", "b"), "collided")
@@ -228,7 +221,7 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = 85, posted: int = POS
     near = close.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and component <> component_b").select("a", "b").distinct()
     found = found.unionByName(confirm(docs, _collisions(near, reps, matches), percent))
     crowd = stage(still.where(F.col("n") > short).select("doc_id").distinct(), "crowd")
-    rare = _rarest_first(stage(narrowed(docs, crowd).join(crowd, "doc_id", "left_semi"), "crowded"), comp, percent, short)
+    rare = _rarest_first(stage(narrowed(docs, crowd, "doc_id").join(crowd, "doc_id", "left_semi"), "crowded"), comp, percent, short)
     return found.unionByName(confirm(docs, rare, percent))
 
 
