@@ -13,17 +13,17 @@ Equal strings have equal samples at equal places, so
    strings seen in two of them are removed from runs that are not removed already.
 
 Both steps are counts by name, so a name that a third of all rows hold is summed before it meets; sorting
-and spilling are those of Spark's shuffles.  Equal means equal 64-bit names (a polynomial over the bytes with random
-byte values); matches never cross documents.
+and spilling are those of Spark's shuffles.  Matches never cross documents.  Equal means that two 64-bit names (polynomials over the bytes
+with random byte values) are equal, that of the string or run and that of the sample in it, 128 bits in all.
 
-A null text is empty.  A document is a (doc_id, text); repeated rows are copies of one another.  Rows without doc_id
-are judged like others against themselves only as far as named here: they lose nothing.  Extra columns are ignored.
+A null text is empty; an empty table gives no rows; texts may be of any length, and are read in blocks of whole texts.  A document is a
+(doc_id, text); repeated rows are copies of one another, rows without doc_id are documents like others.  There are no ties: every
+repeated string goes, the first one too.  Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -115,58 +115,61 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np
             some, raw, size = [], [], 0
 
 
-def text_mark(text: str | None) -> int:
-    return zlib.crc32((text or "").encode())
+#: Stands for a doc_id that is null.
+NO_ID = -(2**63)
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """(id, mark, doc_id, text): id and mark, a hash of the text, tell a document from others of the same doc_id."""
+    return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "doc_id", "text")
 
 
 def named_runs(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
-    """(sample, run, doc_id, mark, at, n): each run of n strings from byte at on."""
+    """(sample, run, id, mark, at, n): each run of n strings from byte at on; docs: as marked gives them."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, texts = b["doc_id"].to_numpy(zero_copy_only=False), b["text"].to_pylist()
+            ids, marks, texts = b["id"].to_numpy(), b["mark"].to_numpy(), b["text"].to_pylist()
             for some, data, starts, sizes in _blocks(texts):
                 _, doc, first, count, sample, run = runs(data, starts, sizes, length, core)
                 which = np.array(some)[doc]
-                marks = np.array([text_mark(texts[i]) for i in some], np.int64)[doc] if len(some) else doc
-                cols = (sample.view(np.int64), run.view(np.int64), ids[which].astype(np.int64), marks, (first - starts[doc]).astype(np.int32), count.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sample", "run", "doc_id", "mark", "at", "n"])
+                cols = (sample.view(np.int64), run.view(np.int64), ids[which], marks[which], (first - starts[doc]).astype(np.int32), count.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sample", "run", "id", "mark", "at", "n"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(scan, "sample long, run long, doc_id long, mark long, at int, n int")
+    return docs.select("id", "mark", "text").mapInArrow(scan, "sample long, run long, id long, mark long, at int, n int")
 
 
 def _strings(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """(name, doc_id, mark, at, own) of each single string of the asked runs (doc_id, mark, at, n, own)."""
-    lists = asked.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n", "own")).alias("runs"))  # bounded by the document
-    some = docs.join(lists, (docs.doc_id == lists.doc_id) & (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) == lists.mark)).select(docs.doc_id, "mark", "text", "runs")
+    """(sample, name, id, mark, at, own) of each single string of the asked runs (sample, id, mark, at, n, own)."""
+    lists = asked.groupBy("id", "mark").agg(F.collect_set(F.struct("at", "n", "own", "sample")).alias("runs"))  # bounded by the document
+    some = docs.select("id", "mark", "text").join(lists, ["id", "mark"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
-                data = np.frombuffer((b["text"][i].as_py() or "").encode(), np.uint8)
-                names = Names(data)
-                asked_ = b["runs"][i].as_py()
-                at = np.concatenate([np.arange(r["at"], r["at"] + r["n"]) for r in asked_])
-                own = np.repeat([r["own"] for r in asked_], [r["n"] for r in asked_])
-                k = len(at)
-                name = names.of(at, at + length).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.full(k, b["doc_id"][i].as_py())), pa.array(np.full(k, b["mark"][i].as_py())), pa.array(at.astype(np.int32)), pa.array(own)], names=["name", "doc_id", "mark", "at", "own"])
+                names = Names(np.frombuffer((b["text"][i].as_py() or "").encode(), np.uint8))
+                flat = b["runs"][i].values.flatten()
+                start, n = flat[0].to_numpy().astype(np.int64), flat[1].to_numpy().astype(np.int64)
+                at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                own, sample = np.repeat(flat[2].to_numpy(zero_copy_only=False), n), np.repeat(flat[3].to_numpy(), n)
+                name, k = names.of(at, at + length).view(np.int64), len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(sample), pa.array(name), pa.array(np.full(k, b["id"][i].as_py())), pa.array(np.full(k, b["mark"][i].as_py())), pa.array(at.astype(np.int32)), pa.array(own)], names=["sample", "name", "id", "mark", "at", "own"])
 
-    return some.dropDuplicates(["doc_id", "mark"]).mapInArrow(scan, "name long, doc_id long, mark long, at int, own boolean")
+    return some.dropDuplicates(["id", "mark"]).mapInArrow(scan, "sample long, name long, id long, mark long, at int, own boolean")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
-    """(doc_id, mark, at, n): starts of repeated strings, n from byte at on; docs: doc_id, text."""
+    """(id, mark, at, n): starts of repeated strings, n from byte at on; docs: as marked gives them."""
     every = named_runs(docs, length, core)
-    by_name = every.groupBy("sample", "run").agg(F.count("*").alias("seen"), F.min(F.struct("doc_id", "mark", "at", "n")).alias("x"))
+    by_name = every.groupBy("sample", "run").agg(F.count("*").alias("seen"), F.min(F.struct("id", "mark", "at", "n")).alias("x"))
     several = by_name.groupBy("sample").agg(F.count("*").alias("kinds"), F.sum("seen").alias("all_seen")).where("all_seen > 1")
     # Names that occur once alone need nothing more; what is left is written once.
     left = stage(by_name.join(several, "sample").select("sample", "run", "seen", "kinds", "x.*"), "runs")
-    whole = every.join(left.where("seen > 1").select("sample", "run"), ["sample", "run"]).select("doc_id", "mark", "at", "n")
-    asked = left.where("kinds > 1").select("doc_id", "mark", "at", "n", (F.col("seen") == 1).alias("own"))
-    strings = stage(_strings(docs.select("doc_id", "text"), asked, length), "strings")
-    twice = strings.groupBy("name").agg(F.count("*").alias("seen"), F.max("own").alias("own")).where("seen > 1 and own").select("name")
-    single = strings.where("own").join(twice, "name").select("doc_id", "mark", "at", F.lit(1).alias("n"))
+    whole = every.join(left.where("seen > 1").select("sample", "run"), ["sample", "run"]).select("id", "mark", "at", "n")
+    asked = left.where("kinds > 1").select("sample", "id", "mark", "at", "n", (F.col("seen") == 1).alias("own"))
+    strings = stage(_strings(docs, asked, length), "strings")
+    twice = strings.groupBy("sample", "name").agg(F.count("*").alias("seen"), F.max("own").alias("own")).where("seen > 1 and own").select("sample", "name")
+    single = strings.where("own").join(twice, ["sample", "name"]).select("id", "mark", "at", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 
@@ -185,9 +188,9 @@ def query(spark: SparkSession, sf_dir: str, length: int = LENGTH) -> DataFrame:
 
 
 def digests(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
-    spans = repeated_spans(docs, length, core).groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "n")).alias("runs"))  # bounded by the document
-    s = spans.select(F.col("doc_id").alias("_doc"), "mark", "runs")
-    both = docs.join(s, (docs.doc_id == s._doc) & (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) == s.mark), "left").select("doc_id", "text", "runs")
+    docs = marked(docs)
+    spans = repeated_spans(docs, length, core).groupBy("id", "mark").agg(F.collect_set(F.struct("at", "n")).alias("runs"))  # bounded by the document
+    both = docs.join(spans, ["id", "mark"], "left").select("doc_id", "text", "runs")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
