@@ -187,12 +187,11 @@ def _meetings(balls: DataFrame, threshold: float, within: bool, chunk: int = 204
 
     A chunk of balls at a time goes to all tasks."""
     reach = math.acos(threshold)
-    n_chunks, out = max(1, -(-balls.count() // chunk)), None
+    schema = "component long, block int, c2 long, b2 int, sure boolean"
+    n_chunks, out = -(-balls.count() // chunk), balls.sparkSession.createDataFrame([], schema)
     for i in range(n_chunks):
         some = balls.where(F.pmod(F.xxhash64("component", "block"), F.lit(n_chunks)) == i).toPandas()
-        if not len(some):
-            continue
-        sent = balls.sparkSession.sparkContext.broadcast((some.component.to_numpy(), some.block.to_numpy(), np.stack(some.centre.to_list()), some.radius.to_numpy()))
+        sent = balls.sparkSession.sparkContext.broadcast((some.component.to_numpy(), some.block.to_numpy(), np.array(some.centre.to_list()).reshape(len(some), -1), some.radius.to_numpy()))
 
         def near(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             component, block, centre, radius = sent.value
@@ -205,8 +204,8 @@ def _meetings(balls: DataFrame, threshold: float, within: bool, chunk: int = 204
                     r, c = np.nonzero((angle - radii <= reach + 1e-6) & (mine == component if within else mine < component))
                     yield pd.DataFrame({"component": part.component.to_numpy()[r], "block": part.block.to_numpy()[r], "c2": component[c], "b2": block[c], "sure": (angle + radii)[r, c] <= reach - 1e-6})
 
-        one = stage(balls.mapInPandas(near, "component long, block int, c2 long, b2 int, sure boolean"), "meetings")
-        out = one if out is None else out.unionByName(one)
+        one = stage(balls.mapInPandas(near, schema), "meetings")
+        out = out.unionByName(one) if i else one
     return out
 
 
@@ -240,7 +239,9 @@ def _link_counts(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataF
     """(id, n_links) within components, copies of others counted, own ones not."""
     sizes = labels.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = stage(_dealt(labels, sizes).join(nodes, "id").select("component", "block", "id", "vec", "copies"), "blocks")
-    meet = _meetings(stage(_balls(blocks), "balls"), threshold, True)
+    balls, several = stage(_balls(blocks), "balls"), sizes.where("blocks > 1").select("component")
+    alone = balls.join(several, "component", "left_anti").select("component", "block", F.col("component").alias("c2"), F.col("block").alias("b2"), (2 * F.col("radius") <= math.acos(threshold) - 1e-6).alias("sure"))
+    meet = alone.unionByName(_meetings(stage(balls.join(several, "component", "left_semi"), "balls"), threshold, True))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.asks], pdf[~pdf.asks]
