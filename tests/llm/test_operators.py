@@ -275,6 +275,60 @@ def test_quality(spark):
     assert len(odd) == len(ODD) and weak_quality.classify(docs(spark, [])).count() == 0
 
 
+def plain_em(votes, doubt):
+    """The weak-label model document by document."""
+    n, m = len(votes), len(votes[0])
+    post = [0.1 if min(v) < 0 else 0.9 for v in votes]
+    rate = [sum(v[k] < 0 for v in votes) / max(1, sum(v[k] != 0 for v in votes)) for k in range(m)]
+    for _ in range(300):
+        good = (sum(post) + 1) / (n + 2)
+        accuse = []
+        for k in range(m):
+            q = []
+            for weight in ([1 - p for p in post], post):
+                bad_votes = sum(w for w, v in zip(weight, votes, strict=True) if v[k] < 0) + 0.5
+                good_votes = sum(w for w, v in zip(weight, votes, strict=True) if v[k] > 0) + 0.5
+                q.append(bad_votes / (bad_votes + good_votes))
+            accuse.append((q[0], min(q[1], doubt * rate[k] + 1e-9)))
+        new = []
+        for v in votes:
+            odds = [1 - good, good]
+            for k, x in enumerate(v):
+                for y in (0, 1):
+                    odds[y] *= 1 if not x else accuse[k][y] if x < 0 else 1 - accuse[k][y]
+            new.append(odds[1] / (odds[0] + odds[1]))
+        done = max(abs(a - b) for a, b in zip(new, post, strict=True)) < 1e-7
+        post = new
+        if done:
+            break
+    return post, good
+
+
+def test_em_equals_plain_em():
+    rng = random.Random(2)
+    bad = [rng.random() < 0.2 for _ in range(400)]
+    votes = [tuple(rng.choice([0, -1, -1, 1]) if b and rng.random() < 0.7 else (-1 if rng.random() < 0.01 else rng.choice([1, 1, 0])) for _ in range(4)) for b in bad]
+    counts = collections.Counter(votes)
+    post, good, _ = weak_quality.expectation_maximisation(np.array(list(counts)), np.array(list(counts.values()), float))
+    of, (want, share) = dict(zip(counts, post, strict=True)), plain_em(votes, weak_quality.DOUBT)
+    assert np.allclose([of[v] for v in votes], want, atol=1e-6) and good == pytest.approx(share) and 0.7 < good < 0.9
+    assert np.mean([(of[v] < 0.5) == b for v, b in zip(votes, bad, strict=True)]) > 0.9
+
+
+def test_copies_teach_once_and_odd_rows_have_scores(spark):
+    texts = [f"the house number {i} stands in the old garden near the river and the bridge" if i % 3 else "BUY NOW!!! BUY NOW!!! $$$ ### |||" + str(i) for i in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    one, many = (docs(spark, rows + [rows[1]] * k).select("doc_id", "text", F.lit("x").alias("score"), F.lit(1).alias("keep")) for k in (0, 300))
+    fitted = [weak_quality.fit(df, 10_000) for df in (one, one.repartition(7))]
+    assert np.array_equal(fitted[0][0], fitted[1][0]) and fitted[0][1] == fitted[1][1]
+    score = {r.doc_id: r.score for r in weak_quality.classify(many).collect()}
+    assert all((score[i] >= 0.5) == (i % 3 > 0) for i in range(300))
+    lone = {r.text_: r.score for r in weak_quality.classify(docs(spark, [(None, "some words here")])).withColumn("text_", F.lit("t")).collect()}
+    assert lone == {"t": 0.5}
+    odd = {r.doc_id: (r.score, r.keep) for r in weak_quality.classify(docs(spark, ODD)).collect()}
+    assert odd[1] == odd[2] == odd[6] == (0.0, False)
+
+
 def brute_removal(rows, n):
     seen = collections.Counter(b[i : i + n] for _, t in rows for b in [(t or "").encode()] for i in range(len(b) - n + 1))
     out = {}

@@ -2,13 +2,14 @@
 
 Heuristic labellers vote good (1), bad (-1) or nothing (0) on each document.  Expectation-maximisation over
 the counts of vote patterns, which sum up all documents and number 3 to the power of the labellers at most,
-estimates each labeller's votes given the truth; not voting says nothing, labellers that accuse the same documents share
-a weight, and the share of good documents is that of documents nobody accuses.  The patterns' posteriors are the labels of a hashed linear
-scorer, trained by logistic regression on at most ``sample`` documents or so (chosen by a hash of the id), which
+estimates the share of good documents and each labeller's votes given the truth; not voting says nothing, and a labeller is taken to
+accuse a good document with at most ``DOUBT`` of the odds with which it accuses any.  The patterns' posteriors are the labels of a hashed linear
+scorer, trained by logistic regression on about ``sample`` different documents (chosen by a hash of id and text), which
 then scores every document.
 
-Null or empty texts get a score of 0 and the bad votes of an empty text; null ids are scored and teach nothing;
-repeated rows are scored alike; extra columns are ignored.
+Null or empty texts get a score of 0 and the bad votes of an empty text; null ids are scored and teach nothing, and if no row has
+an id all that have words score 0.5; a document is kept from 0.5 on, so a tie is kept; texts are read whole, however long;
+repeated rows are scored alike and teach once; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm.common import stage, table
+from tokenledger.llm.common import table
 
 LABELLERS = ("symbols", "tables", "shouting", "stutter", "repeated_lines", "exclamations", "digits", "top_word")
 WORDS = re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()|\-]")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
 SAMPLE, TABLE, ROUNDS = 4000, 1 << 16, 150
-#: At most this share of a labeller's accusations is taken to hit good documents.
-DOUBT = 0.1
+#: A labeller accuses a good document with at most this share of the odds with which it accuses any.
+DOUBT = 0.03
 
 
 def votes(text: str | None) -> tuple[int, ...]:
@@ -62,34 +63,27 @@ def votes(text: str | None) -> tuple[int, ...]:
     )
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, float, np.ndarray]:
-    """(posterior of good for each pattern, prior, P(vote | truth, a vote) as labeller x truth x (bad, good))."""
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, doubt: float = DOUBT) -> tuple[np.ndarray, float, np.ndarray]:
+    """(posterior of good for each pattern, share of good documents, P(vote | truth, a vote) as labeller x truth (bad, good) x vote (bad, good))."""
     accusing = (patterns < 0).any(1)
     post = np.where(accusing, 0.1, 0.9)
-    prior = (counts[~accusing].sum() + 1) / (counts.sum() + 2)  # held, as weak votes don't tell the balance of the classes
     onehot = np.stack([patterns == v for v in (-1, 1)], 2).astype(float)  # no vote, no evidence
     accused = onehot[:, :, 0].T @ counts / np.maximum(1, onehot.sum(2).T @ counts)
-    # Labellers that accuse the same documents share the weight of one: else they make up the bad class by themselves
-    bad = onehot[:, :, 0]
-    both = bad.T @ (bad * counts[:, None])
-    either = both.diagonal()[:, None] + both.diagonal() - both
-    own = 1 / np.maximum(1, np.where(either > 0, both / np.maximum(1e-9, either), 0).sum(1))
     for _ in range(rounds):
         w = np.stack([(1 - post) * counts, post * counts])
+        good = (w[1].sum() + 1) / (counts.sum() + 2)
         table_ = np.einsum("yp,pmv->myv", w, onehot) + 0.5
         table_ /= table_.sum(2, keepdims=True)
         # Labellers are made to accuse few good documents, or those of rarer faults would count as noise
-        table_[:, 1, 0] = np.minimum(table_[:, 1, 0], DOUBT * accused + 1e-9)
-        table_[:, 1] /= table_[:, 1].sum(1, keepdims=True)
-        log = np.einsum("pmv,myv,m->py", onehot, np.log(table_), own) + np.log([1 - prior, prior])
+        table_[:, 1, 0] = np.minimum(table_[:, 1, 0], doubt * accused + 1e-9)
+        table_[:, 1, 1] = 1 - table_[:, 1, 0]
+        log = np.einsum("pmv,myv->py", onehot, np.log(table_)) + np.log([1 - good, good])
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -500, 500)))
-        done = np.abs(new - post).max() < 1e-6
+        done = np.abs(new - post).max() < 1e-7
         post = new
         if done:
             break
-    # Which of the two classes is good is told by the votes: good has the larger mean vote.
-    mean = (table_[:, :, 1] - table_[:, :, 0]).sum(0)
-    return (post, prior, table_) if mean[1] >= mean[0] else (1 - post, 1 - prior, table_[:, ::-1])
+    return post, good, table_
 
 
 def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -133,36 +127,41 @@ def with_votes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, votes array<int>")
 
 
-def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, posterior, score, keep) a row of docs: posterior from the votes, score from the scorer."""
-    spark = docs.sparkSession
-    voted = stage(with_votes(docs), "votes")
-    found = voted.groupBy("votes").count().collect()  # at most 3 ** len(LABELLERS) rows
+def posteriors(docs: DataFrame) -> dict[tuple[int, ...], float]:
+    """The posterior of good for each vote pattern of docs: at most 3 ** len(LABELLERS) of them, counted over all rows."""
+    found = with_votes(docs).groupBy("votes").count().collect()
     if not found:
-        return voted.select("doc_id", F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("double").alias("score"), F.lit(False).alias("keep"))
+        return {}
     patterns, counts = np.array([r["votes"] for r in found]), np.array([r["count"] for r in found], float)
     post, _, _ = expectation_maximisation(patterns, counts)
-    of = {tuple(p): float(x) for p, x in zip(patterns.tolist(), post, strict=True)}
-    share = min(1.0, sample / counts.sum())
-    drawn = docs.where("doc_id is not null").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < 1_000_003 * share).select("text").limit(2 * sample).collect()
-    texts = [r["text"] for r in drawn]
-    target = np.array([of.get(votes(t), 0.5) for t in texts])
-    weights, bias = fit_scorer(texts, target) if texts else (np.zeros(TABLE), 0.0)
-    shared = spark.sparkContext.broadcast((weights.astype(np.float32), bias, of))
+    return {tuple(p): float(x) for p, x in zip(patterns.tolist(), post, strict=True)}
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
+    """Weights and bias of the scorer, learned from the posteriors of some of docs (doc_id, text)."""
+    of, n = posteriors(docs), docs.count()
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) < 1_000_003 * min(1.0, sample / max(1, n))
+    # Copies of one row are all drawn or none is, so they count once
+    texts = sorted(r["text"] or "" for r in docs.where("doc_id is not null").where(drawn).select("doc_id", "text").distinct().collect())
+    return fit_scorer(texts, np.array([of[votes(t)] for t in texts])) if texts else (np.zeros(TABLE), 0.0)
+
+
+def classify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, score, keep) a row of docs (doc_id, text)."""
+    docs = docs.select("doc_id", "text")
+    weights, bias = fit(docs, sample)
+    shared = docs.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights_, bias_, of_ = shared.value
+        weights_, bias_ = shared.value
         for b in batches:
-            texts_ = b["text"].to_pylist()
             scores = []
-            for t in texts_:
+            for t in b["text"].to_pylist():
                 slots, w = hashed(t)
                 scores.append(float(1 / (1 + np.exp(-(weights_[slots] @ w + bias_)))) if len(slots) else 0.0)
-            posts = [of_.get(votes(t), 0.5) for t in texts_]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(posts, pa.float64()), pa.array(scores, pa.float64())], names=["doc_id", "posterior", "score"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, posterior double, score double")
-    return scored.withColumn("keep", F.col("score") >= 0.5)
+    return docs.mapInArrow(run, "doc_id long, score double").withColumn("keep", F.col("score") >= 0.5)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
