@@ -8,7 +8,8 @@ good as the present one, only the leftmost pair of that word merges in that roun
 that of merging one pair after the other.  Symbols without a piece become their UTF-8 bytes.
 
 A null text is the empty text, whose only id is the end id; texts may be of any length; ties between
-equal scores go to the leftmost pair.  Rows, repeated or not, are independent of one another and extra columns are ignored.
+equal scores go to the leftmost pair.  Rows, repeated or not, are independent of one another, an empty table gives no rows, and
+extra columns are ignored, or kept by ``encode_decode``, which replaces those named ids and decoded.
 """
 
 from __future__ import annotations
@@ -63,10 +64,7 @@ class Vocabulary:
                 a, b = self.symbols.get(p[:k]), self.symbols.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = i
-        keys = np.array(sorted(pairs), np.int64)
-        self.pair_keys = np.append(keys, np.iinfo(np.int64).max)
-        self.pair_ids = np.array([pairs[k] for k in keys.tolist()] + [0])
-        self.pair_ranks = np.append(ranks[self.pair_ids[:-1]], 0)
+        self._place(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64), ranks)
         chars = [c for c in self.symbols if len(c) == 1]
         self.char_ids = np.full(0x110000, -1, np.int64)
         self.char_ids[[ord(c) for c in chars]] = [self.symbols[c] for c in chars]
@@ -79,11 +77,35 @@ class Vocabulary:
 
     NONE = np.iinfo(np.int64).max
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _place(self, keys: np.ndarray, ids: np.ndarray, ranks: np.ndarray) -> None:
+        """A table of pairs by a hash of their keys; a pair whose slot is taken stands in the next free one."""
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.pair_keys, self.pair_ids, self.pair_ranks = np.full(1 << bits, -1), np.zeros(1 << bits, np.int64), np.full(1 << bits, self.NONE)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = self.pair_keys[slot] == -1
+            first = np.zeros(len(left), bool)
+            first[np.unique(slot, return_index=True)[1]] = True
+            now = free & first
+            self.pair_keys[slot[now]], self.pair_ids[slot[now]], self.pair_ranks[slot[now]] = keys[left[now]], ids[left[now]], ranks[ids[left[now]]]
+            left, slot = left[~now], (slot[~now] + 1) & mask
+
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and id of the piece each pair forms; NONE where there is none.  Unknown symbols are negative."""
         key = left * self.size + right
-        at = np.searchsorted(self.pair_keys, key)
-        hit = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
+        key[(left < 0) | (right < 0)] = -2
+        at = self._slot(key)
+        found = self.pair_keys[at]
+        open_ = np.flatnonzero((found != key) & (found != -1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.pair_keys) - 1)
+            found = self.pair_keys[at[open_]]
+            open_ = open_[(found != key[open_]) & (found != -1)]
+        hit = self.pair_keys[at] == key
         return np.where(hit, self.pair_ranks[at], self.NONE), self.pair_ids[at]
 
     def merge(self, sym: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,13 +185,13 @@ class Vocabulary:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text with the end id."""
-        numbers: dict[str, int] = {}
         split = [cut(t) for t in texts]
-        which = [np.array([numbers.setdefault(w, len(numbers)) for w in ws], np.int64) for ws in split]
         end = np.array([self.eos])
-        if not numbers:
+        words = pa.array([w for ws in split for w in ws], pa.string()).dictionary_encode()
+        if not len(words):
             return [end for _ in texts]
-        ids, starts = self.encode_words(list(numbers))
+        ids, starts = self.encode_words(words.dictionary.to_pylist())
+        which = np.split(words.indices.to_numpy(), np.cumsum([len(ws) for ws in split])[:-1])
         return [np.append(gather(ids, starts[ws], starts[ws + 1] - starts[ws]), end) if len(ws) else end for ws in which]
 
     def decode(self, ids: np.ndarray) -> str:
