@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenledger.llm.common import stage, table
+from tokenledger.llm.common import narrowed, stage, table
 from tokenledger.llm.minhash import mix
 
 LENGTH, CORE, BLOCK = 400, 250, 1 << 22
@@ -124,25 +124,33 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "doc_id", "text")
 
 
-def named_runs(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
-    """(sample, run, id, mark, at, n): each run of n strings from byte at on; docs: as marked gives them."""
+def named_runs(docs: DataFrame, length: int = LENGTH, core: int = CORE, combine: bool = False) -> DataFrame:
+    """(sample, run, id, mark, at, n, seen): each run of n strings from byte at on; docs: as marked gives them.
+
+    With combine, runs of one name in a batch are one row, seen says how many, and one of their places stands for all."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, marks, texts = b["id"].to_numpy(), b["mark"].to_numpy(), b["text"].to_pylist()
             for some, data, starts, sizes in _blocks(texts):
                 _, doc, first, count, sample, run = runs(data, starts, sizes, length, core)
+                seen = np.ones(len(doc), np.int64)
+                if combine and len(doc):
+                    order = np.lexsort((run, sample))
+                    new = np.flatnonzero(np.r_[True, (np.diff(sample[order]) != 0) | (np.diff(run[order]) != 0)])
+                    seen, order = np.diff(np.r_[new, len(order)]), order[new]
+                    doc, first, count, sample, run = (x[order] for x in (doc, first, count, sample, run))
                 which = np.array(some)[doc]
-                cols = (sample.view(np.int64), run.view(np.int64), ids[which], marks[which], (first - starts[doc]).astype(np.int32), count.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sample", "run", "id", "mark", "at", "n"])
+                cols = (sample.view(np.int64), run.view(np.int64), ids[which], marks[which], (first - starts[doc]).astype(np.int32), count.astype(np.int32), seen)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sample", "run", "id", "mark", "at", "n", "seen"])
 
-    return docs.select("id", "mark", "text").mapInArrow(scan, "sample long, run long, id long, mark long, at int, n int")
+    return docs.select("id", "mark", "text").mapInArrow(scan, "sample long, run long, id long, mark long, at int, n int, seen long")
 
 
 def _strings(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     """(sample, name, id, mark, at, own) of each single string of the asked runs (sample, id, mark, at, n, own)."""
-    lists = asked.groupBy("id", "mark").agg(F.collect_set(F.struct("at", "n", "own", "sample")).alias("runs"))  # bounded by the document
-    some = docs.select("id", "mark", "text").join(lists, ["id", "mark"])
+    lists = stage(asked.groupBy("id", "mark").agg(F.collect_set(F.struct("at", "n", "own", "sample")).alias("runs")), "asked")  # bounded by the document
+    some = narrowed(docs.select("id", "mark", "text"), lists, "id", "mark").join(lists, ["id", "mark"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,13 +168,15 @@ def _strings(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
     """(id, mark, at, n): starts of repeated strings, n from byte at on; docs: as marked gives them."""
-    every = named_runs(docs, length, core)
-    by_name = every.groupBy("sample", "run").agg(F.count("*").alias("seen"), F.min(F.struct("id", "mark", "at", "n")).alias("x"))
-    several = by_name.groupBy("sample").agg(F.count("*").alias("kinds"), F.sum("seen").alias("all_seen")).where("all_seen > 1")
-    # Names that occur once alone need nothing more; what is left is written once.
-    left = stage(by_name.join(several, "sample").select("sample", "run", "seen", "kinds", "x.*"), "runs")
-    whole = every.join(left.where("seen > 1").select("sample", "run"), ["sample", "run"]).select("id", "mark", "at", "n")
-    asked = left.where("kinds > 1").select("sample", "id", "mark", "at", "n", (F.col("seen") == 1).alias("own"))
+    every = named_runs(docs, length, core, combine=True)
+    samples = every.groupBy("sample").agg(F.sum("seen").alias("all_seen"), F.min("run").alias("lo"), F.max("run").alias("hi"))
+    # A sample that occurs once alone needs nothing more, and most are such.
+    several = stage(samples.where("all_seen > 1").select("sample", (F.col("lo") != F.col("hi")).alias("mixed")), "samples")
+    by_name = every.join(several, "sample").groupBy("sample", "run", "mixed").agg(F.sum("seen").alias("seen"), F.min(F.struct("id", "mark", "at", "n")).alias("x"))
+    left = stage(by_name.select("sample", "run", "mixed", "seen", "x.*"), "runs")
+    repeated = left.where("seen > 1").select("sample", "run")
+    whole = narrowed(named_runs(docs, length, core), repeated, "sample", "run").join(repeated, ["sample", "run"]).select("id", "mark", "at", "n")
+    asked = left.where("mixed").select("sample", "id", "mark", "at", "n", (F.col("seen") == 1).alias("own"))
     strings = stage(_strings(docs, asked, length), "strings")
     twice = strings.groupBy("sample", "name").agg(F.count("*").alias("seen"), F.max("own").alias("own")).where("seen > 1 and own").select("sample", "name")
     single = strings.where("own").join(twice, ["sample", "name"]).select("id", "mark", "at", F.lit(1).alias("n"))
@@ -189,8 +199,10 @@ def query(spark: SparkSession, sf_dir: str, length: int = LENGTH) -> DataFrame:
 
 def digests(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
     docs = marked(docs)
-    spans = repeated_spans(docs, length, core).groupBy("id", "mark").agg(F.collect_set(F.struct("at", "n")).alias("runs"))  # bounded by the document
-    both = docs.join(spans, ["id", "mark"], "left").select("doc_id", "text", "runs")
+    spans = stage(repeated_spans(docs, length, core).groupBy("id", "mark").agg(F.collect_set(F.struct("at", "n")).alias("runs")), "spans")  # bounded by the document
+    some = narrowed(docs, spans, "id", "mark").join(spans, ["id", "mark"], "left").select("doc_id", "text", "runs")
+    untouched = narrowed(docs, spans, "id", "mark", anti=True).select("doc_id", "text", F.lit(None).cast(spans.schema["runs"].dataType).alias("runs"))
+    both = some.unionByName(untouched)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
