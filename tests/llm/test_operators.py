@@ -32,6 +32,12 @@ def test_url_rules(spark):
         got = url_filter.filter_urls(pages, max_trie_rules=limit).collect()
         assert len(got) == 11 and {r.page_id: (r.rule, r.verdict) for r in got} == want
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "http://x.com/de/" + "y" * 300_000), (2, "http://" + "a." * 5000 + "com/fr/")], "page_id long, url string")
+    assert [r.verdict for r in url_filter.filter_urls(long).orderBy("page_id").collect()] == ["block", "allow"]
+    many = [("block", "x.com", f"/p{i}") for i in range(3000)] + [("allow", "x.com", "/p1234/in")]
+    some = spark.createDataFrame([(1, "http://x.com/p1234/in"), (2, "http://x.com/p1234/out"), (3, "http://x.com/q")], "page_id long, url string")
+    for limit in (10_000, 1):
+        assert [(r.rule, r.verdict) for r in url_filter.filter_urls(some, many, max_trie_rules=limit).orderBy("page_id").collect()] == [("x.com/p1234/in", "allow"), ("x.com/p1234", "block"), (None, "allow")]
 
 
 def test_line_dedup(spark):
@@ -43,6 +49,13 @@ def test_line_dedup(spark):
     assert line_dedup.with_bitmaps(docs(spark, rows)).count() == len(rows) and line_dedup.with_bitmaps(docs(spark, []).select("doc_id", "text")).count() == 0
 
 
+def test_long_texts_and_ties_of_lines(spark):
+    many = "\n".join(f"line number {i % 1000} of a very long text" for i in range(60_000))
+    rows = [(1, many), (2, many), (3, many), (3, many), (4, "a line of its own, and " + "x" * 300_000)]
+    got = [line_dedup.kept_text(r.text, r.keep) for r in line_dedup.with_bitmaps(docs(spark, rows).withColumn("keep", F.lit(1))).orderBy("doc_id").collect()]
+    assert [g[:2] for g in got] == [(60_000, 60_000), (60_000, 60_000), (60_000, 0), (60_000, 0), (1, 0)] and got[2][2] == many
+
+
 def test_hot_line_over_many_tasks(spark):
     hot = "the very same line in every one of the documents"
     df = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit(hot + "\nown line number "), F.col("id").cast("string"), F.lit(" is long")).alias("text"))
@@ -61,6 +74,7 @@ def test_pieces_equal_the_library(spark):
     for t, ids in zip(texts, v.encode(texts), strict=True):
         assert ids.tolist() == sp.encode(t or "", add_eos=True) and v.decode(ids) == sp.decode(ids.tolist())
     out = pieces.encode_decode(docs(spark, ODD), model=MODEL).collect()
+    assert pieces.digests(docs(spark, []), MODEL).count() == 0 and pieces.encode_decode(docs(spark, []), model=MODEL).count() == 0
     assert len(out) == len(ODD) and all(r.ids == sp.encode(r.text or "", add_eos=True) and r.decoded == (r.text or "") for r in out)
 
 

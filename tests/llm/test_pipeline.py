@@ -114,3 +114,25 @@ def test_run_and_stages_equal_brute_force(spark, tmp_path):
     last = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert last == got["sentencepiece"] and set(last) == clean
     assert {d: r.n_tokens for d, r in last.items()} == {d: len(sp.encode(want[d], add_eos=True)) for d in clean}
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    rng = random.Random(3)
+    words = "the of and house garden water morning street children old green small river walked found between people never would their".split()
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    twice = text(90)
+    rows = [(1, twice), (1, twice), (2, twice), (None, f"{text(70)} {ITEM} {text(50)}"), (None, text(90)), (None, None), (3, None), (4, ""), (5, text(40_000)), (6, "the"), (7, f"{text(9)}\n\n")]
+    frame_ = spark.createDataFrame([(d, t, None if i % 2 else "en", None, None, "extra", i) for i, (d, t) in enumerate(rows)], DOC + ", kept string, mark int")
+    frame_.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    frame_.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    items = spark.createDataFrame([(1, ITEM), (2, None), (3, "")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    items.limit(0).write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    columns = list(corpus_pipeline.COLUMNS)
+    for name, step in corpus_pipeline.STAGES:
+        docs = stage(step(spark, docs, f"{tmp_path}/odd"), name)
+        assert docs.columns == columns or name == "sentencepiece"
+    # copies of one id are one document and stay together; of the rows without an id the contaminated one goes
+    assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 1, 1, 5, 6, 7]
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0

@@ -8,8 +8,9 @@ last row of a task may go on in another, so those keys (two a task at most) are
 per-task counts.  What comes back is one compressed bitmap of kept lines per document, no text.
 
 A null or empty text is one empty line.  Rows without doc_id lose nothing and count for nothing.
-Repeated rows of one doc_id are one document, each row with its own bitmap.  Columns besides doc_id
-and text are ignored.
+Repeated rows of one doc_id are one document, each row with its own bitmap, so of a key in the largest doc_id all lines stay in all its rows.
+An empty table gives no rows; texts and lines may be of any length, as lines are hashed in the JVM and only texts that lose lines are rebuilt.
+Columns besides doc_id and text are ignored; n_drops and keep replace columns of these names.
 """
 
 from __future__ import annotations

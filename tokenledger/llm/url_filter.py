@@ -5,10 +5,11 @@ case; paths go on up to ``?``, ``#`` or the end.  A null url or one without ``:/
 host and path and gets the default verdict.  A rule fits its host and all subdomains if the path
 starts with the rule's; the rule with most characters wins, then the one with the longer host,
 then ``block``.  Repeated rules count once; extra columns stay, and columns of the input named
-like a result are replaced.
+like a result are replaced.  Urls may be of any length, repeated rows are judged alike, an empty table gives no rows, and without rules
+every url gets the default verdict.
 
-The trie is broadcast only up to ``max_trie_rules`` rules.  Above that, the rules are a table that
-is joined on the host suffixes of each url.
+The trie is broadcast only up to ``max_trie_rules`` rules, some 200 MB.  Above that, the rules are a table that
+is joined on the host suffixes of each url, with the same results.
 """
 
 from __future__ import annotations
@@ -48,11 +49,13 @@ class UrlTrie:
             ends = node.setdefault("/ends", {})
             new = (len(host) + len(path), len(host), verdict == "block", host + path, verdict)
             ends[last] = max(ends.get(last, new), new)
+            node.setdefault("/sizes", set()).add(len(last))
 
     def _in_path(self, node: dict, segments: list[str], best):
         for segment in segments:
-            for prefix, found in node.get("/ends", {}).items():
-                if segment.startswith(prefix):
+            for n in node.get("/sizes", ()):  # as many looks as there are lengths of prefixes, however many rules
+                found = node["/ends"].get(segment[:n]) if n <= len(segment) else None
+                if found:
                     best = max(best, found) if best else found
             node = node.get(("segment", segment))
             if node is None:
