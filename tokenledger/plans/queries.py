@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +12,7 @@ from tokenledger.operators import attribution, dedup, findings, ingest, lifecycl
 from tokenledger.params import Params
 from tokenledger.plans import fixtures as fx
 from tokenledger.sources import logs
-from tokenledger.sources.staging import shared_dir, stage, unstage
+from tokenledger.sources.staging import scratch, stage, unstage
 
 P = Params()
 CHANGE = fx.CHANGE
@@ -308,7 +307,7 @@ def compare_sessions(s, d):
 
 @query
 def snapshot_save(s, d):
-    path = f"{shared_dir(s)}/snapshots-{uuid.uuid4().hex}"
+    path = scratch(s, "snapshots") + "/table"
     rows = trend.snapshot(window_models(s, d, SINCE, UNTIL), "week-2", P.pricing_version)
     saved = logs.append_snapshot(rows, path)
     return money(saved.select("name", "pricing", "model", "usd", "total", "requests"))
@@ -317,7 +316,7 @@ def snapshot_save(s, d):
 @query
 def compare_snapshots(s, d):
     """Two saved snapshots of different pricing versions: totals, change and mismatch."""
-    path = f"{shared_dir(s)}/snapshots-{uuid.uuid4().hex}"
+    path = scratch(s, "snapshots") + "/table"
     logs.append_snapshot(trend.snapshot(window_models(s, d, None, SINCE), "week-1", P.pricing_version - 1), path)
     saved = logs.append_snapshot(trend.snapshot(window_models(s, d, SINCE, UNTIL), "week-2", P.pricing_version), path)
     return money(trend.compare_totals(saved.where("name = 'week-1'"), saved.where("name = 'week-2'")))
@@ -464,7 +463,7 @@ def normalize_records(s, d):
 
 def log_files(s, d) -> tuple[DataFrame, str]:
     """The raw lines as one file a session below a project folder, in the shared folder; the files read back."""
-    root = logs.write_sessions(fx.raw_lines(s, d), shared_dir(s))
+    root = logs.write_sessions(fx.raw_lines(s, d), scratch(s, "sessions"))
     return logs.read_lines(s, root, "*.txt"), root
 
 
@@ -490,7 +489,7 @@ def tail_lines(s, d):
     session = x.groupBy("project", F.col("source").alias("session")).agg(by_line.alias("ls"))  # bounded by the session
     last = F.substring(F.element_at("ls", -1)["value"], 1, 30)
     whole = F.array_join(F.concat(F.transform(F.slice("ls", F.lit(1), F.size("ls") - 1), lambda r: r["value"]), F.array(last)), "\n")
-    root = f"{shared_dir(s)}/logs-{uuid.uuid4().hex}"
+    root = scratch(s, "logs") + "/table"
     session.select("project", "session", whole.alias("value")).repartition("session").write.partitionBy("project", "session").option("lineSep", "~").text(root)
     got = logs.ordered_lines(logs.read_lines(s, root, "*.txt")).withColumn("source", F.regexp_extract("file_path", "session=([^/]+)", 1))
     return ingest.parse(got).groupBy("source").agg(F.count("*").alias("lines"), F.count_if("parse_error").alias("parse_errors"))
@@ -499,7 +498,7 @@ def tail_lines(s, d):
 @query
 def ledger_read(s, d):
     """A ledger written, with one line cut off and some times missing, and read back from a day on."""
-    path = f"{shared_dir(s)}/ledger-{uuid.uuid4().hex}"
+    path = scratch(s, "ledger") + "/table"
     docs = s.read.parquet(f"{d}/documents.parquet").where("length(text) > 500")
     ts = F.when(F.col("doc_id") % 10 != 0, F.lit(CHANGE) + F.make_dt_interval((F.col("doc_id") % 7 - 3).cast("int")))
     text = F.lit(None).cast("string")
@@ -605,7 +604,7 @@ def index_stale(s, d):
 @query
 def labels_upsert(s, d):
     """Labels written, two of them renamed later, and read back."""
-    path = f"{shared_dir(s)}/labels-{uuid.uuid4().hex}"
+    path = scratch(s, "labels") + "/table"
     first = fx.labels(s).where(lifecycle.well_formed())
     logs.upsert_labels(first, path)
     again = s.range(2).select(fx._id("p", F.col("id").cast("string")).alias("id"), F.concat(F.lit("renamed "), F.col("id").cast("string")).alias("label"), F.lit(LATE).alias("updated"))
@@ -669,7 +668,7 @@ def mart_changed(s, d):
 
 
 def chunks(s, d) -> str:
-    root = f"{shared_dir(s)}/chunks-{uuid.uuid4().hex}"
+    root = scratch(s, "chunks") + "/table"
     raw = fx.raw_lines(s, d).select("source", "project", "line_no", "value")
     raw.withColumn("part", F.when(F.col("line_no") <= 3, "1").otherwise("2")).write.partitionBy("part").json(root)
     return root
@@ -713,7 +712,7 @@ def stream_upsert(s, d):
     t = t.withColumns({"goes_on": F.max("line_no").over(by_source) > 3, "cut": F.max(F.when(early, F.col("line_no"))).over(by_source)})
     last = early & (F.col("line_no") == F.col("cut"))
     parts = [t.where(early).withColumn("origin", F.when(last, "tail").otherwise("live")), t.where(~early | (last & F.col("goes_on")))]
-    root = f"{shared_dir(s)}/turns-{uuid.uuid4().hex}"
+    root = scratch(s, "turns")
     parts = [x.drop("goes_on", "cut") for x in parts]
     for x in parts:
         x.write.mode("append").parquet(f"{root}/inbox")
@@ -728,7 +727,7 @@ def stream_daily_spend(s, d):
     """Spend by day over a stream of turns, with a watermark; every update is written and the last of a day counts."""
     from tokenledger.streaming.ingest import daily_spend
 
-    path = f"{shared_dir(s)}/turns-{uuid.uuid4().hex}"
+    path = scratch(s, "turns") + "/table"
     priced(s, d).select("ts", F.col("usd").cast("decimal(38,12)").alias("usd")).write.parquet(path)
     live = daily_spend(s.readStream.schema("ts timestamp, usd decimal(38,12)").parquet(path))
     out = f"{path}-days"

@@ -20,10 +20,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what stands there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(at)  # only what exists can be marked
+    files.deleteOnExit(at)
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: the lineage ends there."""
+    """Write df as Parquet into the shared folder and read it again: the lineage ends there.
+
+    The table goes with unstage, or when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark, label)}/table"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
@@ -34,6 +46,5 @@ def unstage(df: DataFrame) -> None:
     """Delete a staged table that no later plan reads."""
     path = getattr(df, "_staged_at", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
