@@ -274,8 +274,8 @@ def test_long_items_are_whole(spark):
     rows = [(1, "all the others"), (2, " ".join(one)), (3, " ".join(two[400:800])), (4, " ".join(near)), (5, " ".join(two[:1500])), (6, " ".join(["some", *one[:390]]))]
     items = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(two))], "item_id long, text string")
     want = {2: (1, 1.0), 4: (2, 0.877), 6: (1, 0.973)}
-    for words in (decontaminate.BLOCK_WORDS, 500):
-        got = decontaminate.contaminated(docs(spark, rows), items, block_words=words).collect()
+    for chars in (decontaminate.BLOCK_CHARS, 3000):
+        got = decontaminate.contaminated(docs(spark, rows), items, block_chars=chars).collect()
         assert {r.doc_id: (r.item_id, round(r.score, 3)) for r in got} == want
 
 

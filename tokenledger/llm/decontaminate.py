@@ -10,7 +10,7 @@ those that hold too few of the item's words, in any order, to reach the threshol
 
 An item of fewer than 5 words stands in any prose, so it counts only in a document of which its words are half or more.
 
-The seed table is broadcast; items come in blocks of about ``block_items`` items and ``block_words`` words at most, which
+The seed table is broadcast; items come in blocks of about ``block_items`` items and ``block_chars`` characters at most, which
 bounds it to some 100 MB a task (a longer item is a block's bulk by itself: items are never cut).  Null or empty texts and items match nothing, an
 empty table of either gives no rows; texts may be of any length; of equal scores the smallest item_id is reported; repeated
 rows, and rows without doc_id, are judged each by itself, told apart by a hash of the text; extra columns are ignored, clashing ones replaced.
@@ -32,7 +32,7 @@ from tokenledger.llm.minhash import mix
 
 WORDS = re.compile(r"[^\W_]+")
 WIDTH, THRESHOLD, EDIT = 5, 0.8, 0.1
-BLOCK_ITEMS, BLOCK_WORDS = 50_000, 500_000
+BLOCK_ITEMS, BLOCK_CHARS = 50_000, 4_000_000
 #: Stands for a doc_id that is null.
 NO_ID = -(2**63)
 #: Cells of one row of spans aligned at a time.
@@ -178,11 +178,11 @@ def _block(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> D
     return scored.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
-def alignments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
+def alignments(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_items: int = BLOCK_ITEMS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, mark, item_id, score) of all places aligned, those that may reach the threshold; docs: doc_id, text; items: item_id, text."""
     items = items.where("text is not null and item_id is not null").select("item_id", "text")
-    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.regexp_count("text", F.lit(r"[\p{L}\p{N}]+"))), F.lit(0)).alias("words")).first()
-    n_blocks = max(1, -(-size["n"] // block_items), -(-size["words"] // block_words))
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    n_blocks = max(1, -(-size["n"] // block_items), -(-size["chars"] // block_chars))
     out = None
     for k in range(n_blocks):  # the items of a block are bounded, however many there are
         mine = sorted(map(tuple, items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()))
