@@ -14,8 +14,8 @@ into posting lists, one for each coordinate and value.
 * skip: lists with several components give all pairs between different components if they have up to ``short``
   members.  The members of longer ones, and of no others, meet through a prefix of their shingles: in one order of all shingles, those
   that many hold last, two sets at the wanted similarity share one of their first few, and places further on are skipped if what is
-  left of either set can't reach the overlap.  That is exact, and neither a passage that many documents share nor
-  a crowd of loose copies of one text costs a pair for each two of them.
+  left of either set can't reach the overlap, and pivots come first here as well.  That is exact, and a passage that many documents share
+  costs no pair for each two of them; in a crowd of loose copies, those near the wanted similarity to one another still meet in pairs.
 
 Links are exact above the confirmation; a pair at similarity 0.85 goes unseen only if under 6 of 16
 coordinates or under 88 of 128 agree, with odds of about one in a million.  Null texts have empty
@@ -108,7 +108,8 @@ def sets(docs: DataFrame, full: bool) -> DataFrame:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    one = lambda c: pairs.select(F.col(c).alias("doc_id")).distinct()
+    return one("a").unionByName(one("b")).distinct()
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -178,24 +179,42 @@ def _prefixes(docs: DataFrame, percent: int, common: DataFrame, most: int = MOST
     return sets(docs, full=True).mapInArrow(run, schema)
 
 
-def _rarest_first(docs: DataFrame, comp: DataFrame, percent: int, short: int) -> DataFrame:
-    """Pairs (a, b) of docs in different components that may reach the similarity, staged: all there are, by rare shingles.
+def _met(posts: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of posts and others that share a token, lie in different components and may reach the similarity.
 
     A set of n with n * percent / 100 <= m <= n * 100 / percent members in the other needs an overlap of
     percent * (n + m) / (100 + percent); in one order of all shingles, both have their first common one where at least that much is left."""
+    other = others.select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("component").alias("component_b"))
+    mine = posts.select("token", F.col("doc_id").alias("a"), "n", "at", "component")
+    left = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
+    reach = left * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
+    met = mine.join(other, "token").where((F.col("a") != F.col("b")) & (F.col("component") != F.col("component_b")) & reach)
+    return stage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
+def _by_prefix(docs: DataFrame, found: DataFrame, comp: DataFrame, percent: int, short: int, rounds: int = 1) -> DataFrame:
+    """found and the links (a, b) of docs, staged, between its components: all that are needed, by a prefix of their shingles.
+
+    Members of lists of over ``short`` meet a pivot of their list first, in each round another; those whom no pivot links meet all others that share a token."""
     common = stage(_common(docs, short), "common")
     every = stage(_prefixes(docs, percent, common), "prefixes")
-    shared = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-    posts = stage(_labelled(every.join(shared, "token"), comp), "posts")
+    shared = every.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    posts = stage(every.join(shared, "token"), "posts")
     unstage(common)
     unstage(every)
-    other = posts.select("token", F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("component").alias("component_b"))
-    mine = posts.select("token", F.col("doc_id").alias("a"), "n", "at", "component")
-    left = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
-    reach = left * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
-    out = stage(mine.join(other, "token").where((F.col("a") < F.col("b")) & (F.col("component") != F.col("component_b")) & reach).select("a", "b").distinct(), "pairs")
-    unstage(posts)
-    return out
+    popular = posts.groupBy("doc_id").agg(F.sum(F.log2("df")).alias("popular"))
+    for k in range(rounds):
+        marked = _labelled(posts, comp)
+        mixed = marked.where(F.col("df") > short).groupBy("token").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("token")
+        some = stage(marked.join(mixed, "token"), "mixed")
+        if some.isEmpty():
+            break
+        first = F.col("popular") if not k else F.xxhash64("doc_id", F.lit(k)).cast("double")
+        heads = some.join(popular, "doc_id").groupBy("token").agg(F.max(F.struct(first.alias("first"), "doc_id", "n", "at", "component")).alias("x")).select("token", "x.doc_id", "x.n", "x.at", "x.component")
+        found = found.unionByName(confirm(docs, _met(some, heads, percent), percent))
+        comp = components(found)
+        unstage(some)
+    return found.unionByName(confirm(docs, _met(_labelled(posts, comp), _labelled(posts, comp), percent), percent))
 
 
 def links(docs: DataFrame, reps: DataFrame, percent: int = 85, posted: int = POSTED, least: int = LEAST, matches: int = MATCHES, short: int = SHORT) -> DataFrame:
@@ -221,8 +240,8 @@ def links(docs: DataFrame, reps: DataFrame, percent: int = 85, posted: int = POS
     near = close.withColumnRenamed("doc_id", "a").join(other, "key").where("a < b and component <> component_b").select("a", "b").distinct()
     found = found.unionByName(confirm(docs, _collisions(near, reps, matches), percent))
     crowd = stage(still.where(F.col("n") > short).select("doc_id").distinct(), "crowd")
-    rare = _rarest_first(stage(narrowed(docs, crowd, "doc_id").join(crowd, "doc_id", "left_semi"), "crowded"), comp, percent, short)
-    return found.unionByName(confirm(docs, rare, percent))
+    crowded = stage(narrowed(docs, crowd, "doc_id").join(crowd, "doc_id", "left_semi"), "crowded")
+    return _by_prefix(crowded, found, components(found), percent, short)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, **how) -> DataFrame:
