@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tokenledger.llm.common import narrowed, stage, table
 from tokenledger.llm.minhash import mix
 
-LENGTH, CORE, BLOCK = 400, 250, 1 << 22
+LENGTH, CORE, BLOCK = 400, 250, 1 << 20
 _RNG = np.random.default_rng(23)
 _VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(int(_RNG.integers(1, 2**61)) * 8 + 5)
