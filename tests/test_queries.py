@@ -9,7 +9,7 @@ from tokenledger.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 # A cross-section in reach of a short run; the driver compares all of them at a larger scale.
-FEW = ["report_by_model", "priced_turns", "report_cube", "keep_last", "prior_tools", "tool_costs", "trend_drivers_project", "findings_ranked", "line_kinds", "ordered_lines", "reduce_text", "manifest_diff", "stream_tool_cohorts", "run_rate",
+FEW = ["report_by_model", "priced_turns", "report_cube", "keep_last", "prior_tools", "tool_costs", "trend_drivers_project", "findings_ranked", "line_kinds", "ordered_lines", "reduce_text", "collapse_lines", "reduce_lines", "fit_ends", "reduction_ledger", "manifest_diff", "stream_tool_cohorts", "run_rate",
        "keep_last_by_mtime", "stream_upsert", "compare_snapshots", "tail_lines", "ledger_read", "schema_rebuild", "index_stale", "labels_upsert", "mart_top", "mart_changed", "mart_savings", "turn_cost_dist"]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,6 +51,11 @@ def iso_timestamp(value: Column) -> Column:
     return F.when(value.rlike(ISO_TIME), F.try_to_timestamp(value))
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is made once however often body names it (a plain column expression is made anew at each place)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def half_up(x: Column) -> Column:
     return F.floor(x + F.lit(0.5)).cast("bigint")
 

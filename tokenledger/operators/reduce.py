@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenledger.functions.scalars import bind
+
 
 @dataclass(frozen=True)
 class Reduction:
@@ -25,39 +27,54 @@ class Reduction:
 
 def collapsed(lines: Column) -> Column:
     """Without lines equal to the one before."""
-    return F.filter(lines, lambda x, i: (i == 0) | (x != F.element_at(lines, F.greatest(i, F.lit(1)))))
+    return bind(lines, lambda ls: F.filter(ls, lambda x, i: (i == 0) | (x != F.element_at(ls, F.greatest(i, F.lit(1))))))
+
+
+def reduced_lines(lines: Column, r: Reduction) -> Column:
+    """(kept: lines, elided: number of lines left out) of collapsed lines."""
+
+    def cut(ls: Column, found: Column) -> Column:
+        n = F.size(ls)
+        elided = n - r.head - r.tail - F.size(found)
+        told = F.array(F.format_string("\n" + r.elided_notice + "\n", elided))
+        diagnostics = F.when(F.size(found) > 0, F.concat(F.array(F.lit(""), F.lit(r.middle_notice)), found, F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
+        kept = F.concat(F.slice(ls, 1, r.head), told, diagnostics, F.slice(ls, F.greatest(F.lit(1), n - r.tail + 1), F.lit(r.tail)))
+        return F.struct(kept.alias("kept"), elided.alias("elided"))
 
+    def told(ls: Column) -> Column:
+        n = F.size(ls)
+        middle = F.slice(ls, F.lit(r.head + 1), F.greatest(F.lit(0), n - r.head - r.tail))
+        found = F.slice(F.filter(middle, lambda x: x.rlike(r.signal)), 1, r.important)
+        whole = F.struct(ls.alias("kept"), F.lit(0).alias("elided"))
+        return F.when(n > r.head + r.tail + r.important, bind(found, lambda f: cut(ls, f))).otherwise(whole)
 
-def reduced_lines(lines: Column, r: Reduction) -> tuple[Column, Column]:
-    """(kept lines, number of lines left out) of collapsed lines."""
-    n = F.size(lines)
-    long = n > r.head + r.tail + r.important
-    middle = F.slice(lines, F.lit(r.head + 1), F.greatest(F.lit(0), n - r.head - r.tail))
-    found = F.slice(F.filter(middle, lambda x: x.rlike(r.signal)), 1, r.important)
-    elided = F.when(long, n - r.head - r.tail - F.size(found)).otherwise(0)
-    told = F.array(F.format_string("\n" + r.elided_notice + "\n", elided))
-    diagnostics = F.when(F.size(found) > 0, F.concat(F.array(F.lit(""), F.lit(r.middle_notice)), found, F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
-    kept = F.concat(F.slice(lines, 1, r.head), told, diagnostics, F.slice(lines, F.greatest(F.lit(1), n - r.tail + 1), F.lit(r.tail)))
-    return F.when(long, kept).otherwise(lines), elided
+    return bind(lines, told)
 
 
 def fit_ends(text: Column, budget: int, r: Reduction) -> Column:
     """Both ends of a text longer than budget, the notice counted in."""
     room = max(0, budget - len(r.cut_notice))
     tail = int(room * r.tail_share)
-    short = F.concat(F.substring(text, 1, room - tail), F.lit(r.cut_notice), F.right(text, F.lit(tail)) if tail else F.lit(""))
-    return F.when(F.length(text) > budget, short).otherwise(text)
+    short = lambda t: F.concat(F.substring(t, 1, room - tail), F.lit(r.cut_notice), F.right(t, F.lit(tail)) if tail else F.lit(""))
+    return bind(text, lambda t: F.when(F.length(t) > budget, short(t)).otherwise(t))
 
 
 def reduce_text(df: DataFrame, text: str = "text", r: Reduction = Reduction()) -> DataFrame:
-    """df with reduced, raw_chars, sent_chars, elided_lines and changed; short texts stay as they are, null is empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = df.withColumn("_lines", collapsed(F.split(t, "\n")))
-    kept, elided = reduced_lines(F.col("_lines"), r)
-    long = F.length(t) > r.max_chars
-    d = d.withColumn("reduced", F.when(long, fit_ends(F.array_join(kept, "\n"), r.max_chars, r)).otherwise(t))
-    d = d.withColumn("elided_lines", F.when(long, elided).otherwise(0)).drop("_lines")
-    return d.withColumns({"raw_chars": F.length(t), "sent_chars": F.length("reduced"), "changed": F.col("reduced") != t})
+    """df with reduced, raw_chars, sent_chars, elided_lines and changed; short texts stay as they are, null is empty.
+
+    The columns come from a generator of one row, so a filter on them does not make them a second time."""
+    names = ("reduced", "elided_lines", "raw_chars", "sent_chars", "changed")
+
+    def told(t: Column, reduced: Column, elided: Column) -> Column:
+        values = (reduced, elided, F.length(t), F.length(reduced), reduced != t)
+        return F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)])
+
+    def cut(t: Column) -> Column:
+        lines = reduced_lines(collapsed(F.split(t, "\n")), r)
+        return bind(lines, lambda k: bind(fit_ends(F.array_join(k["kept"], "\n"), r.max_chars, r), lambda x: told(t, x, k["elided"])))
+
+    made = F.when(F.length("_text") > r.max_chars, cut(F.col("_text"))).otherwise(told(F.col("_text"), F.col("_text"), F.lit(0)))
+    return df.drop(*names).withColumn("_text", F.coalesce(F.col(text), F.lit(""))).select("*", F.inline(F.array(made))).drop("_text")
 
 
 def ledger_rows(reduced: DataFrame, session: Column, project: Column, ts: Column) -> DataFrame:

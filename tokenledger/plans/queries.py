@@ -7,7 +7,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tokenledger.functions.scalars import fingerprint, model_key, usd
+from tokenledger.functions.scalars import bind, fingerprint, model_key, usd
 from tokenledger.operators import attribution, dedup, findings, ingest, lifecycle, pricing, reduce, report, trend
 from tokenledger.params import Params
 from tokenledger.plans import fixtures as fx
@@ -517,20 +517,20 @@ def documents(s, d) -> DataFrame:
 @query
 def collapse_lines(s, d):
     x = reduce.collapsed(F.split(F.coalesce("text", F.lit("")), "\n"))
-    return documents(s, d).select("doc_id", F.size(x).cast("bigint").alias("n_lines"), F.sha2(F.array_join(x, "\n"), 256).alias("digest"))
+    told = bind(x, lambda ls: F.struct(F.size(ls).cast("bigint").alias("n_lines"), F.sha2(F.array_join(ls, "\n"), 256).alias("digest")))
+    return documents(s, d).select("doc_id", F.inline(F.array(told)))
 
 
 @query
 def reduce_lines(s, d):
-    kept, elided = reduce.reduced_lines(F.col("x"), SMALL)
-    x = documents(s, d).withColumn("x", reduce.collapsed(F.split(F.coalesce("text", F.lit("")), "\n")))
-    return x.select("doc_id", F.sha2(F.array_join(kept, "\n"), 256).alias("digest"), elided.cast("bigint").alias("elided"))
+    x = reduce.reduced_lines(reduce.collapsed(F.split(F.coalesce("text", F.lit("")), "\n")), SMALL)
+    return documents(s, d).select("doc_id", F.inline(F.array(bind(x, lambda k: F.struct(F.sha2(F.array_join(k["kept"], "\n"), 256).alias("digest"), k["elided"].cast("bigint").alias("elided"))))))
 
 
 @query
 def fit_ends(s, d):
-    x = reduce.fit_ends(F.col("text"), SMALL.max_chars, SMALL)
-    return documents(s, d).select("doc_id", F.sha2(x, 256).alias("digest"), F.length(x).cast("bigint").alias("n"))
+    x = bind(reduce.fit_ends(F.col("text"), SMALL.max_chars, SMALL), lambda t: F.struct(F.sha2(t, 256).alias("digest"), F.length(t).cast("bigint").alias("n")))
+    return documents(s, d).select("doc_id", F.inline(F.array(x)))
 
 
 @query
