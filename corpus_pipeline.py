@@ -1,7 +1,11 @@
 """Training-corpus pipeline: language ID, line dedup, MinHash near-dedup, decontamination, tokenisation.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the next stage reads what it wrote as
-Parquet.  All stages but the last return the columns of ``documents``.
+Parquet.  All stages but the last return the columns of ``documents``; others in the input are ignored, whatever their names.
+
+Null and empty texts have no language and leave in the first stage.  Rows of one doc_id stay or go by their own text in decontamination, and
+together in near-dedup, where they are one document; rows without doc_id take part in every stage but near-dedup, which can't name them and keeps
+them.  Copies leave the smallest doc_id, shared lines the largest.  Texts may be of any length; an empty table gives no rows.
 """
 
 from __future__ import annotations
