@@ -193,8 +193,8 @@ def merged(starts: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
 
 
 def query(spark: SparkSession, sf_dir: str, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
-    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), length)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and repeats, whether anything is removed, for every document."""
+    return digests(table(spark, sf_dir, "documents").select("doc_id", "text"), length).withColumn("repeats", F.col("n_removed") > 0)
 
 
 def digests(docs: DataFrame, length: int = LENGTH, core: int = CORE) -> DataFrame:
