@@ -32,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenledger.llm.common import LOWER, UPPER, narrowed, stage, table, unstage
@@ -179,8 +179,8 @@ def _prefixes(docs: DataFrame, percent: int, common: DataFrame, most: int = MOST
     return sets(docs, full=True).mapInArrow(run, schema)
 
 
-def _met(posts: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of posts and others that share a token, lie in different components and may reach the similarity.
+def _met(posts: DataFrame, others: DataFrame, percent: int, order: Column) -> DataFrame:
+    """Distinct pairs (a, b) of posts and others that share a token, lie in different components and may reach the similarity; order: which of (a, b) and (b, a) count.
 
     A set of n with n * percent / 100 <= m <= n * 100 / percent members in the other needs an overlap of
     percent * (n + m) / (100 + percent); in one order of all shingles, both have their first common one where at least that much is left."""
@@ -188,7 +188,7 @@ def _met(posts: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     mine = posts.select("token", F.col("doc_id").alias("a"), "n", "at", "component")
     left = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b"))
     reach = left * (100 + percent) >= percent * (F.col("n") + F.col("n_b"))
-    met = mine.join(other, "token").where((F.col("a") != F.col("b")) & (F.col("component") != F.col("component_b")) & reach)
+    met = mine.join(other, "token").where(order & (F.col("component") != F.col("component_b")) & reach)
     return stage(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
@@ -211,10 +211,10 @@ def _by_prefix(docs: DataFrame, found: DataFrame, comp: DataFrame, percent: int,
             break
         first = F.col("popular") if not k else F.xxhash64("doc_id", F.lit(k)).cast("double")
         heads = some.join(popular, "doc_id").groupBy("token").agg(F.max(F.struct(first.alias("first"), "doc_id", "n", "at", "component")).alias("x")).select("token", "x.doc_id", "x.n", "x.at", "x.component")
-        found = found.unionByName(confirm(docs, _met(some, heads, percent), percent))
+        found = found.unionByName(confirm(docs, _met(some, heads, percent, F.col("a") != F.col("b")), percent))
         comp = components(found)
         unstage(some)
-    return found.unionByName(confirm(docs, _met(_labelled(posts, comp), _labelled(posts, comp), percent), percent))
+    return found.unionByName(confirm(docs, _met(_labelled(posts, comp), _labelled(posts, comp), percent, F.col("a") < F.col("b")), percent))
 
 
 def links(docs: DataFrame, reps: DataFrame, percent: int = 85, posted: int = POSTED, least: int = LEAST, matches: int = MATCHES, short: int = SHORT) -> DataFrame:
