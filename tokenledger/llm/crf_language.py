@@ -37,6 +37,8 @@ DOCS_PER_LANG, SPAN = 250, 32
 TABLE, SEGMENT, EPOCHS = 1 << 17, 64, 20
 #: Characters of words looked at at once.
 CELLS = 1_000_000
+#: Words whose emissions a task keeps.
+KNOWN = 200_000
 UNKNOWN = "und"
 _PLACES = np.uint64(0x9E3779B97F4A7C15)
 
@@ -248,7 +250,7 @@ def _posteriors(crf: Crf | None, batches: Iterator[pa.RecordBatch], text: str) -
         lengths = np.array([len(s) for s in split], np.int64)
         found = np.zeros((0, table_.shape[1]))
         if lengths.any():
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN:
                 known.clear()
                 table_ = table_[:0]
             new = list(dict.fromkeys(w for s in split for w in s if w not in known))

@@ -30,7 +30,7 @@ from tokenledger.llm.common import table
 
 SPACE = "▁"
 #: Characters merged at once; a batch of texts is cut into blocks of about this many.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 
 
 class Vocabulary:
