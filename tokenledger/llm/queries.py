@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL, by registered name."""
 
-from tokenledger.llm import crf_language, decontaminate, line_dedup, minhash, nn_descent, periodic_runs, pieces, prefix_trie, site_style, suffix_dedup, url_filter, weak_quality
+from tokenledger.llm import credentials, crf_language, decontaminate, line_dedup, minhash, nn_descent, periodic_runs, pieces, prefix_trie, site_style, suffix_dedup, url_filter, weak_quality
 
 _MODULES = {
     "op1_crf_language": crf_language,
@@ -15,6 +15,7 @@ _MODULES = {
     "op10_line_dedup": line_dedup,
     "op11_prefix_trie": prefix_trie,
     "op12_periodic_runs": periodic_runs,
+    "op13_credentials": credentials,
 }
 
 QUERIES = {name: module.query for name, module in _MODULES.items()}
