@@ -21,11 +21,20 @@ def spark():
     yield s
 
 
-@pytest.fixture(scope="session")
-def duck():
+def views(folder):
     import duckdb
 
     con = duckdb.connect()
-    for f in os.listdir(f"{DATA}/sf0.001"):
-        con.execute(f"create view {f.split('.')[0]} as select * from '{DATA}/sf0.001/{f}'")
+    for f in os.listdir(folder):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{folder}/{f}'")
     return con
+
+
+@pytest.fixture(scope="session")
+def duck():
+    return views(f"{DATA}/sf0.001")
+
+
+@pytest.fixture(scope="session")
+def duck_larger():
+    return views(f"{DATA}/sf0.01")

@@ -23,9 +23,10 @@ def has_key() -> Column:
 
 
 def load_order(df: DataFrame) -> list[Column]:
-    """Retired records first, then live ones, then an uncommitted tail; files by when they were modified, if df has it, then by source."""
-    origin = F.when(F.col("origin") == "retired", 0).when(F.col("origin") == "live", 1).otherwise(2)
-    return [origin, *([F.col("modified")] if "modified" in df.columns else []), F.col("source"), F.col("load_seq")]
+    """Retired records first, then file by file: by when it was modified, if df has it, then by source; of a file its records, then its
+    uncommitted tail.  So a record of a later file comes after the tail of an earlier one."""
+    first = F.when(F.col("origin") == "retired", 0).otherwise(1)
+    return [first, *([F.col("modified")] if "modified" in df.columns else []), F.col("source"), F.col("origin") == "tail", F.col("load_seq")]
 
 
 def keep_last(df: DataFrame, *within: str) -> DataFrame:

@@ -13,6 +13,7 @@ from tokenledger.params import Params
 from tokenledger.plans import fixtures as fx
 from tokenledger.sources import logs
 from tokenledger.sources.staging import scratch, stage, unstage
+from tokenledger.sources.versioned import VersionedTable
 
 P = Params()
 CHANGE = fx.CHANGE
@@ -713,7 +714,7 @@ def stream_upsert(s, d):
     last = early & (F.col("line_no") == F.col("cut"))
     parts = [t.where(early).withColumn("origin", F.when(last, "tail").otherwise("live")), t.where(~early | (last & F.col("goes_on")))]
     root = scratch(s, "turns")
-    parts = [x.drop("goes_on", "cut") for x in parts]
+    parts = [x.drop("goes_on", "cut").withColumn("modified", F.max("ts").over(by_source)) for x in parts]
     for x in parts:
         x.write.mode("append").parquet(f"{root}/inbox")
         stream = s.readStream.schema(x.schema).parquet(f"{root}/inbox")
@@ -722,6 +723,19 @@ def stream_upsert(s, d):
     return current(s, f"{root}/table").select("source", "line_no", "origin")
 
 
+@query
+def replace_sources(s, d):
+    """Records of all sources, then some sources replaced by their later lines and some by nothing; an unfinished write counts for nothing."""
+    path = scratch(s, "records") + "/table"
+    t = fx.turns(s, d)
+    logs.write_records(t, path)
+    VersionedTable(s, path)._write(t.limit(10), t.select("source").distinct())  # as a run leaves it that broke off before its commit
+    digit = F.substring("source", 1, 1)
+    logs.write_records(t.where((digit < "8") & (F.col("line_no") > 3)), path, t.where(digit < "8"))
+    logs.write_records(t.limit(0), path, t.where(digit == "f"))
+    return logs.read_records(s, path).select("source", "line_no", "model")
+
+
 @query
 def stream_daily_spend(s, d):
     """Spend by day over a stream of turns, with a watermark; every update is written and the last of a day counts."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenledger.functions.scalars import fingerprint
+from tokenledger.sources.versioned import Change, Version, VersionedTable
 
 
 def read_lines(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
@@ -36,10 +37,17 @@ def ordered_lines(lines: DataFrame) -> DataFrame:
     return text.withColumn("line_no", F.row_number().over(order)).drop("_at", "_bytes")
 
 
-def write_records(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """Record sink: a source's bucket is replaced as a whole."""
-    (df.withColumn("source_bucket", F.pmod(F.xxhash64("source"), F.lit(buckets))).write.partitionBy("source_bucket")
-     .option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path))
+def write_records(df: DataFrame, path: str, sources: DataFrame | None = None) -> Version:
+    """Record sink: what the sources of df had is replaced at once, other sources stay.
+
+    sources (source): those that df speaks for, if some may have no rows left; else those of its rows."""
+    owners = (df if sources is None else sources).select("source").distinct()
+    return VersionedTable(df.sparkSession, path).commit([Change("records", df, owners)])
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame | None:
+    """The records of all sources, each as last written; None if none were."""
+    return VersionedTable(spark, path).read("records")
 
 
 def write_report(sections: dict[str, DataFrame], path: str) -> None:
@@ -96,10 +104,7 @@ def write_sessions(raw: DataFrame, folder: str) -> str:
 
 
 def append_snapshot(rows: DataFrame, path: str) -> DataFrame:
-    """Append to the snapshot table; the latest row of each name and model."""
-    stamped = rows.withColumn("tagged_at", F.current_timestamp())
-    stamped.write.mode("append").parquet(path)
-    table = rows.sparkSession.read.parquet(path)
-    values = [c for c in table.columns if c not in ("name", "model", "tagged_at")]
-    last = table.groupBy("name").agg(F.max("tagged_at").alias("tagged_at"))
-    return table.join(last, ["name", "tagged_at"]).select("name", "model", *values)
+    """Add snapshots (name, model, ...) to the table; the rows of each name as last saved.  A name is saved anew as a whole."""
+    table = VersionedTable(rows.sparkSession, path, owner="name")
+    table.commit([Change("snapshots", rows, rows.select("name").distinct().withColumn("tagged_at", F.current_timestamp()))])
+    return table.read("snapshots")

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tokenledger.functions.scalars import day_key
-from tokenledger.operators.dedup import has_key, keep_last
+from tokenledger.operators.dedup import keep_last
 from tokenledger.operators.ingest import parse
 from tokenledger.sources.staging import stage, unstage
+from tokenledger.sources.versioned import Change, VersionedTable
 
 CHUNK = "source string, project string, line_no bigint, value string"
 STATE = "cohort array<string>, current array<string>, message string, has_message boolean"
@@ -65,49 +66,37 @@ def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert(table: str, buckets: int = 16):
-    """A foreachBatch function that keeps the last record of each key in a bucketed table; ``current`` reads it.
+def upsert(path: str):
+    """A foreachBatch function that takes usage records (with modified, that of their source's file) into a table; ``current`` reads it.
 
-    Rows lie in buckets of their key, those without one and provisional tail rows in buckets of their source.  A batch writes new versions
-    of the buckets it touches, and then one line for each into the list of commits, so a reader sees all of a batch or nothing, and a
-    batch that is run again replaces itself.  Tail rows give way to the next increment of their source, and never push out a settled row."""
+    Settled records are added as they are.  Provisional ones (origin tail) lie beside them in a layer of their own, where each increment of a source
+    replaces what the source had, with nothing if its last line is settled now.  They meet other sources' records only when the table is read,
+    so a record that a tail of another source outranked is back as soon as that tail leaves.  A batch is one version: readers see all of it or
+    nothing, and a batch that runs again changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        by_key = F.when((F.col("origin") != "tail") & has_key(), F.xxhash64("message_id", "request_id")).otherwise(F.xxhash64("source"))
-        new = stage(batch.withColumns({"tail": F.col("origin") == "tail", "bucket": F.pmod(by_key, F.lit(buckets)).cast("int")}), "increment")
-        sources = new.select("source").distinct()
-        own = sources.select(F.pmod(F.xxhash64("source"), F.lit(buckets)).cast("int").alias("bucket"))
-        touched = [r["bucket"] for r in new.select("bucket").unionByName(own).distinct().collect()]  # at most buckets numbers
-        old = _versions(spark, table, number, new)
-        settled = old.where(F.col("bucket").isin(touched))
-        settled = settled.where("not tail").unionByName(settled.where("tail").join(sources, "source", "left_anti"))
-        merged = keep_last(settled.select(new.columns).unionByName(new), "tail")
-        merged.withColumn("version", F.lit(number)).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "bucket").parquet(f"{table}/rows")
-        spark.createDataFrame([(b, number) for b in touched], "bucket int, version long").coalesce(1).write.mode("append").parquet(f"{table}/commits")
+        new = stage(batch, "increment")
+        sources = new.groupBy("source").agg(F.max("modified").alias("modified"))
+        tail = F.col("origin") == "tail"
+        VersionedTable(batch.sparkSession, path).commit([Change("settled", new.where(~tail)), Change("tail", new.where(tail), sources)], ("upsert", number))
         unstage(new)
 
     return write
 
 
-def _there(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The records of an upserted table: of each key the last by load order, files ordered by when each was last modified."""
+    table = VersionedTable(spark, path)
+    version = table.latest()
+    rows = table.read("settled", version).unionByName(table.read("tail", version)).drop("modified")
+    return keep_last(rows.join(table.owners("tail", version).drop("_last"), "source"))
 
 
-def _versions(spark: SparkSession, table: str, before: int | None, like: DataFrame) -> DataFrame:
-    """The rows of each bucket's last committed version (before a batch number)."""
-    if not _there(spark, f"{table}/commits"):
-        return like.limit(0)
-    commits = spark.read.parquet(f"{table}/commits")
-    last = (commits if before is None else commits.where(F.col("version") < before)).groupBy("bucket").agg(F.max("version").alias("version"))  # a row a bucket
-    return spark.read.parquet(f"{table}/rows").join(F.broadcast(last), ["bucket", "version"], "left_semi").drop("version")
-
-
-def current(spark: SparkSession, table: str) -> DataFrame:
-    """The records of an upserted table."""
-    rows = spark.read.parquet(f"{table}/rows")
-    return keep_last(_versions(spark, table, None, rows)).drop("tail", "bucket")
+def compact(spark: SparkSession, path: str) -> None:
+    """Settled records as one segment, of each source and key the last only.  Sources are not compared: which of them is the last may change."""
+    table = VersionedTable(spark, path)
+    table.compact("settled", lambda rows: keep_last(rows, "source"))
+    table.compact("tail")
 
 
 def daily_spend(priced: DataFrame, lateness: str = "2 days") -> DataFrame:
