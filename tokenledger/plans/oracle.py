@@ -181,6 +181,7 @@ SQL = {
     "project_report": with_(grouped("m", "model", priced(where="project = substr(sha256('fixture:p:3'), 1, 12)")), f"SELECT model, {OUT} FROM g"),
     "cohort_segments": with_(TURNS, "SELECT source, line_no, kind, seg::BIGINT AS seg, grp::BIGINT AS grp FROM pt"),
     "message_tools": with_(TURNS, "SELECT source, line_no, array_to_string(list_sort(running), ',') AS tools FROM pt"),
+    "cohort_turns": with_(TURNS, "SELECT source, line_no, array_to_string(list_sort(running), ',') AS tools, array_to_string(list_sort(prior), ',') AS prior_tools FROM pt WHERE kind = 'B'"),
     "prior_tools": with_(TURNS, "SELECT source, line_no, array_to_string(list_sort(prior), ',') AS prior_tools FROM pt"),
     "tool_costs": with_(priced() + TOOLS, f"SELECT {TOOL_OUT} FROM tools"),
     "tool_economics": with_(priced() + TOOLS, "SELECT tool, round(usd / nullif(calls, 0), 6) AS usd_per_call, round(solo_usd / nullif(usd, 0), 6) AS solo_share FROM tools"),

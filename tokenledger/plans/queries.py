@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenledger.functions.scalars import bind, fingerprint, model_key, usd
-from tokenledger.operators import attribution, dedup, findings, ingest, lifecycle, pricing, reduce, report, trend
+from tokenledger.operators import attribution, cohorts, dedup, findings, ingest, lifecycle, pricing, reduce, report, trend
 from tokenledger.params import Params
 from tokenledger.plans import fixtures as fx
 from tokenledger.sources import logs
@@ -221,6 +221,12 @@ def prior_tools(s, d):
     return money(g.select("source", "line_no", "prior_tools"))
 
 
+@query
+def cohort_turns(s, d):
+    """The same machine as a prefix scan over ranges of lines, for sessions of any size."""
+    return money(cohorts.cohort_turns(fx.lines(s, d)).select("source", "line_no", "tools", "prior_tools"))
+
+
 TOOL = ("calls", "follow_on_requests", "solo_follow_on_requests", "total", "usd", "output_usd", "solo_usd", "unpriced_tokens")
 
 

@@ -27,14 +27,27 @@ def log_scan(lines: DataFrame, root: str, salt: str) -> DataFrame:
 
 
 def ordered_lines(lines: DataFrame) -> DataFrame:
-    """Adds line_no within each file and complete; carriage returns and blank lines go.  Rows of one split keep their
-    order, splits are ordered by where they start.  A file's last line is not complete if no line break ends it."""
-    order = Window.partitionBy("file_path").orderBy("block_start", "_at")
-    text = lines.withColumn("_at", F.monotonically_increasing_id())
-    text = text.withColumn("_bytes", F.sum(F.octet_length("value") + 1).over(order))  # with the breaks up to and with the line
-    text = text.withColumn("complete", F.col("_bytes") <= F.col("file_size"))
-    text = text.withColumn("value", F.regexp_replace("value", "\r$", "")).where(F.trim("value") != "")
-    return text.withColumn("line_no", F.row_number().over(order)).drop("_at", "_bytes")
+    """Adds line_no within each file and complete; carriage returns and blank lines go.  A file's last line is not complete if no line
+    break ends it.
+
+    lines come from read_lines.  A split's rows keep their order, so a row's place in its split is told by Spark's own row numbers, and what stands
+    before a split in its file by one row a split: no file is gathered in a task and no text is shuffled, however long a file is."""
+    text = lines.withColumns({"_row": F.monotonically_increasing_id(), "_length": F.octet_length("value") + 1, "value": F.regexp_replace("value", "\r$", "")})
+    some = F.trim("value") != ""
+    splits = text.groupBy("file_path", "block_start").agg(
+        F.count_if(some).alias("_n"), F.sum("_length").alias("_bytes"), F.min("_row").alias("_first"), F.max("_row").alias("_last"), F.max("file_size").alias("_size"))
+    task = F.shiftright("_first", 33)
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    file = Window.partitionBy("file_path")
+    ends_open = F.sum("_bytes").over(file) > F.max("_size").over(file)  # each line counted with a break: one more than there are
+    splits = splits.select(
+        F.col("file_path").alias("_file"), F.col("block_start").alias("_block"),
+        (earlier(file.orderBy("block_start")) + 1 - F.shiftleft(task, 33) - earlier(Window.partitionBy(task).orderBy("_first"))).alias("_shift"),
+        F.when(ends_open & (F.max("block_start").over(file) == F.col("block_start")), F.col("_last")).alias("_open"))
+    found = text.where(some).withColumn("_at", F.monotonically_increasing_id())
+    found = found.join(splits, (F.col("file_path") == F.col("_file")) & (F.col("block_start") == F.col("_block")))
+    found = found.withColumns({"line_no": (F.col("_at") + F.col("_shift")).cast("int"), "complete": ~F.coalesce(F.col("_row") == F.col("_open"), F.lit(False))})
+    return found.drop("_row", "_length", "_at", "_file", "_block", "_shift", "_open")
 
 
 def write_records(df: DataFrame, path: str, sources: DataFrame | None = None) -> Version:
