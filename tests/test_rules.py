@@ -230,3 +230,21 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         staging.shared_dir(Session)
+
+
+def test_ids_and_names_are_json_strings(spark):
+    def one(line):
+        return ingest.parse(spark.createDataFrame([(1, line)], "line_no long, value string")).first()
+
+    head = '{"type":"assistant","message":{"id":%s,"content":[{"type":"tool_use","name":%s}],"usage":{"input_tokens":%s}},"requestId":%s}'
+    for bad in ("123", "true", "null", '{"a":1}', '["m"]', '"has space"', '""', '"-dash"', f'"{"x" * 500}"'):
+        r = one(head % (bad, bad, "1", bad))
+        assert (r.message_id, r.request_id, r.tools, r.kind, r.parse_error) == (None, None, [], "B", False), bad
+    r = one(head % ('"msg_01AbCdEf-2.0:x"', '"Bash"', "7.9", '"r"'))
+    assert (r.message_id, r.request_id, r.tools, r.usage.input) == ("msg_01AbCdEf-2.0:x", "r", ["Bash"], 7)
+    assert one(head % ('"a"', '"Bash"', "-3", '"r"')).usage.input == 0
+    r = one('{"type":"assistant","message":{"id":{"a":1,"a":2},"content":[{"type":"tool_use","name":"Bash","input":{"k":1,"k":2}}]}}')
+    assert (r.message_id, r.tools, r.kind, r.parse_error) == (None, ["Bash"], "T", False)  # repeated keys
+    r = one('{"type":"assistant","message":{"content":"[{\\"type\\":\\"tool_use\\",\\"name\\":\\"Bash\\"}]","model":5}}')
+    assert (r.tools, r.model, r.kind, r.parse_error) == ([], "<unknown>", "H", False)  # a text that looks like blocks
+    assert one('{"type":"assistant","message":{"content":"x"').parse_error and one("[1]").parse_error

@@ -9,44 +9,60 @@ from pyspark.sql import functions as F
 
 from tokenledger.functions.scalars import MESSAGE_ID, MODEL_ID, TOOL_NAME, fingerprint, if_matches, iso_timestamp
 
-USAGE = "struct<input_tokens:bigint,cache_creation_input_tokens:bigint,cache_read_input_tokens:bigint,output_tokens:bigint,cache_creation:struct<ephemeral_1h_input_tokens:bigint,ephemeral_5m_input_tokens:bigint>>"
-LINE = f"type string, requestId string, timestamp string, message struct<id:string,model:string,role:string,content:string,usage:{USAGE}>, _corrupt string"
-BLOCKS = "array<struct<type:string,name:string>>"
+USAGE = "struct<input_tokens:double,cache_creation_input_tokens:double,cache_read_input_tokens:double,output_tokens:double,cache_creation:struct<ephemeral_1h_input_tokens:double,ephemeral_5m_input_tokens:double>>"
+#: Ids and names are read with their JSON types: what is no string there is no id.
+LINE = f"type string, requestId variant, timestamp string, message struct<id:variant,model:variant,role:string,content:string,usage:{USAGE}>, _corrupt string"
+#: The rest of a line, for lines whose id can't be read as a value (an object with repeated keys).
+REST = f"type string, timestamp string, message struct<role:string,content:string,usage:{USAGE}>, _corrupt string"
+BLOCKS = "array<struct<type:string,name:variant>>"
 #: Columns that may leave the parser; anything else is content.
 ALLOWED = ("file_path", "source", "project", "line_no", "kind", "message_id", "request_id", "model", "ts", "tools", "usage", "parse_error")
 
 
-def _blocks(j: Column) -> Column:
-    return F.coalesce(F.from_json(j["message"]["content"], BLOCKS), F.array().cast(BLOCKS))
+def _string(value: Column) -> Column:
+    """A JSON string's text; null for numbers, booleans, objects and arrays."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def _blocks(content: Column) -> Column:
+    """The blocks of a line's content; a content that is a string has none, whatever its text looks like."""
+    read = F.from_json("value", f"message struct<content:{BLOCKS}>")["message"]["content"]
+    return F.coalesce(F.when(content.startswith("["), read), F.array().cast(BLOCKS))
 
 
 def parse(raw: DataFrame) -> DataFrame:
     """raw (source, line_no, value, ...) with kind, message_id, request_id, model, ts, tools, usage and parse_error.
 
+    Ids and names count only as JSON strings.  Counters are numbers, of which the whole part counts.
+
     kind: B billed assistant line, T assistant line with tools but no usage, R tool result, H anything
     else, null for blank and malformed lines.  Only the line's own top-level type counts.  A malformed line whose
     complete is false is a half-written append: no error, and the next scan reads it again."""
     df = raw.withColumn("value", F.regexp_replace("value", "\r$", ""))
-    df = df.withColumn("j", F.from_json("value", LINE, {"columnNameOfCorruptRecord": "_corrupt"}))
+    read = {"columnNameOfCorruptRecord": "_corrupt"}
+    df = df.withColumn("v", F.from_json("value", LINE, read))
+    v, m = F.col("v"), F.col("v")["message"]
+    odd = v["_corrupt"].isNotNull()
+    df = df.withColumn("j", F.when(odd, F.from_json("value", REST, read)).otherwise(F.struct(v["type"].alias("type"), v["timestamp"].alias("timestamp"), F.when(m.isNotNull(), F.struct(m["role"].alias("role"), m["content"].alias("content"), m["usage"].alias("usage"))).alias("message"), v["_corrupt"].alias("_corrupt"))))
     j = F.col("j")
     blank = F.trim("value") == ""
     bad = ~blank & (j["_corrupt"].isNotNull() | j.isNull() | j["type"].isNull())
     error = bad & F.col("complete") if "complete" in raw.columns else bad
-    df = df.withColumn("b", _blocks(j))
+    df = df.withColumn("b", _blocks(j["message"]["content"]))
     assistant = (j["type"] == "assistant") | ((j["type"] == "message") & (j["message"]["role"] == "assistant"))
-    names = F.filter(F.transform(F.filter("b", lambda x: x["type"] == "tool_use"), lambda x: x["name"]), lambda n: n.rlike(TOOL_NAME))
+    names = F.filter(F.transform(F.filter("b", lambda x: x["type"] == "tool_use"), lambda x: _string(x["name"])), lambda n: n.rlike(TOOL_NAME))
     tools = F.when(assistant, F.array_distinct(names)).otherwise(F.array().cast("array<string>"))
     result = (j["type"] == "user") & F.exists("b", lambda x: x["type"] == "tool_result")
     u = j["message"]["usage"]
-    n = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
+    n = lambda c: F.greatest(F.lit(0), F.coalesce(c.cast("bigint"), F.lit(0)))
     usage = F.struct(
         n(u["input_tokens"]).alias("input"), n(u["cache_creation_input_tokens"]).alias("cache_create"),
         n(u["cache_creation"]["ephemeral_1h_input_tokens"]).alias("cache_create_1h"), n(u["cache_creation"]["ephemeral_5m_input_tokens"]).alias("cache_create_5m"),
         n(u["cache_read_input_tokens"]).alias("cache_read"), n(u["output_tokens"]).alias("output"))
     kind = F.when(blank | bad, None).when(assistant & u.isNotNull(), "B").when(assistant & (F.size(tools) > 0), "T").when(result, "R").otherwise("H")
     out = df.withColumns({
-        "kind": kind, "message_id": if_matches(j["message"]["id"], MESSAGE_ID), "request_id": if_matches(j["requestId"], MESSAGE_ID),
-        "model": F.when(assistant, F.coalesce(if_matches(j["message"]["model"], MODEL_ID), F.lit("<unknown>"))),
+        "kind": kind, "message_id": if_matches(_string(m["id"]), MESSAGE_ID), "request_id": if_matches(_string(v["requestId"]), MESSAGE_ID),
+        "model": F.when(assistant, F.coalesce(if_matches(_string(m["model"]), MODEL_ID), F.lit("<unknown>"))),
         "ts": iso_timestamp(j["timestamp"]), "tools": tools, "usage": usage, "parse_error": F.coalesce(error, F.lit(False))})
     return out.select(*[c for c in ALLOWED if c in out.columns])
 

@@ -443,6 +443,24 @@ def message_ids(s, d):
     return parsed(s, d).where("message_id is not null").select("source", "line_no", "message_id", "request_id")
 
 
+@query
+def typed_ids(s, d):
+    """Lines whose ids, models and tool names are numbers, booleans or objects, or whose content only looks like blocks."""
+    e = F.col("event_id")
+    text = e.cast("string")
+    pick = lambda n, *x: F.element_at(F.array(*x), (e % n + 1).cast("int"))
+    said = lambda *x: F.concat(F.lit('"'), *x, F.lit('"'))
+    ids = pick(6, said(F.lit("m"), text), text, F.lit("true"), F.concat(F.lit('{"a":'), text, F.lit("}")), F.lit('{"a":1,"a":2}'), F.lit("null"))
+    models = pick(4, said(F.lit("fx-"), text), text, F.lit("false"), F.lit('["fx"]'))
+    names = pick(5, said(F.lit("Bash")), F.lit("true"), said(F.lit("Read")), F.lit("7"), said(F.lit("no name")))
+    block = F.concat(F.lit('[{"type":"tool_use","name":'), names, F.lit(',"input":{"k":1,"k":2}}]'))
+    content = F.when(e % 7 == 0, said(F.replace(block, F.lit('"'), F.lit('\\"')))).otherwise(block)
+    value = F.concat(F.lit('{"type":"assistant","message":{"id":'), ids, F.lit(',"model":'), models, F.lit(',"content":'), content, F.lit(',"usage":{"input_tokens":'), text, F.lit('.5}}}'))
+    lines = s.read.parquet(f"{d}/events.parquet").select(e.alias("line_no"), value.alias("value"))
+    p = ingest.parse(lines)
+    return p.select("line_no", "kind", "message_id", "model", F.array_join("tools", ",").alias("tools"), p.usage.input.alias("input"), "parse_error")
+
+
 @query
 def redacted_lines(s, d):
     p = parsed(s, d)
