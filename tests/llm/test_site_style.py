@@ -40,6 +40,21 @@ def test_words_that_say_more_and_headings_stay():
     assert ss.main_text(page) == "T\nTitle\n12\na b\nH"
 
 
+def test_unclosed_and_raw_elements():
+    assert ss.main_text("<article><p>one</p><canvas><p>two</p></article>") == "one\ntwo"
+    assert ss.main_text("<article><select><option>a<p>text</p></article><p>out") == "text"
+    assert ss.main_text("<article><p>one <select><option>a</select> two <svg><title>t</title><path d='x'/></svg>three</p></article>") == "one two three"
+    assert ss.main_text("<article>a <math><mi>x</mi><mo>=</mo><mn>1</mn></math> b</article>") == "a x=1 b"
+    assert ss.main_text("<article><p>one</p><svg><g></article><article><p>two</p></article>") == "one\ntwo"
+    assert ss.main_text("<article><p>one<script>if (a < b) { '</p>' }</script> two</p><style>p{}</article>") == "one two"
+
+
+def test_menus_of_dishes_and_words_in_a_line():
+    dishes = "<article><p>We serve</p><ul class='menu'><li>soup</li><li>fish</li></ul><ul class='menu'><li><a href='/x'>home</a></li></ul></article>"
+    assert ss.main_text(dishes) == "We serve\nsoup\nfish"
+    assert ss.main_text("<article><p>one <span class='share'>two</span> <span class='ad'>buy</span> three</p></article>") == "one two three"
+
+
 def test_style_tree_removes_template_branches(spark):
     page = lambda i: f"<body><div class='top'>Welcome to our site</div><div class='txt'><p>story {i} of the day</p></div></body>"
     rows = [(i, f"http://host.com/{i}", page(i)) for i in range(12)] + [(50, "http://one.com/", page(50)), (51, None, page(51)), (52, "http://host.com/x", None), (3, "http://host.com/3", page(3))]
@@ -158,7 +173,8 @@ def test_tree_equals_brute_force(spark):
         assert compared >= 5 and changed >= 3
 
 
-def test_the_tree_changes_given_pages(spark):
+def test_the_tree_alone_and_the_marks_agree_on_given_pages(spark):
+    """No given page's text changes by the tree, as all that it removes there is marked as well."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html").cache()
     marks = {r.page_id: ss.main_text(r.html) for r in pages.collect()}
     whole = {r.page_id: "\n".join(ss.Dom(r.html).text) for r in pages.collect()}

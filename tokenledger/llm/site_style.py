@@ -13,7 +13,7 @@ shows.  A branch all of whose elements have an importance below ``low`` leaves t
 ties: below ``high``, branches that they mark, or that lie outside the article a page marks (article, main, role=main), go as well.
 
 A clean-up of what the contract names follows, as it may be unique to each page: marked elements (class words that say nothing
-else than menu, advert, comments and the like) and, on pages with a marked article, what lies outside it.  Words that say more, such as
+else than menu, advert, comments and the like; a list in an article that is called a menu, only if it has links) and, on pages with a marked article, what lies outside it.  Words that say more, such as
 share-price or article-header, never remove by themselves, and nothing on a heading does.  Inside the marked article, paragraphs, headings,
 lists, quotes and tables without a class of their own are the content asked for, however often a site repeats them.
 
@@ -21,7 +21,8 @@ Statistics are sums over (node, text) and (node, sequence), made in each task be
 pages is no hot key.  The nodes seen on ``least_pages`` pages or more are broadcast if they number ``most_nodes`` at most, else
 joined.  Parsed pages are staged; html is never shuffled.  Null html, and an empty table, give empty texts and no rows; a page without a host or
 whose nodes were seen on too few pages is judged by the marks; where the tree would leave nothing of a page, the marks alone
-judge it; repeated rows are pages of their own; pages may be of any length and depth; columns but page_id, url and html are ignored, whatever their names.
+judge it; a branch at ``low`` or ``high``
+exactly stays; an element without an end tag ends with its parent; repeated rows are pages of their own; pages may be of any length and depth; columns but page_id, url and html are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,34 +41,46 @@ from tokenledger.llm.common import stage, table
 from tokenledger.llm.pieces import blocks as cut
 from tokenledger.llm.url_filter import with_host_and_path
 
-RAW = "script|style|noscript|template|textarea|title|svg|iframe|object|select|canvas|math|xmp"
+#: Elements whose content is text up to their end tag, or the end of the page.
+RAW = "script|style|textarea|title|iframe|xmp"
+#: Elements that go whole where they are closed and hold no block; else they are elements like others, which end with their parent.
+SOFT = "svg|select|noscript|template"
+BLOCK = "p|div|article|main|section|body|html|ul|ol|li|dl|table|h[1-6]|form|footer|header|aside|nav|pre|blockquote|figure"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<soft>{SOFT})(?=[\s/>])[^>]*>(?:(?!</?(?:{BLOCK})[\s/>]|<(?P=soft)[\s/>]).)*?</(?P=soft)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-z][^>]*>|<[!?/][^>]*>",
     re.S | re.I,
 )
 ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img object canvas "
+                   "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation".split())
 NOISE_TAGS = frozenset("head nav header footer aside form script style noscript template iframe button select textarea dialog menu svg object input".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notices gdpr nav navbar navigation "
     "menu menus breadcrumb breadcrumbs sidebar header footer masthead comment comments disqus reply replies respond share sharing social related newsletter "
     "subscribe signup login search popup modal overlay copyright contentinfo complementary alert dialog toolbar widget pagination pager".split()
 )
+#: Words that alone take an element out of a line of text.
+AD_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion".split())
+#: A list in an article that only these words mark is a menu if it has links.
+MENU_WORDS, LISTS = frozenset(("menu", "menus")), frozenset(("ul", "ol", "dl", "table"))
 #: Words that say nothing about what an element holds.
 PLACES = frozenset("site page top bottom left right main list bar box block slot area section links buttons button icons wrapper wrap container inner outer row col unit form thread item".split())
 MAIN, HEADINGS = frozenset(("article", "main")), frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements whose text is content wherever the main part of a page holds them.
 FLOW = frozenset("article main p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th caption figure figcaption section body html".split())
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
+#: Opened blocks end these.
+OPEN_FORMS = ("option", "optgroup", "select")
 P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 SPACES = re.compile(r"[\x20\x09-\x0D\xa0\s]+")
 GAMMA, LOW, HIGH, LEAST_PAGES, MOST_NODES = 0.9, 0.5, 0.9, 5, 1_000_000
 #: Marks of an element: by a word or tag that says noise, by one that may, main content, a flow element without a class.
-STRONG, WEAK, IS_MAIN, BARE_FLOW = 1, 2, 4, 8
+STRONG, WEAK, IS_MAIN, BARE_FLOW, IS_AD, MENU = 1, 2, 4, 8, 16, 32
 DOM = "row long, page_id long, url string, sited boolean, node array<long>, parent array<int>, mark array<int>, at array<int>, text array<string>"
 
 
@@ -85,6 +98,8 @@ def judged(tag: str, attrs: str, in_main: bool) -> tuple[str, int]:
                 words = {w for w in re.split(r"[^a-z]+", t) if w}
                 if not words.isdisjoint(NOISE_WORDS):
                     mark |= STRONG if words <= NOISE_WORDS | PLACES else WEAK
+                    mark |= IS_AD * (not words.isdisjoint(AD_WORDS))
+                    mark |= MENU * (in_main and tag in LISTS and words - PLACES <= MENU_WORDS)
     if not names:
         return tag, mark | BARE_FLOW * (tag in FLOW)
     return f"{tag}.{'.'.join(re.sub('[0-9]+', '#', n) for n in sorted(set(names)))}", mark
@@ -98,6 +113,7 @@ class Dom:
         stack, open_main = [("", 0)], 0
         opened: dict[str, int] = {}  # elements of a tag on the stack, so that an end tag without one costs nothing
         words: list[str] = []
+        menus = 0  # lists that may be menus, open or without a link
         muted, depth = "", 0  # a marked element within a line: its text goes, the line stays whole
 
         def flush():
@@ -120,10 +136,14 @@ class Dom:
                 continue
             tag = tag.lower()
             if tag in INLINE:
+                if tag == "a" and menus and "href" in m["attrs"]:
+                    for _, i in stack:
+                        self.mark[i] &= ~MENU
+                    menus = 0
                 if muted:
                     depth += 0 if tag != muted else -1 if m["end"] else 1
                     muted = muted if depth > 0 else ""
-                elif not m["end"] and tag not in VOID and ("=" in m["attrs"]) and judged(tag, m["attrs"], False)[1] & STRONG:
+                elif not m["end"] and tag not in VOID and ("=" in m["attrs"]) and judged(tag, m["attrs"], False)[1] & (STRONG | IS_AD) == STRONG | IS_AD:
                     muted, depth = tag, 1
                 continue
             muted = ""
@@ -139,6 +159,8 @@ class Dom:
                         break
                 continue
             closes = CLOSES.get(tag) or (("p",) if tag in P_ENDERS else ())
+            if tag in P_ENDERS or tag == "p":
+                closes += OPEN_FORMS
             while len(stack) > 1 and stack[-1][0] in closes:
                 gone, i = stack.pop()
                 opened[gone] -= 1
@@ -150,10 +172,12 @@ class Dom:
             self.node.append(xxhash.xxh3_64_intdigest(label, seed=self.node[above]))
             self.parent.append(above)
             self.mark.append(mark)
+            menus += mark & MENU > 0
             opened[tag] = opened.get(tag, 0) + 1
         if not muted:
             words.append(page[at:])
         flush()
+        self.mark = [m & ~STRONG if m & MENU else m for m in self.mark]  # a list of dishes, say
 
 
 def kept(parent: list[int], mark: list[int], at: list[int], tree=None, low: float = LOW, high: float = HIGH, clean: bool = True) -> tuple[list[bool], int]:
