@@ -13,8 +13,10 @@ Equal strings have equal samples at equal places, so
    strings seen in two of them are removed from runs that are not removed already.
 
 Both steps are counts by name, so a name that a third of all rows hold is summed before it meets; sorting
-and spilling are those of Spark's shuffles.  Matches never cross documents.  Equal means that two 64-bit names (polynomials over the bytes
-with random byte values) are equal, that of the string or run and that of the sample in it, 128 bits in all.
+and spilling are those of Spark's shuffles.  Matches never cross documents.  Equal means that two names are equal, that of the string or run and
+that of the sample in it.  A name has 64 bits, a polynomial over mixed 8-byte words of the bytes, so that no pattern in a text makes terms cancel.
+Strings with different samples are so told apart by 128 bits; those that share a sample, and with it its bytes, by 64, but only
+these meet, so the odds of an error grow with the square of the strings of one sample, not of the corpus.
 
 A null text is empty; an empty table gives no rows; texts may be of any length, and are read in blocks of whole texts.  A document is a
 (doc_id, text); repeated rows are copies of one another, rows without doc_id are documents like others.  There are no ties: every
@@ -35,9 +37,9 @@ from tokenledger.llm.common import narrowed, stage, table
 from tokenledger.llm.minhash import mix
 
 LENGTH, CORE, BLOCK = 400, 250, 1 << 20
-_RNG = np.random.default_rng(23)
-_VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(int(_RNG.integers(1, 2**61)) * 8 + 5)
+#: Bytes that are mixed into one term of a name.
+WORD = 8
+_BASE = np.uint64(int(np.random.default_rng(23).integers(1, 2**61)) * 8 + 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -55,23 +57,29 @@ class Names:
                 cls.powers = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)])
                 cls.back = np.cumprod(np.r_[np.uint64(1), np.full(n, _INVERSE)])
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, word: int = WORD):
+        """Of strings of ``word`` bytes or more."""
+        self.word, n = word, max(0, len(data) - word + 1)
         self.grow(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_VALUES[data] * self.powers[: len(data)], out=self.sums[1:])
+        words = np.zeros(n, np.uint64)
+        for j in range(word if n else 0):
+            words |= data[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mix(words) * self.powers[:n], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stop] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64))
+        return mix((self.sums[stop - self.word + 1] - self.sums[start]) * self.back[start] + (stop - start).astype(np.uint64))
 
     def all_of(self, n: int) -> np.ndarray:
         """Names of the n bytes from each place on."""
-        k = len(self.sums) - n
-        return mix((self.sums[n:] - self.sums[:-n]) * self.back[:k] + np.uint64(n))
+        m = n - self.word + 1
+        k = len(self.sums) - m
+        return mix((self.sums[m:] - self.sums[:-m]) * self.back[:k] + np.uint64(n))
 
 
 def runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int, core: int):
     """(names, document number, first place, strings, sample name, run name) of each run in a block of documents."""
-    names = Names(data)
+    names = Names(data, min(WORD, core))
     if len(data) < length:
         return names, *(np.empty(0, np.int64),) * 3, *(np.empty(0, np.uint64),) * 2
     low = (names.all_of(core) & ~_PLACE) | (np.arange(len(data) - core + 1, dtype=np.uint64) & _PLACE)
@@ -155,7 +163,7 @@ def _strings(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(len(b)):
-                names = Names(np.frombuffer((b["text"][i].as_py() or "").encode(), np.uint8))
+                names = Names(np.frombuffer((b["text"][i].as_py() or "").encode(), np.uint8), min(WORD, length))
                 flat = b["runs"][i].values.flatten()
                 start, n = flat[0].to_numpy().astype(np.int64), flat[1].to_numpy().astype(np.int64)
                 at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
