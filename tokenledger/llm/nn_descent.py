@@ -14,17 +14,18 @@ up their sizes, those too far apart add nothing, and only the others are compare
 Recall is audited by brute force over the vectors whose id is divisible by ``audit``, copies of others included, in blocks, as counts:
 each has its own, and both their mean and the mean over components must reach ``recall``, so that a crowd
 can't outvote the pairs elsewhere.  If none of them has a link, nodes for which links were found are audited instead.  Below ``recall`` all lists
-are doubled, new buckets drawn, and the descent goes on; links the audit saw are kept.  The figure is returned by ``near_vectors_and_recall``, nan
+are doubled, new buckets drawn, and the descent goes on; links the audit saw are kept.  The figure is logged and returned by ``near_vectors_and_recall``, and stands in the query's column recall, nan
 where neither the graph nor the audit knows a link; under ``FLOOR``, with lists as long as there are nodes, it is an error.
 
-Null vectors, zero vectors and vectors with null or non-finite parts link with nothing, as do vectors of a length other
-than the first one's by count (ties: the shorter).  Repeated rows of one vec_id are one vector (the smallest); null ids are left out of the result; extra columns, labels
+Null vectors, zero vectors and vectors with null or non-finite parts link with nothing; vectors of different lengths have no cosine, so each
+length is searched by itself, one after the other.  Repeated rows of one vec_id are one vector (the smallest); null ids are left out of the result; extra columns, labels
 among them, play no part, whatever their names; an empty table gives no rows.  Cosines are computed in double precision, and those within rounding of the
 threshold once more by an exact sum, so that every step says the same of a pair.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -37,6 +38,7 @@ from tokenledger.llm.common import partitions, stage, table, unstage
 from tokenledger.llm.components import components
 
 THRESHOLD, K, WIDE, TABLES, BUCKET, ROUNDS, BLOCK, AUDIT, RECALL, FLOOR = 0.9, 10, 20, 10, 256, 4, 256, 50, 0.98, 0.9
+LOG = logging.getLogger(__name__)
 #: One in so many list entries may change in a last round.
 CALM = 0.01
 
@@ -50,8 +52,6 @@ def nodes_of(vectors: DataFrame, audit: int = AUDIT) -> DataFrame:
     usable = vectors.where("vec_id is not null and embedding is not null").where(F.size("embedding") > 0)
     usable = usable.where(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
     one = usable.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    sizes = one.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
-    one = one.join(F.broadcast(sizes.select("d")), F.size("embedding") == F.col("d"), "left_semi")
     return one.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.bool_or(F.col("vec_id") % audit == 0).alias("asked")).select("id", F.col("embedding").alias("vec"), "copies", "asked")
 
 
@@ -296,42 +296,51 @@ def audited(nodes: DataFrame, labels: DataFrame, asked: DataFrame, threshold: fl
     return float("nan") if means[0] is None else min(means), missing
 
 
+def _linked(nodes: DataFrame, n: int, dim: int, threshold: float, k: int, recall: float) -> tuple[DataFrame, DataFrame, float]:
+    """(labels, link counts, audited recall) of n staged nodes of dim parts each."""
+    graph = stage(first_graph(nodes, n, dim, k, threshold), "graph")
+    seed = 3
+    while True:
+        graph = descend(nodes, graph, k, n, threshold)
+        wide = stage(saturated(graph, k, threshold).withColumn("size", F.lit(WIDE * k // K)), "wide")
+        if not wide.isEmpty():
+            graph = descend(nodes, graph, k, n, threshold, 1, wide)
+        links = graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        labels = components(links)
+        more = bridges(nodes, stage(saturated(graph, k, threshold, wide), "full"), labels, threshold)
+        if more is not None and not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+        seen, missing = audited(nodes, labels, nodes.where("asked").select("id"), threshold)
+        if seen != seen:  # no asked node has a link: ask some for which there are
+            some = links.select(F.col("a").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(2048)
+            seen, missing = audited(nodes, labels, stage(some, "asked"), threshold)
+        if seen != seen or seen >= recall or k >= n:
+            if missing is not None and not missing.isEmpty():
+                labels = components(links.unionByName(missing))
+            LOG.info("vectors of %d parts: %d nodes, audited recall %.4f with lists of %d", dim, n, seen, k)
+            if seen < FLOOR:
+                raise RuntimeError(f"the audit finds a recall of {seen:.3f}")
+            return labels, _link_counts(nodes, labels, threshold), seen
+        k, seed = 2 * k, seed + 1
+        graph = stage(best_lists(graph.unionByName(first_graph(nodes, n, dim, k, threshold, seed=seed)), k), "graph")
+
+
 def near_vectors_and_recall(vectors: DataFrame, threshold: float = THRESHOLD, k: int = K, audit: int = AUDIT, recall: float = RECALL) -> tuple[DataFrame, float]:
-    """((vec_id, n_links, component_id, kept) a distinct vec_id, the audited recall)."""
+    """((vec_id, n_links, component_id, kept) a distinct vec_id, the audited recall, of several vector lengths the least)."""
     vectors = vectors.select("vec_id", "embedding")
     nodes = stage(nodes_of(vectors, audit), "nodes")
-    n, seen = nodes.count(), float("nan")
-    if n < 2:
-        labels = nodes.select("id", F.col("id").alias("component"))
-        counts = nodes.select("id", F.lit(0).cast("long").alias("n_links"))
-    else:
-        dim = nodes.select(F.size("vec").alias("d")).first()["d"]
-        graph = stage(first_graph(nodes, n, dim, k, threshold), "graph")
-        seed = 3
-        while True:
-            graph = descend(nodes, graph, k, n, threshold)
-            wide = stage(saturated(graph, k, threshold).withColumn("size", F.lit(WIDE * k // K)), "wide")
-            if not wide.isEmpty():
-                graph = descend(nodes, graph, k, n, threshold, 1, wide)
-            links = graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-            labels = components(links)
-            more = bridges(nodes, stage(saturated(graph, k, threshold, wide), "full"), labels, threshold)
-            if more is not None and not more.isEmpty():
-                links = links.unionByName(more)
-                labels = components(links)
-            seen, missing = audited(nodes, labels, nodes.where("asked").select("id"), threshold)
-            if seen != seen:  # no asked node has a link: ask some for which there are
-                some = links.select(F.col("a").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(2048)
-                seen, missing = audited(nodes, labels, stage(some, "asked"), threshold)
-            if seen != seen or seen >= recall or k >= n:
-                if missing is not None and not missing.isEmpty():
-                    labels = components(links.unionByName(missing))
-                if seen < FLOOR:
-                    raise RuntimeError(f"the audit finds a recall of {seen:.3f}")
-                break
-            k, seed = 2 * k, seed + 1
-            graph = stage(best_lists(graph.unionByName(first_graph(nodes, n, dim, k, threshold, seed=seed)), k), "graph")
-        counts = _link_counts(nodes, labels, threshold)
+    lengths = nodes.groupBy(F.size("vec").alias("d")).count().orderBy("d").collect()  # a row a vector length
+    labels, counts = nodes.limit(0).select("id", F.col("id").alias("component")), nodes.limit(0).select("id", F.lit(0).cast("long").alias("n_links"))
+    found = []
+    for dim, n in lengths:
+        if n < 2:
+            continue
+        own = nodes if len(lengths) == 1 else stage(nodes.where(F.size("vec") == dim), "nodes")
+        label, count, seen = _linked(own, n, dim, threshold, k, recall)
+        labels, counts = (label, count) if not found else (labels.unionByName(label), counts.unionByName(count))
+        found.append(seen)
+    seen = min((x for x in found if x == x), default=float("nan"))
     near = nodes.join(labels, "id", "left").join(counts, "id", "left").select(
         F.col("vec").alias("embedding"), F.coalesce("component", "id").alias("component_id"), (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     one = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
@@ -345,5 +354,7 @@ def near_vectors(vectors: DataFrame, **how) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_vectors(table(spark, sf_dir, "embeddings"))
+    """near_vectors with recall, the audited one, null where neither graph nor audit knows a link."""
+    found, recall = near_vectors_and_recall(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("recall", F.lit(None if math.isnan(recall) else recall).cast("double"))
 
