@@ -7,6 +7,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -279,3 +280,29 @@ def test_secrets_query(spark):
         line = lambda x: ",".join(f"{k}:{s}:{e}" for k, s, e in x)
         want[doc_id] = (doc_id, *(sum(s[0] == k for s in base) for k in ("assign", "access", "hex")), hashlib.sha256(line(base).encode()).hexdigest(), line(spans))
     assert {r.doc_id: tuple(r) for r in credentials.query(spark, SF).collect()} == want
+
+
+# earlier operators
+
+
+def test_names_tell_self_similar_texts_apart():
+    """Polynomials modulo a power of two over the bytes themselves give a Thue-Morse text and its complement one name."""
+    from tokenledger.llm.suffix_dedup import Names
+
+    bits = np.array([bin(i).count("1") & 1 for i in range(1 << 13)], np.uint8)
+    data = np.concatenate([bits + 97, 98 - bits, bits + 97])
+    names, at = Names(data), np.arange(3) << 13
+    a, b, c = names.of(at, at + (1 << 13))
+    assert a == c != b
+    assert (names.all_of(400)[at] == names.of(at, at + 400)).all()
+
+
+def test_vectors_link_within_their_length(spark):
+    from tokenledger.llm import nn_descent
+
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.01, 0.0]), (50, [0.9, 0.0, 0.1]), (6, [0.0, 0.0, 1.0]), (7, [5.0]), (8, [1.0, 0.0, 0.0, 0.0]), (9, [1.0, 0.0, 0.0, 0.0]), (10, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got, recall = nn_descent.near_vectors_and_recall(df)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()} == {
+        1: (1, 1, True), 2: (1, 1, False), 3: (2, 3, True), 4: (2, 3, False), 50: (2, 3, False), 6: (0, 6, True), 7: (0, 7, True), 8: (1, 8, True), 9: (1, 8, False), 10: (0, 10, True)}
+    assert recall == 1.0
