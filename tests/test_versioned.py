@@ -5,11 +5,12 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tests.test_rules import TURN, turn
-from tokenledger.operators import dedup
+from tests.test_rules import TURN, T, turn
+from tokenledger.operators import dedup, ingest, pricing, report
+from tokenledger.plans import fixtures as fx
 from tokenledger.sources import logs
 from tokenledger.sources.versioned import Change, Conflict, VersionedTable
-from tokenledger.streaming.ingest import compact, current, upsert
+from tokenledger.streaming.ingest import CHUNK, ROCKSDB, compact, current, run_once, spend_by_day, states, stream_cohorts, upsert, upsert_with_spend
 
 
 def rec(spark, *rows):
@@ -134,3 +135,77 @@ def test_upsert_of_an_empty_batch(spark, tmp_path):
     path = str(tmp_path / "t")
     upsert(path)(records(spark, (turn(1, source="a"), 1)).where(F.lit(False)), 0)
     assert current(spark, path).count() == 0
+
+
+def batch_days(spark, path):
+    days = report.by_day(pricing.price(current(spark, path), fx.card(spark), fx.alias(spark)))
+    return sorted((r.day, r.requests, round(float(r.usd), 6)) for r in days.collect())
+
+
+def test_running_spend_equals_the_batch_after_each_increment(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = upsert_with_spend(path, lambda rows: pricing.price(rows, fx.card(spark), fx.alias(spark)))
+    day = lambda d: T(2024, 1, d)
+    batches = [
+        [(turn(1, mid="k", source="a", ts=day(1)), 1), (turn(2, mid="t", source="a", origin="tail", ts=day(2)), 1), (turn(3, mid=None, source="b", ts=day(2)), 1)],
+        [(turn(2, mid="t", source="a", ts=day(5), usage=(7, 0, 0, 0, 0, 9)), 2), (turn(3, mid=None, source="b", origin="tail", ts=day(3)), 2)],  # corrected, on another day
+        [(turn(1, mid="k", source="c", ts=day(9)), 3), (turn(1, mid="same", source="c", ts=day(9)), 3)],  # a later file has the last word
+        [(turn(9, mid="new", source="a", ts=None), 4)],  # and now a is the later file again
+        [(turn(8, mid="x", source="b", ts=day(4)), 5)],  # b's tail is gone
+    ]
+    for number, rows in enumerate(batches):
+        for _ in range(2 if number == 1 else 1):  # a batch may run again
+            write(records(spark, *rows), number)
+        assert sorted((r.day, r.requests, round(float(r.usd), 6)) for r in spend_by_day(spark, path).collect()) == batch_days(spark, path), number
+    assert ("2024-01-01", 1, 5.0) in batch_days(spark, path)
+    compact(spark, path)
+    assert sorted((r.day, r.requests, round(float(r.usd), 6)) for r in spend_by_day(spark, path).collect()) == batch_days(spark, path)
+
+
+def test_spend_goes_on_after_a_break_between_its_two_versions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = upsert_with_spend(path, lambda rows: pricing.price(rows, fx.card(spark), fx.alias(spark)))
+    write(records(spark, (turn(1, mid="a", source="a"), 1)), 0)
+    second = records(spark, (turn(2, mid="b", source="a"), 2))
+    upsert(path)(second, 1)  # the run ends here
+    write(second, 1)
+    assert [r.requests for r in spend_by_day(spark, path).collect()] == [2]
+
+
+def test_idle_sessions_leave_the_state(spark, tmp_path):
+    import json
+    import time
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(key)
+    spark.conf.set(key, ROCKSDB)
+    try:
+        said = lambda tool: json.dumps({"type": "assistant", "message": {"id": None, "content": [{"type": "tool_use", "name": tool}] if tool else [], "usage": {"input_tokens": 1}}})
+        out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
+
+        def run(*rows):
+            spark.createDataFrame([(s, "p", n, said(t)) for s, n, t in rows], CHUNK).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+            run_once(stream_cohorts(spark.readStream.schema(CHUNK).json(str(tmp_path / "in")), timedelta(seconds=4)), out, checkpoint, one_batch=True)
+            return {(r.source, r.line_no): r.prior_tools for r in spark.read.parquet(out).collect()}, {r["key"]["source"] for r in states(spark, checkpoint).collect()}
+
+        got, there = run(("a", 1, "Bash"))
+        assert got == {("a", 1): []} and there == {"a"}
+        time.sleep(5)
+        got, there = run(("b", 1, "Read"))
+        assert there == {"b"}  # nothing came from a
+        time.sleep(5)
+        got, there = run(("a", 2, None))
+        assert got[("a", 2)] == [] and there == {"a"}
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_counters_come_from_one_pass(spark, tmp_path):
+    lines = spark.createDataFrame([('{"type":"user"}', True), ("{broken", True), ("{half", False)], "value string, complete boolean")
+    parsed, came, read = ingest.parse_counted(lines)
+    parsed.write.parquet(str(tmp_path / "p"))
+    assert came.get == {"lines": 3, "bytes": 27, "tails": 1} and read.get == {"parsed": 3, "billed": 0, "parse_errors": 1}
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l/a.txt").write_text("x\n")
+    counted = ingest.parse_counted(spark.read.text(str(tmp_path / "l")))[0]
+    assert counted._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

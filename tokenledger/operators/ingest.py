@@ -4,7 +4,7 @@ Only allowlisted fields are parsed, so prompt and output text never reaches a re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tokenledger.functions.scalars import MESSAGE_ID, MODEL_ID, TOOL_NAME, fingerprint, if_matches, iso_timestamp
@@ -78,6 +78,17 @@ def parse_errors(parsed: DataFrame) -> DataFrame:
     return parsed.agg(F.count("*").alias("lines"), F.count_if("parse_error").alias("parse_errors"))
 
 
+def parse_counted(raw: DataFrame) -> tuple[DataFrame, Observation, Observation]:
+    """parse(raw), and what its one pass counts: lines, bytes and half-written tails as they come, then lines parsed, billed and in error.
+
+    The counts are there when an action on the result has ended; nothing is scanned for them.  A task that is run again counts once."""
+    came, read = Observation("raw"), Observation("parsed")
+    tails = F.count_if(~F.col("complete") if "complete" in raw.columns else F.lit(False))
+    one = F.lit(1)
+    counted = raw.observe(came, F.count(one).alias("lines"), F.coalesce(F.sum(F.octet_length("value")), F.lit(0)).alias("bytes"), tails.alias("tails"))
+    return parse(counted).observe(read, F.count(one).alias("parsed"), F.count_if(F.col("kind") == "B").alias("billed"), F.count_if("parse_error").alias("parse_errors")), came, read
+
+
 def fingerprinted(df: DataFrame, salt: str, *columns: str) -> DataFrame:
     return df.withColumns({c: fingerprint(F.col(c).cast("string"), salt) for c in columns})
 

@@ -248,6 +248,10 @@ og AS (SELECT *, CASE WHEN line_no = cut AND NOT goes_on THEN 'tail' ELSE 'live'
 """
 SQL["keep_last_by_mtime"] = with_(SHARED, "SELECT source, line_no, message_id FROM sk QUALIFY message_id IS NULL OR row_number() OVER (PARTITION BY message_id ORDER BY modified DESC, source DESC, line_no DESC) = 1")
 SQL["stream_upsert"] = with_(SHARED, "SELECT source, line_no, origin FROM og QUALIFY message_id IS NULL OR row_number() OVER (PARTITION BY message_id ORDER BY last_turn DESC, source DESC, origin DESC, line_no DESC) = 1")
+WINNERS = "(SELECT * REPLACE (NULL::VARCHAR AS message_id) FROM turns WHERE (source, line_no) IN (SELECT (source, line_no) FROM og QUALIFY message_id IS NULL OR row_number() OVER (PARTITION BY message_id ORDER BY last_turn DESC, source DESC, origin DESC, line_no DESC) = 1))"
+SQL["stream_spend_corrected"] = with_(SHARED + "," + priced(WINNERS)[len(TURNS):], f"SELECT day, count(*) AS requests, {r6('sum(usd)')} AS usd FROM priced GROUP BY day")
+SQL["report_sink"] = with_(priced(), "SELECT 'total' AS section, NULL::VARCHAR AS name, count(*) AS requests, coalesce(sum(total), 0)::BIGINT AS total FROM priced UNION ALL SELECT 'by_model', m, count(*), sum(total)::BIGINT FROM priced GROUP BY m UNION ALL SELECT 'by_day', day, count(*), sum(total)::BIGINT FROM priced GROUP BY day")
+SQL["ingest_counters"] = with_(LINES, "SELECT count(*) AS lines, 0::BIGINT AS tails, count(*) AS parsed, count(*) FILTER (WHERE kind = 'B' AND event_id % 97 <> 0) AS billed, count(*) FILTER (WHERE event_id % 97 = 0) AS parse_errors FROM lines")
 SQL["stream_growing_files"] = SQL["ordered_lines"]
 SQL["replace_sources"] = with_(TURNS, "SELECT source, line_no, model FROM turns WHERE substr(source, 1, 1) <> 'f' AND (substr(source, 1, 1) >= '8' OR line_no > 3)")
 SQL["compare_snapshots"] = "SELECT " + f"{r6('a')} AS left_usd, {r6('b')} AS right_usd, {r6('b - a')} AS delta_usd, round((b - a)::DOUBLE / nullif(a, 0)::DOUBLE, 6) AS delta_pct, true AS pricing_mismatch FROM (" + with_(priced(where="ts < TIMESTAMP '2024-01-08'"), "SELECT coalesce(sum(usd), 0) AS a FROM priced") + "), (" + with_(priced(where=WINDOW), "SELECT coalesce(sum(usd), 0) AS b FROM priced") + ")"

@@ -764,19 +764,23 @@ def stream_growing_files(s, d):
     return ingest.parse(numbered).select("source", "line_no", "kind", "message_id")
 
 
-@query
-def stream_upsert(s, d):
-    """Turns in two increments, the first with a provisional last line a source; the second is run twice, as after a crash."""
-    from tokenledger.streaming.ingest import current, upsert
-
+def two_increments(s, d) -> list[DataFrame]:
+    """Turns as two increments, the first with a provisional last line a source, which the second has settled where the source goes on."""
     t = shared_keys(s, d).drop("modified")
     by_source = Window.partitionBy("source")
     early = F.col("line_no") <= 3
     t = t.withColumns({"goes_on": F.max("line_no").over(by_source) > 3, "cut": F.max(F.when(early, F.col("line_no"))).over(by_source)})
     last = early & (F.col("line_no") == F.col("cut"))
     parts = [t.where(early).withColumn("origin", F.when(last, "tail").otherwise("live")), t.where(~early | (last & F.col("goes_on")))]
-    root = scratch(s, "turns")
-    parts = [x.drop("goes_on", "cut").withColumn("modified", F.max("ts").over(by_source)) for x in parts]
+    return [x.drop("goes_on", "cut").withColumn("modified", F.max("ts").over(by_source)) for x in parts]
+
+
+@query
+def stream_upsert(s, d):
+    """Turns in two increments, the first with a provisional last line a source; the second is run twice, as after a crash."""
+    from tokenledger.streaming.ingest import current, upsert
+
+    parts, root = two_increments(s, d), scratch(s, "turns")
     for x in parts:
         x.write.mode("append").parquet(f"{root}/inbox")
         stream = s.readStream.schema(x.schema).parquet(f"{root}/inbox")
@@ -785,6 +789,39 @@ def stream_upsert(s, d):
     return current(s, f"{root}/table").select("source", "line_no", "origin")
 
 
+@query
+def stream_spend_corrected(s, d):
+    """Spend by day kept up to date by what each increment takes back and brings: provisional lines that change, keys that another source takes over."""
+    from tokenledger.streaming.ingest import spend_by_day, upsert_with_spend
+
+    root = scratch(s, "turns")
+    write = upsert_with_spend(f"{root}/table", lambda rows: pricing.price(rows, fx.card(s), fx.alias(s)))
+    for number, part in enumerate(two_increments(s, d)):
+        write(part, number)
+    write(part, number)  # as after a crash
+    return money(spend_by_day(s, f"{root}/table"))
+
+
+@query
+def report_sink(s, d):
+    """The report's sections as JSON, read again."""
+    root = scratch(s, "report") + "/json"
+    paid = stage(priced(s, d), "paid")
+    logs.write_report({"total": report.total(paid), "by_model": report.by_model(paid), "by_day": report.by_day(paid)}, root)
+    read = lambda section, key: s.read.json(f"{root}/{section}").select(F.lit(section).alias("section"), (F.col(key) if key else F.lit(None).cast("string")).alias("name"), "requests", "total")
+    return read("total", None).unionByName(read("by_model", "model")).unionByName(read("by_day", "day"))
+
+
+@query
+def ingest_counters(s, d):
+    """Counters of one pass over the lines that writes them parsed."""
+    parsed_, came, read = ingest.parse_counted(fx.raw_lines(s, d))
+    parsed_.write.parquet(scratch(s, "parsed") + "/table")
+    counts = {**came.get, **read.get}
+    names = ("lines", "tails", "parsed", "billed", "parse_errors")
+    return s.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
 @query
 def replace_sources(s, d):
     """Records of all sources, then some sources replaced by their later lines and some by nothing; an unfinished write counts for nothing."""

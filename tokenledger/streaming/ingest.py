@@ -6,7 +6,9 @@ Chunks are immutable JSON-lines files of (source, project, line_no, value).  A r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator, Sequence
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tokenledger.functions.scalars import day_key
-from tokenledger.operators.dedup import keep_last
+from tokenledger.operators.dedup import has_key, keep_last
 from tokenledger.operators.ingest import parse
 from tokenledger.sources.staging import stage, unstage
-from tokenledger.sources.versioned import Change, VersionedTable
+from tokenledger.sources.versioned import Change, Version, VersionedTable
 
 CHUNK = "source string, project string, line_no bigint, value string"
 STATE = "cohort array<string>, current array<string>, message string, has_message boolean"
 TURN = "source string, line_no bigint, tools array<string>, prior_tools array<string>"
+#: What a record's price and day hang on, and what tells it apart.
+SPENT = ("source", "load_seq", "message_id", "request_id", "model", "ts", "usage")
+DOLLARS = "decimal(38,12)"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,8 +37,11 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 class Cohorts(StatefulProcessor):
     """Per source: tools of the message before, tools of the open message, and its id."""
 
+    def __init__(self, idle: timedelta | None = None):
+        self.idle = idle
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("cohort", STATE)
+        self.state = handle.getValueState("cohort", STATE, int(self.idle.total_seconds() * 1000) if self.idle else None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         lines = pd.concat(list(rows)).sort_values("line_no")
@@ -55,15 +63,27 @@ class Cohorts(StatefulProcessor):
         pass
 
 
-def stream_cohorts(chunks: DataFrame) -> DataFrame:
-    """(source, line_no, tools, prior_tools) of billed lines; state lives in the state store."""
+def stream_cohorts(chunks: DataFrame, idle: timedelta | None = None) -> DataFrame:
+    """(source, line_no, tools, prior_tools) of billed lines; state lives in the state store.
+
+    idle: a session of which nothing has come for so long leaves the store with the next batch; if it returns, its first message has no tools before it, as
+    after a new prompt.  The time is that of arrival: times in the lines themselves, which may come late or not at all, end no state and lose no line.
+    Run it with one_batch.  Without idle, state stays for good."""
     lines = parse(chunks).where(F.col("kind").isin("B", "T", "H")).select("source", "line_no", "kind", "message_id", "tools")
-    return lines.groupBy("source").transformWithStateInPandas(statefulProcessor=Cohorts(), outputStructType=TURN, outputMode="Append", timeMode="None")
+    return lines.groupBy("source").transformWithStateInPandas(statefulProcessor=Cohorts(idle), outputStructType=TURN, outputMode="Append", timeMode="ProcessingTime" if idle else "None")
+
 
+def states(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The sessions whose state the store holds, with it."""
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "cohort").load()
 
-def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Take what is new and stop; Parquet at out."""
-    df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+def run_once(df: DataFrame, out: str, checkpoint: str, mode: str = "append", one_batch: bool = False) -> None:
+    """Take what is new and stop; Parquet at out.
+
+    one_batch: all of it in one batch.  Streams whose state ends with time need that: they always ask for another batch, so ``availableNow`` never ends."""
+    new = {"once": True} if one_batch else {"availableNow": True}
+    df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", checkpoint).trigger(**new).start().awaitTermination()
 
 
 def upsert(path: str):
@@ -84,12 +104,72 @@ def upsert(path: str):
     return write
 
 
+def _loaded(table: VersionedTable, version: Version) -> DataFrame | None:
+    """All records of a version, each with when its file was last modified then; None before there are any."""
+    settled, tail = table.read("settled", version), table.read("tail", version)
+    if settled is None or tail is None:
+        return None
+    return settled.unionByName(tail).drop("modified").join(table.owners("tail", version).drop("_last"), "source")
+
+
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The records of an upserted table: of each key the last by load order, files ordered by when each was last modified."""
     table = VersionedTable(spark, path)
-    version = table.latest()
-    rows = table.read("settled", version).unionByName(table.read("tail", version)).drop("modified")
-    return keep_last(rows.join(table.owners("tail", version).drop("_last"), "source"))
+    return keep_last(_loaded(table, table.latest()))
+
+
+def changes(spark: SparkSession, path: str, number: int, columns: Sequence[str]) -> DataFrame:
+    """(sign, *columns): what batch number has taken from the current records (-1) and brought to them (1).
+
+    A batch can change its sources' records and, as these files are now modified later, which source has the last word on a key; so only the keys of
+    its sources are looked at, in the versions before and after it.  A row that stays as it is, settled now or not, is no change."""
+    table = VersionedTable(spark, path)
+    before, after = table.around("upsert", number)
+    now = _loaded(table, after)
+    touched = table.owners("tail", after).where(F.col("_last") == after.number).select("source")
+    key = ["message_id", "request_id"]
+    was = _loaded(table, before)
+    own = [x.join(touched, "source", "left_semi") for x in (was, now) if x is not None]
+    keys = stage(functools.reduce(DataFrame.unionByName, [x.where(has_key()).select(key) for x in own]).distinct(), "keys")
+
+    def resolved(rows: DataFrame, owned: DataFrame) -> DataFrame:
+        return keep_last(rows.where(has_key()).join(keys, key, "left_semi")).unionByName(owned.where(~has_key())).select(*columns)
+
+    new = resolved(now, own[-1])
+    if was is None:
+        return new.select(F.lit(1).alias("sign"), *columns)
+    old = resolved(was, own[0])
+    return old.exceptAll(new).select(F.lit(-1).alias("sign"), *columns).unionByName(new.exceptAll(old).select(F.lit(1).alias("sign"), *columns))
+
+
+def upsert_with_spend(path: str, price: Callable[[DataFrame], DataFrame]):
+    """A foreachBatch function like upsert that also keeps running sums by day; ``spend_by_day`` reads them.
+
+    price: from usage records to rows with usd.  What a batch changes is added to the sums with its sign, so a record that is corrected, moves to another day or
+    loses to another source's leaves its old day; a batch that runs again, or broke off between the two versions, counts once."""
+    take = upsert(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        take(batch, number)
+        sums = VersionedTable(spark, f"{path}/spend", owner="day")
+        if sums.latest().batches.get("spend", -1) >= number:
+            return
+        changed = changes(spark, path, number, SPENT)
+        n = F.col("sign").cast("long")
+        rows = price(changed).withColumn("day", day_key(F.col("ts"))).groupBy("day").agg(F.sum(n).alias("requests"), F.sum(F.col("usd") * n).cast(DOLLARS).alias("usd"))
+        sums.commit([Change("spend", rows)], ("spend", number))
+
+    return write
+
+
+def spend_by_day(spark: SparkSession, path: str) -> DataFrame:
+    """(day, requests, usd) of the current records."""
+    return _by_day(VersionedTable(spark, f"{path}/spend", owner="day").read("spend"))
+
+
+def _by_day(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("day").agg(F.sum("requests").alias("requests"), F.sum("usd").cast(DOLLARS).alias("usd")).where("requests <> 0 or usd <> 0")
 
 
 def compact(spark: SparkSession, path: str) -> None:
@@ -97,6 +177,7 @@ def compact(spark: SparkSession, path: str) -> None:
     table = VersionedTable(spark, path)
     table.compact("settled", lambda rows: keep_last(rows, "source"))
     table.compact("tail")
+    VersionedTable(spark, f"{path}/spend", owner="day").compact("spend", _by_day)
 
 
 def daily_spend(priced: DataFrame, lateness: str = "2 days") -> DataFrame:
