@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenledger.functions.scalars import bind, fingerprint, model_key, usd
-from tokenledger.operators import attribution, cohorts, dedup, findings, ingest, lifecycle, pricing, reduce, report, trend
+from tokenledger.operators import attribution, cohorts, cuboid, dedup, findings, ingest, lifecycle, pricing, reduce, report, trend
 from tokenledger.operators.scan import running
 from tokenledger.params import Params
 from tokenledger.plans import fixtures as fx
@@ -822,6 +822,43 @@ def ingest_counters(s, d):
     return s.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
 
 
+def stored_cuboid(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    root = scratch(s, "cuboid")
+    paid = pricing.price(fx.turns(s, d), fx.card(s), fx.alias(s))
+    names = ("cells", "crossing", "turns")
+    for name, df in zip(names, cuboid.build(stage(paid, "paid")), strict=True):
+        (df.write.partitionBy("day") if name == "turns" else df.write).parquet(f"{root}/{name}")
+    cells, crossing, turns = (s.read.parquet(f"{root}/{name}") for name in names)
+    return cells, crossing, turns.withColumn("day", F.col("day").cast("string"))
+
+
+def fifty_windows(s) -> DataFrame:
+    """Windows of 1 to 17 days; some begin or end within a day."""
+    i = F.col("id")
+    hours = lambda n: F.make_interval(hours=n.cast("int"))
+    since = F.lit(datetime(2024, 1, 1, tzinfo=UTC)) + hours(i % 13 * 24 + F.when(i % 3 == 1, 7).otherwise(0))
+    return s.range(50).select(i.alias("w"), since.alias("since"), (since + hours((1 + i % 17) * 24 + F.when(i % 4 == 2, 5).otherwise(0))).alias("until"))
+
+
+@query
+def cuboid_windows(s, d):
+    """Cost by model in fifty windows, each deduplicated by itself, from daily cells and the keys that cross days."""
+    cells = cuboid.windows_of(*stored_cuboid(s, d), fifty_windows(s))
+    return money(cuboid.rolled(cells, "w", "model_key").select("w", F.col("model_key").alias("model"), "requests", "total", "usd", "unpriced_tokens"))
+
+
+@query
+def cost_sketches(s, d):
+    """Whether p50 and p90 of a window's turns, from merged daily sketches, have ranks as near as promised; exact ranks beside."""
+    window = s.createDataFrame([(0, SINCE, UNTIL)], "w bigint, since timestamp, until timestamp")
+    found = cuboid.cost_quantiles(cuboid.rolled(cuboid.windows_of(*stored_cuboid(s, d), window), "w"))
+    turns = pricing.price(dedup.keep_last(dedup.in_window(fx.turns(s, d), SINCE, UNTIL)), fx.card(s), fx.alias(s)).where("priced")
+    usd_ = F.col("usd").cast("double")
+    ranks = turns.crossJoin(F.broadcast(found.select("turns", "p50", "p90"))).agg(F.max("turns").alias("turns"), *[(F.count_if(usd_ < F.col(p)) / F.count("*")).alias(f"{p}_below") for p in ("p50", "p90")], *[(F.count_if(usd_ <= F.col(p)) / F.count("*")).alias(f"{p}_upto") for p in ("p50", "p90")])
+    near = lambda p, q: (F.col(f"{p}_below") <= q + cuboid.RANK_ERROR) & (F.col(f"{p}_upto") >= q - cuboid.RANK_ERROR)
+    return ranks.select("turns", near("p50", 0.5).alias("p50_near"), near("p90", 0.9).alias("p90_near"))
+
+
 @query
 def replace_sources(s, d):
     """Records of all sources, then some sources replaced by their later lines and some by nothing; an unfinished write counts for nothing."""
