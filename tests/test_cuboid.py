@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tests.test_rules import TURN, T, turn
 from tokenledger.operators import cuboid, dedup, pricing, report
 from tokenledger.plans import fixtures as fx
+from tokenledger.sources import logs
 
 MODELS = ["fx-large-1", "fx-medium-1", "fx-small-1", "unpriced-1"]
 
@@ -54,3 +55,20 @@ def test_whole_days_read_no_turns(spark, tmp_path):
     assert "FileScan" not in plan(0, T(2024, 1, 2), T(2024, 1, 5))
     cut = plan(0, T(2024, 1, 2, 5), T(2024, 1, 5))
     assert "FileScan" in cut and "2024-01-02" in cut.split("PartitionFilters")[1][:200]
+
+
+def test_stored_records_are_deduplicated_in_place(spark, tmp_path):
+    rows = spark.createDataFrame(rows_of(random.Random(5)), f"{TURN}, modified bigint")
+    stored = logs.write_clustered(rows, "clustered_records_test", str(tmp_path / "t"), 4)
+    try:
+        window = (T(2024, 1, 3, 4), T(2024, 1, 6))
+        for since, until in (window, (None, None), (None, window[1])):
+            got = dedup.keep_last(logs.clustered_window(stored, since, until))
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Bucketed: true" in plan
+            want = dedup.keep_last(dedup.in_window(rows, since, until))
+            text = lambda df: Counter(str(tuple(r)) for r in df.select(rows.columns).collect())
+            assert text(got) == text(want)
+        assert "day" in dedup.keep_last(logs.clustered_window(stored, *window))._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
+    finally:
+        spark.sql("drop table clustered_records_test")

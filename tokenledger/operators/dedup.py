@@ -29,11 +29,24 @@ def load_order(df: DataFrame) -> list[Column]:
     return [first, *([F.col("modified")] if "modified" in df.columns else []), F.col("source"), F.col("origin") == "tail", F.col("load_seq")]
 
 
+#: Of stored records: their key as one value, by which they are clustered; those without a key have values of their own.
+STORED_KEY = "dedup_key"
+
+
+def stored_key() -> Column:
+    ids = F.concat(F.lit("k"), F.length("message_id").cast("string"), F.lit(":"), F.col("message_id"), F.col("request_id"))
+    return F.when(has_key(), ids).otherwise(F.concat(F.lit("r"), F.coalesce("source", F.lit("")), F.lit(":"), F.coalesce(F.col("load_seq").cast("string"), F.lit(""))))
+
+
 def keep_last(df: DataFrame, *within: str) -> DataFrame:
     """The last row by load order for each (message_id, request_id), and every row that lacks an id.
 
     Rows without ids need no comparison, so they take no part in the shuffle and cannot pile up on a null key.
+    Records that are stored by STORED_KEY (``logs.write_clustered``) are in place already and not shuffled at all.
     """
+    if STORED_KEY in df.columns:
+        last = Window.partitionBy(STORED_KEY, *within).orderBy(*[c.desc() for c in load_order(df)])
+        return df.withColumn("_k", F.row_number().over(last)).where((F.col("_k") == 1) | ~has_key()).drop("_k", STORED_KEY)
     last = Window.partitionBy("message_id", "request_id", *within).orderBy(*[c.desc() for c in load_order(df)])
     keyed = df.where(has_key()).withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
     return keyed.unionByName(df.where(~has_key()))

@@ -255,6 +255,7 @@ SQL["ingest_counters"] = with_(LINES, "SELECT count(*) AS lines, 0::BIGINT AS ta
 FIFTY = "win AS (SELECT w, TIMESTAMP '2024-01-01' + to_hours(w % 13 * 24 + CASE WHEN w % 3 = 1 THEN 7 ELSE 0 END) AS lo, TIMESTAMP '2024-01-01' + to_hours(w % 13 * 24 + CASE WHEN w % 3 = 1 THEN 7 ELSE 0 END + (1 + w % 17) * 24 + CASE WHEN w % 4 = 2 THEN 5 ELSE 0 END) AS hi FROM range(50) t(w)),"
 SQL["cuboid_windows"] = with_(FIFTY + priced("(SELECT turns.*, w FROM turns JOIN win ON ts >= lo AND ts < hi)", within=", w"), f"SELECT w, m AS model, count(*) AS requests, sum(total)::BIGINT AS total, {r6('sum(usd)')} AS usd, coalesce(sum(total) FILTER (WHERE NOT priced), 0)::BIGINT AS unpriced_tokens FROM priced GROUP BY w, m")
 SQL["cost_sketches"] = with_(priced(where=WINDOW), "SELECT count(*) AS turns, true AS p50_near, true AS p90_near FROM priced WHERE priced")
+SQL["clustered_window"] = SQL["window_filter"]
 SQL["stream_growing_files"] = SQL["ordered_lines"]
 SQL["replace_sources"] = with_(TURNS, "SELECT source, line_no, model FROM turns WHERE substr(source, 1, 1) <> 'f' AND (substr(source, 1, 1) >= '8' OR line_no > 3)")
 SQL["compare_snapshots"] = "SELECT " + f"{r6('a')} AS left_usd, {r6('b')} AS right_usd, {r6('b - a')} AS delta_usd, round((b - a)::DOUBLE / nullif(a, 0)::DOUBLE, 6) AS delta_pct, true AS pricing_mismatch FROM (" + with_(priced(where="ts < TIMESTAMP '2024-01-08'"), "SELECT coalesce(sum(usd), 0) AS a FROM priced") + "), (" + with_(priced(where=WINDOW), "SELECT coalesce(sum(usd), 0) AS b FROM priced") + ")"

@@ -110,6 +110,15 @@ def keep_last_by_mtime(s, d):
     return dedup.keep_last(shared_keys(s, d)).select("source", "line_no", "message_id")
 
 
+@query
+def clustered_window(s, d):
+    """A window over records stored in buckets of their key within days; they are neither all read nor shuffled."""
+    import uuid
+
+    stored = logs.write_clustered(fx.turns(s, d), f"usage_records_{uuid.uuid4().hex}", scratch(s, "records") + "/table", 8)
+    return dedup.keep_last(logs.clustered_window(stored, SINCE, UNTIL)).select("source", "line_no")
+
+
 @query
 def dedup_diagnostics(s, d):
     return dedup.diagnostics(fx.turns(s, d))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,6 +65,32 @@ def read_records(spark: SparkSession, path: str) -> DataFrame | None:
     return VersionedTable(spark, path).read("records")
 
 
+def write_clustered(df: DataFrame, table: str, path: str, buckets: int = 64) -> DataFrame:
+    """Usage records as a table in buckets of their key within days, so that a window reads its days only and keep_last over it shuffles
+    nothing.  One task writes a bucket; rows without a key spread over all.  buckets: a few hundred MB of a day each."""
+    from tokenledger.functions.scalars import day_key
+    from tokenledger.operators.dedup import STORED_KEY, stored_key
+
+    rows = df.withColumns({STORED_KEY: stored_key(), "day": day_key(F.col("ts"))}).repartition(buckets, STORED_KEY)
+    rows.write.partitionBy("day").bucketBy(buckets, STORED_KEY).option("path", path).mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
+def clustered_window(records: DataFrame, since: datetime | None, until: datetime | None) -> DataFrame:
+    """Stored records of a half-open window; the days outside it are not read."""
+    from tokenledger.functions.scalars import UNKNOWN_DATE
+    from tokenledger.operators.dedup import in_window
+
+    day = F.col("day")
+    if since is not None or until is not None:
+        records = records.where(day != UNKNOWN_DATE)
+    if since is not None:
+        records = records.where(day >= since.astimezone(UTC).strftime("%Y-%m-%d"))
+    if until is not None:
+        records = records.where(day <= until.astimezone(UTC).strftime("%Y-%m-%d"))
+    return in_window(records, since, until)
+
+
 def write_report(sections: dict[str, DataFrame], path: str) -> None:
     """Report sink: one JSON folder a section; aggregates only."""
     for name, df in sections.items():
