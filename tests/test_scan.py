@@ -30,6 +30,12 @@ def test_running_sums_within_keys(spark):
     one = running(df, [], ["at", "k"], sums={"n": F.lit(1)}, keep=["at"])
     assert sorted(r.n for r in one.collect()) == list(range(1, len(rows) + 1))
     assert running(df.limit(0), ["k"], ["at"], sums={"s": "v"}).count() == 0
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a key over many batches of one row
+    try:
+        assert {(r.k, r.at): (r.s, r.h) for r in running(df, ["k"], ["at"], sums={"s": "v"}, xors={"h": "x"}).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
 def lines_of(rng, sessions):

@@ -63,7 +63,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], s
             for i, name in enumerate(names):
                 value = np.asarray(b[f"_{name}"])
                 total = ops[i].accumulate(value)
-                before = np.where(start > 0, total[start - 1], 0)
+                before = np.where(start > 0, total[np.maximum(start - 1, 0)], 0)
                 got = np.where(start >= 0, undo[i](total, before), ops[i](total, carry[i]))
                 out.append(pa.array(got, pa.int64()))
                 carry[i] = got[-1]
