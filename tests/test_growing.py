@@ -23,7 +23,7 @@ def step(r, before):
     after = r.latestOffset()
     parts = r.partitions(before, after)
     rows = [tuple(x.values()) for p in parts for b in r.read(p) for x in b.to_pylist()]
-    return after, [(os.path.basename(p.path), p.start, p.end) for p in parts], [(os.path.basename(x[0]), *x[1:]) for x in rows]
+    return after, [(os.path.basename(x.path), x.start, x.end) for p in parts for x in p.ranges], [(os.path.basename(x[0]), *x[1:]) for x in rows]
 
 
 def test_only_new_bytes_are_read(tmp_path):

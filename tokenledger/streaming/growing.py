@@ -82,7 +82,7 @@ def lines_between(source: pa.NativeFile, start: int, end: int, first: int) -> It
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
     path: str
     generation: int
     start: int
@@ -92,6 +92,13 @@ class Range(InputPartition):
     complete: bool = True
 
 
+@dataclass
+class Pack(InputPartition):
+    """Ranges that one task reads, of range_bytes together or one larger: a task for each of many small files would cost more than reading them."""
+
+    ranges: list[Range]
+
+
 class GrowingReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
         self.root, self.glob = options["path"], options.get("glob", "*.jsonl")
@@ -156,7 +163,7 @@ class GrowingReader(DataSourceStreamReader):
         n, _, name = names[-1].removesuffix(".json").partition("-")
         return {"n": int(n), "id": name}
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def ranges(self, start: dict, end: dict) -> list[Range]:
         before, now, out = self.load(start), self.load(end), []
         for path, (done, size, _, generation) in now.items():
             was = before.get(path)
@@ -168,7 +175,22 @@ class GrowingReader(DataSourceStreamReader):
                 out.append(Range(path, generation, done, size, done, False))
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def partitions(self, start: dict, end: dict) -> list[Pack]:
+        packs: list[Pack] = []
+        room = 0
+        for r in self.ranges(start, end):
+            if room < r.end - r.start or not packs:
+                packs.append(Pack([]))
+                room = self.range_bytes
+            packs[-1].ranges.append(r)
+            room -= r.end - r.start
+        return packs
+
+    def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
+        for r in partition.ranges:
+            yield from self.read_range(r)
+
+    def read_range(self, partition: Range) -> Iterator[pa.RecordBatch]:
         files, _ = opened(self.root)
         names = ["file_path", "generation", "line_no", "value", "complete"]
 
