@@ -481,5 +481,5 @@ def test_link_counts_by_balls(spark):
 def test_whole_module_registers():
     from tokenledger.llm import queries
 
-    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(queries.QUERIES) == 10
+    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))[0].startswith("op1_") and len(queries.QUERIES) == 13
     assert os.path.exists(MODEL)
