@@ -12,7 +12,7 @@ SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 FEW = ["report_by_model", "priced_turns", "report_cube", "keep_last", "prior_tools", "tool_costs", "trend_drivers_project", "findings_ranked", "line_kinds", "ordered_lines", "reduce_text", "collapse_lines", "reduce_lines", "fit_ends", "reduction_ledger", "manifest_diff", "stream_tool_cohorts", "stream_growing_files", "ingest_counters", "report_sink", "run_rate",
        "compare_snapshots", "tail_lines", "ledger_read", "schema_rebuild", "index_stale", "labels_upsert", "mart_top", "mart_changed", "mart_savings", "turn_cost_dist"]
 # Stateful and keyed ones, at a scale where keys repeat.
-KEYED = ["stream_upsert", "keep_last_by_mtime", "replace_sources", "cohort_turns", "typed_ids", "stream_spend_corrected", "cuboid_windows", "cost_sketches"]
+KEYED = ["stream_upsert", "keep_last_by_mtime", "replace_sources", "cohort_turns", "typed_ids", "typed_counters", "stream_spend_corrected", "cuboid_windows", "cost_sketches"]
 
 
 def test_each_query_has_sql():

@@ -242,7 +242,15 @@ def test_ids_and_names_are_json_strings(spark):
         assert (r.message_id, r.request_id, r.tools, r.kind, r.parse_error) == (None, None, [], "B", False), bad
     r = one(head % ('"msg_01AbCdEf-2.0:x"', '"Bash"', "7.9", '"r"'))
     assert (r.message_id, r.request_id, r.tools, r.usage.input) == ("msg_01AbCdEf-2.0:x", "r", ["Bash"], 7)
-    assert one(head % ('"a"', '"Bash"', "-3", '"r"')).usage.input == 0
+    for bad in ("-3", '"5"', "true", "null", "[5]", "{}", "1e400", "1e30"):  # no counters, and no errors
+        r = one(head % ('"a"', '"Bash"', bad, '"r"'))
+        assert (r.usage.input, r.usage.output, r.kind, r.parse_error) == (0, 0, "B", False), bad
+    assert one(head % ('"a"', '"Bash"', "1.5e3", '"r"')).usage.input == 1500
+    for bad in ("5", '"x"', "[]", "true", "null"):
+        r = one('{"type":"assistant","message":{"id":"a","usage":%s}}' % bad)
+        assert (r.usage.input, r.kind, r.parse_error) == (0, "H", False), bad
+    r = one('{"type":"assistant","message":{"usage":{"cache_creation":{"ephemeral_1h_input_tokens":3,"ephemeral_5m_input_tokens":"4"},"cache_creation_input_tokens":9}}}')
+    assert (r.usage.cache_create, r.usage.cache_create_1h, r.usage.cache_create_5m) == (9, 3, 0)
     r = one('{"type":"assistant","message":{"id":{"a":1,"a":2},"content":[{"type":"tool_use","name":"Bash","input":{"k":1,"k":2}}]}}')
     assert (r.message_id, r.tools, r.kind, r.parse_error) == (None, ["Bash"], "T", False)  # repeated keys
     r = one('{"type":"assistant","message":{"content":"[{\\"type\\":\\"tool_use\\",\\"name\\":\\"Bash\\"}]","model":5}}')

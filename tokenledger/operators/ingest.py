@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tokenledger.functions.scalars import MESSAGE_ID, MODEL_ID, TOOL_NAME, fingerprint, if_matches, iso_timestamp
 
 USAGE = "struct<input_tokens:double,cache_creation_input_tokens:double,cache_read_input_tokens:double,output_tokens:double,cache_creation:struct<ephemeral_1h_input_tokens:double,ephemeral_5m_input_tokens:double>>"
-#: Ids and names are read with their JSON types: what is no string there is no id.
-LINE = f"type string, requestId variant, timestamp string, message struct<id:variant,model:variant,role:string,content:string,usage:{USAGE}>, _corrupt string"
-#: The rest of a line, for lines whose id can't be read as a value (an object with repeated keys).
+#: Ids, names and counters are read with their JSON types: what is no string there is no id, what is no number no counter.
+LINE = "type string, requestId variant, timestamp string, message struct<id:variant,model:variant,role:string,content:string,usage:variant>, _corrupt string"
+#: The rest of a line, for lines of which a typed value can't be read (an object with repeated keys).
 REST = f"type string, timestamp string, message struct<role:string,content:string,usage:{USAGE}>, _corrupt string"
 BLOCKS = "array<struct<type:string,name:variant>>"
 #: Columns that may leave the parser; anything else is content.
@@ -24,6 +24,16 @@ def _string(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
+def _number(value: Column, path: str) -> Column:
+    """The JSON number at a path; null for strings, booleans, objects and arrays."""
+    kind = F.schema_of_variant(F.try_variant_get(value, path, "variant"))
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(value, path, "double"))
+
+
+def _is_object(value: Column) -> Column:
+    return F.schema_of_variant(value).startswith("OBJECT")
+
+
 def _blocks(content: Column) -> Column:
     """The blocks of a line's content; a content that is a string has none, whatever its text looks like."""
     read = F.from_json("value", f"message struct<content:{BLOCKS}>")["message"]["content"]
@@ -33,7 +43,8 @@ def _blocks(content: Column) -> Column:
 def parse(raw: DataFrame) -> DataFrame:
     """raw (source, line_no, value, ...) with kind, message_id, request_id, model, ts, tools, usage and parse_error.
 
-    Ids and names count only as JSON strings.  Counters are numbers, of which the whole part counts.
+    Ids and names count only as JSON strings.  Counters are numbers from 0 on that fit a BIGINT, of which the whole part
+    counts; anything else counts as 0.  A usage that is no object is none, and the line is not billed; neither makes a line malformed.
 
     kind: B billed assistant line, T assistant line with tools but no usage, R tool result, H anything
     else, null for blank and malformed lines.  Only the line's own top-level type counts.  A malformed line whose
@@ -43,7 +54,17 @@ def parse(raw: DataFrame) -> DataFrame:
     df = df.withColumn("v", F.from_json("value", LINE, read))
     v, m = F.col("v"), F.col("v")["message"]
     odd = v["_corrupt"].isNotNull()
-    df = df.withColumn("j", F.when(odd, F.from_json("value", REST, read)).otherwise(F.struct(v["type"].alias("type"), v["timestamp"].alias("timestamp"), F.when(m.isNotNull(), F.struct(m["role"].alias("role"), m["content"].alias("content"), m["usage"].alias("usage"))).alias("message"), v["_corrupt"].alias("_corrupt"))))
+    df = df.withColumn("rest", F.when(odd, F.from_json("value", REST, read)))
+    r = F.col("rest")
+
+    def line(of: Column, usage: Column) -> Column:
+        message = F.struct(of["message"]["role"].alias("role"), of["message"]["content"].alias("content"), usage.alias("usage"))
+        return F.struct(of["type"].alias("type"), of["timestamp"].alias("timestamp"), F.when(of["message"].isNotNull(), message).alias("message"), of["_corrupt"].alias("_corrupt"))
+
+    again = F.when(r["message"]["usage"].isNotNull(), F.to_variant_object(r["message"]["usage"]))
+    read_line = F.when(odd, F.when(r.isNotNull(), line(r, again))).otherwise(line(v, m["usage"]))
+    # An array of one: a filter on what follows stays above it, or Catalyst would write the reading of JSON into the filter at each use
+    df = df.select("*", F.explode(F.array(read_line)).alias("j"))
     j = F.col("j")
     blank = F.trim("value") == ""
     bad = ~blank & (j["_corrupt"].isNotNull() | j.isNull() | j["type"].isNull())
@@ -54,12 +75,12 @@ def parse(raw: DataFrame) -> DataFrame:
     tools = F.when(assistant, F.array_distinct(names)).otherwise(F.array().cast("array<string>"))
     result = (j["type"] == "user") & F.exists("b", lambda x: x["type"] == "tool_result")
     u = j["message"]["usage"]
-    n = lambda c: F.greatest(F.lit(0), F.coalesce(c.cast("bigint"), F.lit(0)))
+    n = lambda path: F.greatest(F.lit(0), F.coalesce(_number(u, f"$.{path}").try_cast("bigint"), F.lit(0)))
     usage = F.struct(
-        n(u["input_tokens"]).alias("input"), n(u["cache_creation_input_tokens"]).alias("cache_create"),
-        n(u["cache_creation"]["ephemeral_1h_input_tokens"]).alias("cache_create_1h"), n(u["cache_creation"]["ephemeral_5m_input_tokens"]).alias("cache_create_5m"),
-        n(u["cache_read_input_tokens"]).alias("cache_read"), n(u["output_tokens"]).alias("output"))
-    kind = F.when(blank | bad, None).when(assistant & u.isNotNull(), "B").when(assistant & (F.size(tools) > 0), "T").when(result, "R").otherwise("H")
+        n("input_tokens").alias("input"), n("cache_creation_input_tokens").alias("cache_create"),
+        n("cache_creation.ephemeral_1h_input_tokens").alias("cache_create_1h"), n("cache_creation.ephemeral_5m_input_tokens").alias("cache_create_5m"),
+        n("cache_read_input_tokens").alias("cache_read"), n("output_tokens").alias("output"))
+    kind = F.when(blank | bad, None).when(assistant & _is_object(u), "B").when(assistant & (F.size(tools) > 0), "T").when(result, "R").otherwise("H")
     out = df.withColumns({
         "kind": kind, "message_id": if_matches(_string(m["id"]), MESSAGE_ID), "request_id": if_matches(_string(v["requestId"]), MESSAGE_ID),
         "model": F.when(assistant, F.coalesce(if_matches(_string(m["model"]), MODEL_ID), F.lit("<unknown>"))),

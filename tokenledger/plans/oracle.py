@@ -213,6 +213,7 @@ SQL = {
     "parse_errors": "SELECT count(*) AS lines, count(*) FILTER (WHERE event_id % 97 = 0) AS parse_errors FROM events",
     "tool_names": with_(LINES, "SELECT tool, count(*) AS n FROM (SELECT unnest(tools) AS tool FROM lines WHERE kind IN ('B', 'T') AND event_id % 97 <> 0) GROUP BY tool"),
     "typed_ids": "SELECT event_id AS line_no, 'B' AS kind, CASE WHEN event_id % 6 = 0 THEN 'm' || event_id END AS message_id, CASE WHEN event_id % 4 = 0 THEN 'fx-' || event_id ELSE '<unknown>' END AS model, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'Bash' WHEN event_id % 5 = 2 THEN 'Read' ELSE '' END AS tools, event_id AS input, false AS parse_error FROM events",
+    "typed_counters": "SELECT event_id AS line_no, CASE WHEN event_id % 5 < 3 THEN 'B' ELSE 'H' END AS kind, CASE WHEN event_id % 5 >= 3 THEN 0 WHEN event_id % 6 = 0 THEN event_id WHEN event_id % 6 = 5 THEN event_id * 10 ELSE 0 END AS output, CASE WHEN event_id % 5 < 3 AND event_id % 4 = 0 THEN event_id ELSE 0 END AS cache_create_1h, false AS parse_error FROM events",
     "message_ids": with_(LINES, "SELECT source, line_no, message_id, request_id FROM lines WHERE kind IN ('B', 'T') AND event_id % 97 <> 0 AND message_id IS NOT NULL"),
     "redacted_lines": with_(LINES, "SELECT project, count(*) AS lines, 0 AS leaks FROM lines GROUP BY project"),
     "fingerprints": with_(LINES, "SELECT substr(sha256('fixture-salt:' || source), 1, 12) AS source, count(*) AS n FROM lines GROUP BY ALL"),

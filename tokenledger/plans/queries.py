@@ -471,6 +471,21 @@ def typed_ids(s, d):
     return p.select("line_no", "kind", "message_id", "model", F.array_join("tools", ",").alias("tools"), p.usage.input.alias("input"), "parse_error")
 
 
+@query
+def typed_counters(s, d):
+    """Lines whose counters are fractions, strings, booleans, negative or beyond all measure, or whose usage is no object."""
+    e = F.col("event_id")
+    text = e.cast("string")
+    pick = lambda n, *x: F.element_at(F.array(*x), (e % n + 1).cast("int"))
+    made = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    count = pick(6, made(text, ".75"), made('"', text, '"'), made("-", text), F.lit("1e400"), F.lit("true"), made(text, "e1"))
+    hour = pick(4, text, made('"', text, '"'), F.lit("{}"), F.lit("null"))
+    usage = pick(5, *[made('{"output_tokens":', count, ',"cache_creation":{"ephemeral_1h_input_tokens":', hour, "}}")] * 3, text, F.lit('"none"'))
+    lines = s.read.parquet(f"{d}/events.parquet").select(e.alias("line_no"), made('{"type":"assistant","message":{"usage":', usage, "}}").alias("value"))
+    p = ingest.parse(lines)
+    return p.select("line_no", "kind", p.usage.output.alias("output"), p.usage.cache_create_1h.alias("cache_create_1h"), "parse_error")
+
+
 @query
 def redacted_lines(s, d):
     p = parsed(s, d)
