@@ -513,35 +513,33 @@ def normalize_records(s, d):
 
 def log_files(s, d) -> tuple[DataFrame, str]:
     """The raw lines as one file a session below a project folder, in the shared folder; the files read back."""
-    root = logs.write_sessions(fx.raw_lines(s, d), scratch(s, "sessions"))
-    return logs.read_lines(s, root, "*.txt"), root
+    root = logs.write_sessions(fx.raw_lines(s, d), f"{scratch(s, 'sessions')}/logs")
+    return logs.read_lines(s, root), root
+
+
+#: A session's name from the path of its file.
+SESSION = ("file_path", "([^/]+)[.]jsonl$", 1)
 
 
 @query
 def log_scan(s, d):
     files, root = log_files(s, d)
     scan = logs.log_scan(files, root, P.salt)
-    return scan.select(F.regexp_extract("file_path", "session=([^/]+)", 1).alias("source"), "lines", (F.col("file_size") > F.col("lines")).alias("sized"))
+    return scan.select(F.regexp_extract(*SESSION).alias("source"), "lines", (F.col("file_size") > F.col("lines")).alias("sized"))
 
 
 @query
 def ordered_lines(s, d):
     files, _ = log_files(s, d)
-    got = logs.ordered_lines(files).withColumn("source", F.regexp_extract("file_path", "session=([^/]+)", 1))
+    got = logs.ordered_lines(files).withColumn("source", F.regexp_extract(*SESSION))
     return ingest.parse(got).select("source", F.col("line_no").cast("bigint"), "kind", "message_id")
 
 
 @query
 def tail_lines(s, d):
     """Files whose last line is half written: it is no error, the broken lines before it are."""
-    x = fx.raw_lines(s, d)
-    by_line = F.array_sort(F.collect_list(F.struct("line_no", "value")))
-    session = x.groupBy("project", F.col("source").alias("session")).agg(by_line.alias("ls"))  # bounded by the session
-    last = F.substring(F.element_at("ls", -1)["value"], 1, 30)
-    whole = F.array_join(F.concat(F.transform(F.slice("ls", F.lit(1), F.size("ls") - 1), lambda r: r["value"]), F.array(last)), "\n")
-    root = scratch(s, "logs") + "/table"
-    session.select("project", "session", whole.alias("value")).repartition("session").write.partitionBy("project", "session").option("lineSep", "~").text(root)
-    got = logs.ordered_lines(logs.read_lines(s, root, "*.txt")).withColumn("source", F.regexp_extract("file_path", "session=([^/]+)", 1))
+    root = logs.write_sessions(fx.raw_lines(s, d), f"{scratch(s, 'logs')}/table", half=30)
+    got = logs.ordered_lines(logs.read_lines(s, root)).withColumn("source", F.regexp_extract(*SESSION))
     return ingest.parse(got).groupBy("source").agg(F.count("*").alias("lines"), F.count_if("parse_error").alias("parse_errors"))
 
 
@@ -783,7 +781,7 @@ def stream_growing_files(s, d):
         write_session_files(raw, f"{root}/logs", lines)
         stream = s.readStream.format("growing_logs").option("path", f"{root}/logs").option("state", f"{root}/state").load()
         run_once(stream, f"{root}/lines", f"{root}/checkpoint")
-    got = latest_generation(s.read.parquet(f"{root}/lines")).withColumn("source", F.regexp_extract("file_path", "([^/]+)[.]jsonl$", 1))
+    got = latest_generation(s.read.parquet(f"{root}/lines")).withColumn("source", F.regexp_extract(*SESSION))
     numbered = running(got, ["source"], ["line_no"], sums={"place": F.lit(1)}).drop("line_no").withColumnRenamed("place", "line_no")
     return ingest.parse(numbered).select("source", "line_no", "kind", "message_id")
 

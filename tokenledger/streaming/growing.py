@@ -56,8 +56,10 @@ def last_break(source: pa.NativeFile, start: int, size: int) -> int:
     return start
 
 
-def lines_between(source: pa.NativeFile, start: int, end: int, first: int) -> Iterator[tuple[int, bytes]]:
-    """(position, line) of the lines that begin from start on and before end, which is no farther than a line break; first begins a line."""
+def lines_between(source: pa.NativeFile, start: int, end: int, first: int, size: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(position, line) of the lines that begin from start on and before end, which is no farther than a line break; first begins a line.
+
+    With size, that of the file, nothing behind it is read, and its last line counts even if no line break ends it."""
     at = start
     if start > first:  # the line that reaches into the range belongs to the range before
         at, found = start - 1, False
@@ -70,8 +72,11 @@ def lines_between(source: pa.NativeFile, start: int, end: int, first: int) -> It
     carry, position = b"", at
     while position < end:
         source.seek(position + len(carry))
-        chunk = source.read(max(STEP, len(carry)))
+        step = max(STEP, len(carry))
+        chunk = source.read(step if size is None else min(step, size - position - len(carry)))
         if not chunk:
+            if carry and size is not None:
+                yield position, carry
             return
         *whole, carry = (carry + chunk).split(b"\n")
         for line in whole:
