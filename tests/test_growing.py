@@ -88,3 +88,14 @@ def test_a_stream_over_three_runs(spark, tmp_path):
     assert run() == [(0, "first line")]
     write(tmp_path, "a.jsonl", "ne\nthird")
     assert run() == run() == [(0, "first line"), (11, "second line")]
+
+
+def test_lines_of_many_small_files_are_told_together(tmp_path):
+    for i in range(40):
+        write(tmp_path, f"{i:02}.jsonl", f"{i}\nx\n")
+    r = reader(tmp_path)
+    parts = r.partitions(r.initialOffset(), r.latestOffset())
+    batches = [b for p in parts for b in r.read(p)]
+    assert len(parts) == len(batches) == 1 and batches[0].num_rows == 80
+    r = reader(tmp_path, range_bytes=str(10 << 16))  # opening counts: not all files in one task
+    assert len(r.partitions(r.initialOffset(), r.latestOffset())) == 5

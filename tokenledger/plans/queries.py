@@ -749,26 +749,6 @@ def stream_tool_cohorts(s, d):
         s.conf.set(key, before)
 
 
-def write_session_files(raw: DataFrame, root: str, lines: int | None) -> None:
-    """One file a session with its lines, or with the first ones and half of the next; files are written anew, so a task may run again."""
-
-    def write(key, rows):
-        import pandas as pd
-
-        from tokenledger.streaming.growing import opened
-
-        text = [v.encode() for v in rows.sort_values("line_no")["value"]]
-        half = [] if lines is None else [x[: len(x) // 2] for x in text[lines : lines + 1]]
-        whole = b"".join(x + b"\n" for x in (text if lines is None else text[:lines]))
-        files, at = opened(f"{root}/{key[0]}.jsonl")
-        files.create_dir(at.rpartition("/")[0], recursive=True)
-        with files.open_output_stream(at) as f:
-            f.write(whole + b"".join(half))
-        return pd.DataFrame({"source": [key[0]]})
-
-    raw.select("source", "line_no", "value").groupBy("source").applyInPandas(write, "source string").write.format("noop").mode("overwrite").save()
-
-
 @query
 def stream_growing_files(s, d):
     """Session files that grow between two runs, the first of which ends within a line; only what is new is read."""
@@ -778,7 +758,7 @@ def stream_growing_files(s, d):
     s.dataSource.register(GrowingLogs)
     raw, root = fx.raw_lines(s, d), scratch(s, "growing")
     for lines in (3, None):
-        write_session_files(raw, f"{root}/logs", lines)
+        logs.write_sessions(raw, f"{root}/logs", lines)
         stream = s.readStream.format("growing_logs").option("path", f"{root}/logs").option("state", f"{root}/state").load()
         run_once(stream, f"{root}/lines", f"{root}/checkpoint")
     got = latest_generation(s.read.parquet(f"{root}/lines")).withColumn("source", F.regexp_extract(*SESSION))

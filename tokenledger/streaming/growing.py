@@ -33,8 +33,10 @@ from pyspark.sql.types import StructType
 
 SCHEMA = "file_path string, generation bigint, line_no bigint, value string, complete boolean"
 RANGE_BYTES = 64 << 20
-#: Bytes read at once when looking for a line break, and lines told at once.
-STEP, LINES = 1 << 16, 10_000
+#: Bytes read at once when looking for a line break, and lines and bytes told at once.
+STEP, LINES, TOLD = 1 << 16, 10_000, 16 << 20
+#: What opening a file costs, in bytes read meanwhile.
+OPENING = 1 << 16
 #: A file's state: [bytes read, size, time in nanoseconds, generation].
 State = dict[str, list[int]]
 
@@ -99,7 +101,7 @@ class Range:
 
 @dataclass
 class Pack(InputPartition):
-    """Ranges that one task reads, of range_bytes together or one larger: a task for each of many small files would cost more than reading them."""
+    """Ranges that one task reads, of range_bytes together, counting OPENING for each, or one larger: a task for each of many small files would cost more than reading them."""
 
     ranges: list[Range]
 
@@ -184,39 +186,37 @@ class GrowingReader(DataSourceStreamReader):
         packs: list[Pack] = []
         room = 0
         for r in self.ranges(start, end):
-            if room < r.end - r.start or not packs:
+            cost = r.end - r.start + OPENING
+            if room < cost or not packs:
                 packs.append(Pack([]))
                 room = self.range_bytes
             packs[-1].ranges.append(r)
-            room -= r.end - r.start
+            room -= cost
         return packs
 
     def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
-        for r in partition.ranges:
-            yield from self.read_range(r)
-
-    def read_range(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["file_path", "generation", "line_no", "value", "complete"], [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        rows: list[tuple[str, int, int, str, bool]] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        held = 0
+        for r in partition.ranges:  # lines of many small files are told together
+            for at, line in self.lines_of(r):
+                rows.append((r.path, r.generation, at, line.decode("utf-8", "replace"), r.complete))
+                held += len(line)
+                if len(rows) == LINES or held > TOLD:
+                    yield made()
+                    rows, held = [], 0
+        if rows:
+            yield made()
+
+    def lines_of(self, r: Range) -> Iterator[tuple[int, bytes]]:
         files, _ = opened(self.root)
-        names = ["file_path", "generation", "line_no", "value", "complete"]
-
-        def told(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-            n = len(rows)
-            text = pa.array([v.decode("utf-8", "replace") for _, v in rows], pa.string())
-            return pa.RecordBatch.from_arrays([pa.array([partition.path] * n, pa.string()), pa.array([partition.generation] * n, pa.int64()), pa.array([p for p, _ in rows], pa.int64()), text, pa.array([partition.complete] * n, pa.bool_())], names=names)
-
-        with files.open_input_file(partition.path) as f:
-            if not partition.complete:
-                f.seek(partition.start)
-                yield told([(partition.start, f.read(partition.end - partition.start))])
-                return
-            rows: list[tuple[int, bytes]] = []
-            for at, line in lines_between(f, partition.start, partition.end, partition.first):
-                rows.append((at, line))
-                if len(rows) == LINES:
-                    yield told(rows)
-                    rows = []
-            if rows:
-                yield told(rows)
+        with files.open_input_file(r.path) as f:
+            if r.complete:
+                yield from lines_between(f, r.start, r.end, r.first)
+            else:
+                f.seek(r.start)
+                yield r.start, f.read(r.end - r.start)
 
     def commit(self, end: dict) -> None:
         """States before the committed one are no longer needed."""
