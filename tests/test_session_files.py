@@ -37,3 +37,25 @@ def test_many_small_files_share_a_task(spark, tmp_path):
     scan = {r.file_path.rpartition("/")[2]: r for r in logs.log_scan(lines, root, "salt").collect()}
     assert len(scan) == 301 and scan["top.jsonl"]["lines"] == 3 and scan["s7.jsonl"].file_size == 16
     assert scan["s7.jsonl"].project == scan["s1.jsonl"].project != scan["s2.jsonl"].project
+
+
+def test_cohorts_take_rows():
+    from pyspark.sql import Row
+
+    from tokenledger.streaming.ingest import Cohorts
+
+    class State:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+    machine, line = Cohorts(), lambda n, kind, message, *tools: Row(line_no=n, kind=kind, message_id=message, tools=list(tools))
+    machine.state = State()
+    run = lambda *rows: [tuple(r) for r in machine.handleInputRows(("s",), iter(rows), None)]
+    assert run(line(2, "B", "b", "Read"), line(1, "B", "a", "Bash")) == [("s", 1, ["Bash"], []), ("s", 2, ["Read"], ["Bash"])]
+    assert run(line(3, "B", "b", "Read", "Grep"), line(4, "B", None)) == [("s", 3, ["Read", "Grep"], ["Bash"]), ("s", 4, [], ["Read", "Grep"])]
+    assert run(line(5, "H", None), line(6, "B", "c")) == [("s", 6, [], [])]

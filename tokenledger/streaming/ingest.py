@@ -10,8 +10,7 @@ import functools
 from collections.abc import Callable, Iterator, Sequence
 from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -43,11 +42,11 @@ class Cohorts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("cohort", STATE, int(self.idle.total_seconds() * 1000) if self.idle else None)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        lines = pd.concat(list(rows)).sort_values("line_no")
-        cohort, current, message, open_ = self.state.get() if self.state.exists() else ([], [], None, False)
-        cohort, current, out = list(cohort or []), list(current or []), []
-        for line in lines.itertuples():
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        """Rows, not frames: most sessions bring a few lines, and a frame each would cost far more than they do."""
+        was = self.state.get() or ([], [], None, False)
+        cohort, current, message, open_ = list(was[0] or []), list(was[1] or []), was[2], was[3]
+        for line in sorted(rows, key=lambda r: r.line_no):
             if line.kind == "H":
                 cohort, current, message, open_ = [], [], None, False
             elif line.kind in ("B", "T"):
@@ -55,9 +54,8 @@ class Cohorts(StatefulProcessor):
                     cohort, current, message, open_ = current if open_ else [], [], line.message_id, True
                 current = list(dict.fromkeys([*current, *line.tools]))
                 if line.kind == "B":
-                    out.append((key[0], line.line_no, current, cohort))
+                    yield Row(source=key[0], line_no=line.line_no, tools=current, prior_tools=cohort)
         self.state.update((cohort, current, message, open_))
-        yield pd.DataFrame(out, columns=["source", "line_no", "tools", "prior_tools"])
 
     def close(self) -> None:
         pass
@@ -70,7 +68,7 @@ def stream_cohorts(chunks: DataFrame, idle: timedelta | None = None) -> DataFram
     after a new prompt.  The time is that of arrival: times in the lines themselves, which may come late or not at all, end no state and lose no line.
     Run it with one_batch.  Without idle, state stays for good."""
     lines = parse(chunks).where(F.col("kind").isin("B", "T", "H")).select("source", "line_no", "kind", "message_id", "tools")
-    return lines.groupBy("source").transformWithStateInPandas(statefulProcessor=Cohorts(idle), outputStructType=TURN, outputMode="Append", timeMode="ProcessingTime" if idle else "None")
+    return lines.groupBy("source").transformWithState(statefulProcessor=Cohorts(idle), outputStructType=TURN, outputMode="Append", timeMode="ProcessingTime" if idle else "None")
 
 
 def states(spark: SparkSession, checkpoint: str) -> DataFrame:
