@@ -59,3 +59,15 @@ def test_cohorts_take_rows():
     assert run(line(2, "B", "b", "Read"), line(1, "B", "a", "Bash")) == [("s", 1, ["Bash"], []), ("s", 2, ["Read"], ["Bash"])]
     assert run(line(3, "B", "b", "Read", "Grep"), line(4, "B", None)) == [("s", 3, ["Read", "Grep"], ["Bash"]), ("s", 4, [], ["Read", "Grep"])]
     assert run(line(5, "H", None), line(6, "B", "c")) == [("s", 6, [], [])]
+
+
+def test_words_of_bytes_are_those_of_the_contract():
+    import re
+
+    from tokenledger.llm import minhash
+
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = "".join(map(chr, [*range(0x300), 0x130, 0x212A, 0x2028, 0x3000, 0xFEFF, 0x1F600])) + " Ab\x0bC\x1cD\x85E\xa0F\r\nÄß İ "
+    for t in (text, text[::-1], "", None, " \t\n"):
+        assert [w.decode() for w in minhash.words_of(t)] == re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low))
+    assert minhash.KNOWN <= 200_000  # words a task remembers
