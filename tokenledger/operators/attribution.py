@@ -12,12 +12,16 @@ BY_LINE = lambda *keys: Window.partitionBy(*keys).orderBy("line_no")  # noqa: E7
 
 
 def cohort_segments(lines: DataFrame) -> DataFrame:
-    """B and T lines with seg (ended by each H line) and grp (message groups within it)."""
-    seg = lines.withColumn("seg", F.sum(F.when(F.col("kind") == "H", 1).otherwise(0)).over(BY_LINE("source")))
+    """B and T lines with seg (ended by each H line) and grp (message groups within it).  All from one sort of the source's lines: groups are
+    numbered through the source, and the number of a segment's first is taken off."""
+    by_line = BY_LINE("source")
+    seg = lines.withColumn("seg", F.sum(F.when(F.col("kind") == "H", 1).otherwise(0)).over(by_line))
     bt = seg.where(F.col("kind").isin("B", "T"))
-    before = F.lag("message_id").over(BY_LINE("source", "seg"))
-    new = F.when(F.col("message_id").isNull() | ~before.eqNullSafe(F.col("message_id")), 1).otherwise(0)
-    return bt.withColumn("_new", new).withColumn("grp", F.sum("_new").over(BY_LINE("source", "seg"))).drop("_new")
+    starts = ~F.lag("seg").over(by_line).eqNullSafe(F.col("seg"))
+    new = starts | F.col("message_id").isNull() | ~F.lag("message_id").over(by_line).eqNullSafe(F.col("message_id"))
+    told = bt.withColumns({"_starts": starts, "_new": F.when(new, 1).otherwise(0)}).withColumn("_all", F.sum("_new").over(by_line))
+    first = F.max(F.when(F.col("_starts"), F.col("_all"))).over(by_line)
+    return told.withColumn("grp", F.col("_all") - first + 1).drop("_starts", "_new", "_all")
 
 
 def message_tools(grouped: DataFrame) -> DataFrame:

@@ -41,15 +41,15 @@ def stored_key() -> Column:
 def keep_last(df: DataFrame, *within: str) -> DataFrame:
     """The last row by load order for each (message_id, request_id), and every row that lacks an id.
 
-    Rows without ids need no comparison, so they take no part in the shuffle and cannot pile up on a null key.
+    df is made once.  Rows without ids need no comparison: they are dealt out by where they come from, so they cannot pile up on a null key.
     Records that are stored by STORED_KEY (``logs.write_clustered``) are in place already and not shuffled at all.
     """
     if STORED_KEY in df.columns:
         last = Window.partitionBy(STORED_KEY, *within).orderBy(*[c.desc() for c in load_order(df)])
         return df.withColumn("_k", F.row_number().over(last)).where((F.col("_k") == 1) | ~has_key()).drop("_k", STORED_KEY)
-    last = Window.partitionBy("message_id", "request_id", *within).orderBy(*[c.desc() for c in load_order(df)])
-    keyed = df.where(has_key()).withColumn("_k", F.row_number().over(last)).where("_k = 1").drop("_k")
-    return keyed.unionByName(df.where(~has_key()))
+    dealt = df.withColumn("_dealt", F.when(~has_key(), F.xxhash64("source", "load_seq")))
+    last = Window.partitionBy("message_id", "request_id", "_dealt", *within).orderBy(*[c.desc() for c in load_order(df)])
+    return dealt.withColumn("_k", F.row_number().over(last)).where((F.col("_k") == 1) | ~has_key()).drop("_k", "_dealt")
 
 
 def diagnostics(df: DataFrame) -> DataFrame:
