@@ -827,11 +827,13 @@ def ingest_counters(s, d):
 def stored_cuboid(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     root = scratch(s, "cuboid")
     paid = pricing.price(fx.turns(s, d), fx.card(s), fx.alias(s))
-    names = ("cells", "crossing", "turns")
-    for name, df in zip(names, cuboid.build(stage(paid, "paid")), strict=True):
+
+    def store(name: str, df: DataFrame) -> DataFrame:
         (df.write.partitionBy("day") if name == "turns" else df.write).parquet(f"{root}/{name}")
-    cells, crossing, turns = (s.read.parquet(f"{root}/{name}") for name in names)
-    return cells, crossing, turns.withColumn("day", F.col("day").cast("string"))
+        return s.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    cells, crossing, turns = cuboid.build(paid, store)
+    return store("cells", cells), store("crossing", crossing), turns
 
 
 def fifty_windows(s) -> DataFrame:
@@ -845,7 +847,7 @@ def fifty_windows(s) -> DataFrame:
 @query
 def cuboid_windows(s, d):
     """Cost by model in fifty windows, each deduplicated by itself, from daily cells and the keys that cross days."""
-    cells = cuboid.windows_of(*stored_cuboid(s, d), fifty_windows(s))
+    cells = cuboid.windows_of(*stored_cuboid(s, d), fifty_windows(s), ["model_key"])
     return money(cuboid.rolled(cells, "w", "model_key").select("w", F.col("model_key").alias("model"), "requests", "total", "usd", "unpriced_tokens"))
 
 
@@ -853,7 +855,7 @@ def cuboid_windows(s, d):
 def cost_sketches(s, d):
     """Whether p50 and p90 of a window's turns, from merged daily sketches, have ranks as near as promised; exact ranks beside."""
     window = s.createDataFrame([(0, SINCE, UNTIL)], "w bigint, since timestamp, until timestamp")
-    found = cuboid.cost_quantiles(cuboid.rolled(cuboid.windows_of(*stored_cuboid(s, d), window), "w"))
+    found = cuboid.cost_quantiles(cuboid.rolled(cuboid.windows_of(*stored_cuboid(s, d), window, []), "w"))
     turns = pricing.price(dedup.keep_last(dedup.in_window(fx.turns(s, d), SINCE, UNTIL)), fx.card(s), fx.alias(s)).where("priced")
     usd_ = F.col("usd").cast("double")
     ranks = turns.crossJoin(F.broadcast(found.select("turns", "p50", "p90"))).agg(F.max("turns").alias("turns"), *[(F.count_if(usd_ < F.col(p)) / F.count("*")).alias(f"{p}_below") for p in ("p50", "p90")], *[(F.count_if(usd_ <= F.col(p)) / F.count("*")).alias(f"{p}_upto") for p in ("p50", "p90")])
