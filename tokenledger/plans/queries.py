@@ -99,15 +99,19 @@ def keep_last(s, d):
 
 
 def shared_keys(s, d) -> DataFrame:
-    """Turns whose keys stand in several sources, as those of resumed sessions do, with when their source was last modified."""
+    """Turns whose keys stand in several sources, as those of resumed sessions do."""
     n = (F.col("event_id") % 997).cast("string")
-    t = fx.turns(s, d).withColumns({"message_id": F.when(F.col("message_id").isNotNull(), F.concat(F.lit("x"), n)), "request_id": F.when(F.col("request_id").isNotNull(), F.concat(F.lit("y"), n))})
-    return t.join(fx.lines(s, d).groupBy("source").agg(F.max("ts").alias("modified")), "source")
+    return fx.turns(s, d).withColumns({"message_id": F.when(F.col("message_id").isNotNull(), F.concat(F.lit("x"), n)), "request_id": F.when(F.col("request_id").isNotNull(), F.concat(F.lit("y"), n))})
+
+
+def modified_turns(s, d) -> DataFrame:
+    """Those, with when their source was last modified."""
+    return shared_keys(s, d).join(fx.lines(s, d).groupBy("source").agg(F.max("ts").alias("modified")), "source")
 
 
 @query
 def keep_last_by_mtime(s, d):
-    return dedup.keep_last(shared_keys(s, d)).select("source", "line_no", "message_id")
+    return dedup.keep_last(modified_turns(s, d)).select("source", "line_no", "message_id")
 
 
 @query
@@ -767,14 +771,19 @@ def stream_growing_files(s, d):
 
 
 def two_increments(s, d) -> list[DataFrame]:
-    """Turns as two increments, the first with a provisional last line a source, which the second has settled where the source goes on."""
-    t = shared_keys(s, d).drop("modified")
+    """Turns as two increments, the first with a provisional last line a source, which the second has settled where the source goes on.  Turns are made once."""
+    t = shared_keys(s, d)
     by_source = Window.partitionBy("source")
     early = F.col("line_no") <= 3
     t = t.withColumns({"goes_on": F.max("line_no").over(by_source) > 3, "cut": F.max(F.when(early, F.col("line_no"))).over(by_source)})
     last = early & (F.col("line_no") == F.col("cut"))
-    parts = [t.where(early).withColumn("origin", F.when(last, "tail").otherwise("live")), t.where(~early | (last & F.col("goes_on")))]
-    return [x.drop("goes_on", "cut").withColumn("modified", F.max("ts").over(by_source)) for x in parts]
+    inside = early, ~early | (last & F.col("goes_on"))
+    t = t.withColumns({"first": inside[0], "second": inside[1], "last": last})
+    times = {f"{part}_modified": F.max(F.when(F.col(part), F.col("ts"))).over(by_source) for part in ("first", "second")}
+    held = stage(t.withColumns(times).drop("goes_on", "cut"), "turns")
+    first, second = (held.where(F.col(part)).withColumn("modified", F.col(f"{part}_modified")) for part in ("first", "second"))
+    extra = "first", "second", "last", *times
+    return [first.withColumn("origin", F.when(F.col("last"), "tail").otherwise("live")).drop(*extra), second.drop(*extra)]
 
 
 @query

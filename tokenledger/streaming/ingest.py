@@ -93,10 +93,13 @@ def upsert(path: str):
     nothing, and a batch that runs again changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
+        table = VersionedTable(batch.sparkSession, path)
+        if table.latest().batches.get("upsert", -1) >= number:
+            return
         new = stage(batch, "increment")
         sources = new.groupBy("source").agg(F.max("modified").alias("modified"))
         tail = F.col("origin") == "tail"
-        VersionedTable(batch.sparkSession, path).commit([Change("settled", new.where(~tail)), Change("tail", new.where(tail), sources)], ("upsert", number))
+        table.commit([Change("settled", new.where(~tail)), Change("tail", new.where(tail), sources)], ("upsert", number))
         unstage(new)
 
     return write
@@ -120,24 +123,26 @@ def changes(spark: SparkSession, path: str, number: int, columns: Sequence[str])
     """(sign, *columns): what batch number has taken from the current records (-1) and brought to them (1).
 
     A batch can change its sources' records and, as these files are now modified later, which source has the last word on a key; so only the keys of
-    its sources are looked at, in the versions before and after it.  A row that stays as it is, settled now or not, is no change."""
+    its sources are looked at, in the versions before and after it, and what is the same in both is taken off by counting rows with their sign once.
+    A row that stays as it is, settled now or not, is no change."""
     table = VersionedTable(spark, path)
     before, after = table.around("upsert", number)
     now = _loaded(table, after)
+    was = _loaded(table, before)
+    if was is None:  # all there is came with this batch
+        return keep_last(now).select(F.lit(1).alias("sign"), *columns)
     touched = table.owners("tail", after).where(F.col("_last") == after.number).select("source")
     key = ["message_id", "request_id"]
-    was = _loaded(table, before)
-    own = [x.join(touched, "source", "left_semi") for x in (was, now) if x is not None]
-    keys = stage(functools.reduce(DataFrame.unionByName, [x.where(has_key()).select(key) for x in own]).distinct(), "keys")
+    records = [table.read(layer, version) for layer, version in (("settled", after), ("tail", after), ("tail", before))]  # what was settled before is so after
+    owned = functools.reduce(DataFrame.unionByName, [x.where(has_key()).select("source", *key) for x in records])
+    keys = stage(owned.join(touched, "source", "left_semi").select(key).distinct(), "keys")
 
-    def resolved(rows: DataFrame, owned: DataFrame) -> DataFrame:
-        return keep_last(rows.where(has_key()).join(keys, key, "left_semi")).unionByName(owned.where(~has_key())).select(*columns)
+    def resolved(rows: DataFrame, sign: int) -> DataFrame:
+        keyless = rows.where(~has_key()).join(touched, "source", "left_semi")
+        return keep_last(rows.where(has_key()).join(keys, key, "left_semi")).unionByName(keyless).select(F.lit(sign).alias("sign"), *columns)
 
-    new = resolved(now, own[-1])
-    if was is None:
-        return new.select(F.lit(1).alias("sign"), *columns)
-    old = resolved(was, own[0])
-    return old.exceptAll(new).select(F.lit(-1).alias("sign"), *columns).unionByName(new.exceptAll(old).select(F.lit(1).alias("sign"), *columns))
+    net = resolved(was, -1).unionByName(resolved(now, 1)).groupBy(*columns).agg(F.sum("sign").alias("n")).where("n <> 0")
+    return net.select(F.explode(F.array_repeat(F.signum("n").cast("int"), F.abs("n").cast("int"))).alias("sign"), *columns)
 
 
 def upsert_with_spend(path: str, price: Callable[[DataFrame], DataFrame]):
