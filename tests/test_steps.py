@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.test_cuboid import rows_of
 from tests.test_rules import TURN, T, turn
+from tokenledger.llm import common, minhash
 from tokenledger.operators import attribution, cuboid, dedup, pricing, report
 from tokenledger.plans import fixtures as fx
 from tokenledger.streaming.ingest import spend_by_day, upsert_with_spend
@@ -77,3 +78,28 @@ def test_a_batch_taken_in_is_not_made_again(spark, tmp_path):
     write(batch, 0)
     write(batch.withColumn("source", F.raise_error(F.lit("made again")).cast("string")), 0)
     assert [r.requests for r in spend_by_day(spark, str(tmp_path / "t")).collect()] == [1]
+
+
+def test_near_dedup_hands_texts_over_in_small_batches(spark, monkeypatch, tmp_path):
+    """pipeline, near_dedup: batches of 10,000 whole texts were held by executor and worker."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", str(tmp_path / "seen")
+    plain = minhash.sets
+
+    def counted(docs, full):
+        def run(batches):
+            for b in batches:
+                with open(seen, "a") as f:
+                    f.write(f"{len(b)}\n")
+                yield b
+
+        return plain(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string"), full)
+
+    monkeypatch.setattr(minhash, "sets", counted)
+    before = spark.conf.get(key)
+    docs = spark.range(6000).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of a text "), (F.col("id") % 3000).cast("string")).alias("text"))
+    found = minhash.near_duplicates(docs)
+    assert found.where("kept").count() == 3000
+    with open(seen) as f:
+        sizes = [int(x) for x in f]
+    assert sum(sizes) >= 6000 and max(sizes) <= common.BATCH_ROWS
+    assert spark.conf.get(key) == before
