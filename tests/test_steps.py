@@ -103,3 +103,16 @@ def test_near_dedup_hands_texts_over_in_small_batches(spark, monkeypatch, tmp_pa
         sizes = [int(x) for x in f]
     assert sum(sizes) >= 6000 and max(sizes) <= common.BATCH_ROWS
     assert spark.conf.get(key) == before
+
+
+def test_prefixes_take_one_python_worker_a_task(spark):
+    """pipeline, near_dedup: sets and their prefixes were two Python nodes of one stage, so each task took two workers, which an executor then kept."""
+    draw = random.Random(4)
+    texts = {i: " ".join(draw.choices("abcdef", k=draw.randint(1, 60))) for i in range(40)}
+    whole = {i: minhash.shingles(t).view("int64").tolist() for i, t in texts.items()}
+    often = sorted({s for x in whole.values() for s in x})[::3]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = minhash._prefixes(docs, 85, spark.createDataFrame([(s,) for s in often], "token long"))
+    assert plan_of(found).split("+- == Initial")[0].count("MapInArrow") == 1
+    expected = {(i, len(x), at, s) for i, x in whole.items() for at, s in enumerate(sorted(x, key=lambda s: (s in often, s))[: len(x) - -(-len(x) * 85 // 100) + 1])}
+    assert {tuple(r) for r in found.collect()} == expected
