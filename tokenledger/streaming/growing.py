@@ -3,10 +3,10 @@
     spark.dataSource.register(GrowingLogs)
     lines = spark.readStream.format("growing_logs").option("path", root).option("state", folder).load()
 
-An offset is the number of a state: how far each file was read, up to its last line break, and its size and time then.  States lie as files
-in the folder ``state``, which driver and restarts share, so the offsets in Spark's own log stay small; the driver holds one state, a row a file.
-Planning lists the files and looks, from the end of each that changed, for its last line break; lines are read by tasks, a file in
-ranges of ``range_bytes``.
+An offset is the number of a state: each file's size, time and generation, in the order of their paths.  States lie as files in the folder ``state``, which
+driver, executors and restarts share, so the offsets in Spark's own log stay small.  Planning lists folder by folder and walks the state before beside it, so
+the driver holds what one folder has (and those above it), not all files.  What is new goes to a plan, a file beside the states, of which each partition is a
+line.  Tasks read their line, look from where a file ended for its last line break, and read its lines, a file in ranges of ``range_bytes``.
 
 A file that strictly grew goes on where it was left.  One that shrank, or changed without growing, was rewritten: it is read from its start under the
 next generation, and what was read of an earlier generation no longer counts.  A last line without a line break waits for the next batch; with
@@ -19,10 +19,12 @@ library, object stores).
 from __future__ import annotations
 
 import fnmatch
+import itertools
 import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs
@@ -37,8 +39,28 @@ RANGE_BYTES = 64 << 20
 STEP, LINES, TOLD = 1 << 16, 10_000, 16 << 20
 #: What opening a file costs, in bytes read meanwhile.
 OPENING = 1 << 16
-#: A file's state: [bytes read, size, time in nanoseconds, generation].
-State = dict[str, list[int]]
+#: Bytes of a state or plan read at once, and files in a line of a state.
+BUFFER, BLOCK = 1 << 18, 1_000
+
+
+class Seen(NamedTuple):
+    """A file's state.  What is read of it ends behind the last line break in its first size bytes."""
+
+    path: str
+    size: int
+    mtime_ns: int
+    generation: int
+
+
+class Part(NamedTuple):
+    """What a plan has of a file: bytes from start to end that are new at its size; was: its size when it was read before, where the first part starts."""
+
+    path: str
+    generation: int
+    was: int
+    start: int
+    end: int
+    size: int
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -88,6 +110,35 @@ def lines_between(source: pa.NativeFile, start: int, end: int, first: int, size:
             position += len(line) + 1
 
 
+def merged(now: Iterator[Seen], before: Iterator[Seen]) -> Iterator[tuple[Seen | None, Seen | None]]:
+    """What stands in now and before of each path, both being in the order of their paths."""
+    x, was = next(now, None), next(before, None)
+    while x or was:
+        if was is None or (x is not None and x.path < was.path):
+            yield x, None
+            x = next(now, None)
+        elif x is None or was.path < x.path:
+            yield None, was
+            was = next(before, None)
+        else:
+            yield x, was
+            x, was = next(now, None), next(before, None)
+
+
+def told(path: str, start: int = 0, end: int | None = None) -> Iterator[list | dict]:
+    """The lines of JSON of a state or plan, or those between two positions at which lines begin."""
+    files, at = opened(path)
+    with files.open_input_file(at) as f:
+        f.seek(start)
+        carry, left = b"", f.size() - start if end is None else end - start
+        while left and (chunk := f.read(min(BUFFER, left))):
+            left -= len(chunk)
+            *whole, carry = (carry + chunk).split(b"\n")
+            yield from map(json.loads, whole)
+        if carry:
+            yield json.loads(carry)
+
+
 @dataclass
 class Range:
     path: str
@@ -101,9 +152,27 @@ class Range:
 
 @dataclass
 class Pack(InputPartition):
-    """Ranges that one task reads, of range_bytes together, counting OPENING for each, or one larger: a task for each of many small files would cost more than reading them."""
+    """A line of a plan, from start to end, that one task reads: parts of range_bytes together, counting OPENING for each, or one larger.  A task for each of many small files would cost more than reading them."""
 
-    ranges: list[Range]
+    plan: str
+    start: int
+    end: int
+    root: str
+    tails: bool
+
+    @property
+    def ranges(self) -> Iterator[Range]:
+        """What there is to read, known only from the files: where the lines that were read before end, and where the last line does."""
+        files, _ = opened(self.root)
+        for part in itertools.starmap(Part, *told(self.plan, self.start, self.end)):
+            with files.open_input_file(part.path) as f:
+                first = last_break(f, 0, part.was)
+                start = first if part.start == part.was else part.start
+                done = last_break(f, first, part.size)
+            if start < min(part.end, done):
+                yield Range(part.path, part.generation, start, min(part.end, done), first)
+            if self.tails and part.end == part.size > done:
+                yield Range(part.path, part.generation, done, part.size, done, False)
 
 
 class GrowingReader(DataSourceStreamReader):
@@ -118,47 +187,60 @@ class GrowingReader(DataSourceStreamReader):
     def _state_path(self, offset: dict) -> str:
         return f"{self.state_folder}/{offset['n']:012d}-{offset['id']}.json"
 
-    def load(self, offset: dict) -> State:
-        if not offset["n"]:
-            return {}
-        files, at = opened(self._state_path(offset))
-        with files.open_input_stream(at) as f:
-            return json.loads(f.read())
-
-    def save(self, state: State, n: int) -> dict:
-        offset = {"n": n, "id": uuid.uuid4().hex}
-        files, at = opened(self._state_path(offset))
-        files.create_dir(at.rpartition("/")[0], recursive=True)
-        with files.open_output_stream(at) as f:
-            f.write(json.dumps(state).encode())
-        return offset
+    def states(self, offset: dict) -> Iterator[Seen]:
+        """A state, a file after the other."""
+        for block in told(self._state_path(offset)) if offset["n"] else ():
+            if isinstance(block, dict):  # as states were written before, in one: how far a file was read stands first
+                yield from (Seen(path, *was[1:]) for path, was in block.items())
+            else:
+                yield from itertools.starmap(Seen, block)
+
+    def load(self, offset: dict) -> dict[str, Seen]:
+        """A state as a whole: a row a file.  Planning does without."""
+        return {x.path: x for x in self.states(offset)}
 
     # the source
 
     def initialOffset(self) -> dict:
         return {"n": 0, "id": ""}
 
-    def latest_state(self, before: State) -> State:
-        files, root = opened(self.root)
-        now: State = {}
-        for info in sorted(files.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)), key=lambda i: i.path):
-            if info.type != fs.FileType.File or not fnmatch.fnmatch(info.base_name, self.glob):
-                continue
-            was = before.get(info.path)
-            if was and was[1:3] == [info.size, info.mtime_ns]:
-                now[info.path] = was
-                continue
-            grew = was is not None and info.size > was[1]
-            start, generation = (was[0], was[3]) if grew else (0, was[3] + 1 if was else 0)
-            with files.open_input_file(info.path) as f:
-                now[info.path] = [last_break(f, start, info.size), info.size, info.mtime_ns, generation]
-        return now
+    def listed(self, files: fs.FileSystem, folder: str) -> Iterator[fs.FileInfo]:
+        """The files below a folder in the order of their paths; of each folder on the way its own entries are held."""
+        found = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        found.sort(key=lambda i: i.path + "/" if i.type == fs.FileType.Directory else i.path, reverse=True)
+        while found:
+            info = found.pop()
+            if info.type == fs.FileType.Directory:
+                yield from self.listed(files, info.path)
+            elif info.type == fs.FileType.File and fnmatch.fnmatch(info.base_name, self.glob):
+                yield info
 
     def latestOffset(self) -> dict:
         at = getattr(self, "_at", None) or self.newest()
-        before = self.load(at)
-        now = self.latest_state(before)
-        self._at = at if now == before else self.save(now, at["n"] + 1)
+        offset, changed = {"n": at["n"] + 1, "id": uuid.uuid4().hex}, False
+        logs, root = opened(self.root)
+        files, path = opened(self._state_path(offset))
+        files.create_dir(path.rpartition("/")[0], recursive=True)
+
+        def state() -> Iterator[Seen]:
+            nonlocal changed
+            now = (Seen(i.path, i.size, i.mtime_ns, 0) for i in self.listed(logs, root))
+            for x, was in merged(now, self.states(at)):
+                if x is not None and was is not None:
+                    goes_on = x.size > was.size or x[1:3] == was[1:3]
+                    x = x._replace(generation=was.generation + (not goes_on))
+                changed |= x != was
+                if x is not None:
+                    yield x
+
+        with files.open_output_stream(f"{path}.part", buffer_size=BUFFER) as f:
+            for block in itertools.batched(state(), BLOCK):
+                f.write(json.dumps(block).encode() + b"\n")
+        if changed:
+            files.move(f"{path}.part", path)  # only whole states have their name
+        else:
+            files.delete_file(f"{path}.part")
+        self._at = offset if changed else at
         return self._at
 
     def newest(self) -> dict:
@@ -170,28 +252,42 @@ class GrowingReader(DataSourceStreamReader):
         n, _, name = names[-1].removesuffix(".json").partition("-")
         return {"n": int(n), "id": name}
 
-    def ranges(self, start: dict, end: dict) -> list[Range]:
-        before, now, out = self.load(start), self.load(end), []
-        for path, (done, size, _, generation) in now.items():
-            was = before.get(path)
-            if was and was[:2] == [done, size] and was[3] == generation:
+    def parts(self, start: dict, end: dict) -> Iterator[Part]:
+        for x, was in merged(self.states(end), self.states(start)):
+            if x is None or (was and was.size == x.size and was.generation == x.generation):
                 continue
-            first = was[0] if was and was[3] == generation else 0
-            out += [Range(path, generation, at, min(at + self.range_bytes, done), first) for at in range(first, done, self.range_bytes)]
-            if self.tails and size > done:
-                out.append(Range(path, generation, done, size, done, False))
-        return out
+            first = was.size if was and was.generation == x.generation else 0
+            for at in range(first, x.size, self.range_bytes):
+                yield Part(x.path, x.generation, first, at, min(at + self.range_bytes, x.size), x.size)
 
     def partitions(self, start: dict, end: dict) -> list[Pack]:
+        if start == end:
+            return []
         packs: list[Pack] = []
-        room = 0
-        for r in self.ranges(start, end):
-            cost = r.end - r.start + OPENING
-            if room < cost or not packs:
-                packs.append(Pack([]))
-                room = self.range_bytes
-            packs[-1].ranges.append(r)
-            room -= cost
+        plan = self._state_path(end).removesuffix("json") + f"{uuid.uuid4().hex}.plan"
+        files, path = opened(plan)
+        with files.open_output_stream(path, buffer_size=BUFFER) as f:
+            room = at = 0
+            line: list[Part] = []
+
+            def close() -> None:
+                nonlocal at
+                written = json.dumps(line).encode() + b"\n"
+                f.write(written)
+                packs.append(Pack(plan, at, at + len(written), self.root, self.tails))
+                at += len(written)
+                line.clear()
+
+            for part in self.parts(start, end):
+                cost = part.end - part.start + OPENING
+                if room < cost:
+                    if line:
+                        close()
+                    room = self.range_bytes
+                line.append(part)
+                room -= cost
+            if line:
+                close()
         return packs
 
     def read(self, partition: Pack) -> Iterator[pa.RecordBatch]:
@@ -219,10 +315,11 @@ class GrowingReader(DataSourceStreamReader):
                 yield r.start, f.read(r.end - r.start)
 
     def commit(self, end: dict) -> None:
-        """States before the committed one are no longer needed."""
+        """States before the committed one are no longer needed, nor are the plans up to it and what was not written to its end."""
         files, folder = opened(self.state_folder)
         for i in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
-            if i.base_name.endswith(".json") and int(i.base_name.partition("-")[0]) < end["n"] - 1:
+            n = i.base_name.partition("-")[0]
+            if n.isdigit() and int(n) < end["n"] + (-1 if i.base_name.endswith(".json") else 1):
                 files.delete_file(i.path)
 
 
